@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, mixing, quality_classifier, quality_rules, simhash
+from . import chat, decontaminate, langid, mixing, quality_classifier, quality_rules, secret_scan, simhash
 from .sampling import remainder
 from .shared import table
 
@@ -41,6 +41,11 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secret_scan.digest(secret_scan.scan(docs, secret_scan.fit(docs)))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     matches = decontaminate.find_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return decontaminate.digest(matches).drop("longest")
@@ -74,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_classifier": op4_quality_classifier,
     "op5_simhash": op5_simhash,
     "op6_format_chats": op6_format_chats,
+    "op7_secret_scan": op7_secret_scan,
     "op10_decontaminate": op10_decontaminate,
 }
 
