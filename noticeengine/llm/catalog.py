@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, mixing, quality_classifier, quality_rules, secret_scan, simhash
+from . import chat, decontaminate, langid, mixing, ngram_lm, quality_classifier, quality_rules, secret_scan, simhash
 from .sampling import remainder
 from .shared import table
 
@@ -46,6 +46,14 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(docs, secret_scan.fit(docs)))
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    part = remainder(F.col("doc_id"))
+    model = ngram_lm.fit(docs.filter(part != 1))
+    scored = ngram_lm.score(docs, model).withColumn("held_out", part == 1)
+    return scored.withColumn("train_tokens", F.lit(model.total).cast("long"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     matches = decontaminate.find_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return decontaminate.digest(matches).drop("longest")
@@ -80,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash": op5_simhash,
     "op6_format_chats": op6_format_chats,
     "op7_secret_scan": op7_secret_scan,
+    "op9_lm_score": op9_lm_score,
     "op10_decontaminate": op10_decontaminate,
 }
 
