@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, mixing, ngram_lm, quality_classifier, quality_rules, secret_scan, simhash
+from . import chat, decontaminate, langid, mixing, ngram_lm, quality_classifier, quality_rules, secret_scan, simhash, substrings
 from .sampling import remainder
 from .shared import table
 
@@ -46,6 +46,11 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(docs, secret_scan.fit(docs)))
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return substrings.digest(substrings.cut(docs, substrings.repeated_spans(docs)))
+
+
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     part = remainder(F.col("doc_id"))
@@ -88,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash": op5_simhash,
     "op6_format_chats": op6_format_chats,
     "op7_secret_scan": op7_secret_scan,
+    "op8_substrings": op8_substrings,
     "op9_lm_score": op9_lm_score,
     "op10_decontaminate": op10_decontaminate,
 }
