@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import store, temporal
+from .plans import store, temporal, text
 
-_PARTS = (temporal, store)
+_PARTS = (temporal, store, text)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -61,7 +61,7 @@ def validity_range(text: Column, year: Column) -> Column:
 def all_validity_ranges(text: Column, year: Column) -> Column:
     """Distinct windows of the parts between commas or semicolons; of the whole text if no part has one."""
     t = F.trim(F.coalesce(text, F.lit("")))
-    parts = F.filter(F.transform(F.split(t, r"[,;]\s*"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(t, r"[,;]\s*"), lambda p: F.trim(p)), lambda p: p != "")
     each = F.array_distinct(F.filter(F.transform(parts, lambda p: validity_range(p, year)), lambda w: w.isNotNull()))
     whole = validity_range(t, year)
     none = F.array().cast(f"array<{WINDOW}>")
