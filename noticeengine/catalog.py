@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import store, temporal, text
+from .plans import graph, search, store, temporal, text
 
-_PARTS = (temporal, store, text)
+_PARTS = (temporal, store, text, search, graph)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
