@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.lets import let
+
 # Limits and thresholds.
 EMPTY_FILL, MAX_HEADER_ROWS, REGION_GAP, MAX_TABLE_ROWS = 0.05, 8, 2, 200
 TITLE_MARK = "[▣●◆■]"
@@ -41,26 +43,32 @@ def numeric_ratio(cells: Column) -> Column:
 
 
 def is_title(cells: Column) -> Column:
-    own = filled(cells)
-    n, joined = F.size(own), F.array_join(own, " ")
-    return (n == 1) | ((n == 2) & (joined.rlike(TITLE_MARK) | (F.length(joined) > 28)))
+    def test(own: Column) -> Column:
+        joined = F.array_join(own, " ")
+        return (F.size(own) == 1) | ((F.size(own) == 2) & (joined.rlike(TITLE_MARK) | (F.length(joined) > 28)))
+
+    return let(filled(cells), test)
 
 
 def is_narrative(cells: Column) -> Column:
-    own = filled(cells)
-    first = F.get(own, F.lit(0))
-    return (F.size(own) == 1) & (first.rlike(NARRATIVE) | first.startswith("▶") | first.startswith("-"))
+    def test(own: Column) -> Column:
+        first = F.get(own, F.lit(0))
+        return (F.size(own) == 1) & (first.rlike(NARRATIVE) | first.startswith("▶") | first.startswith("-"))
+
+    return let(filled(cells), test)
 
 
 def is_header_like(cells: Column) -> Column:
-    n = F.size(filled(cells))
-    return (n > 0) & (is_title(cells) | is_narrative(cells) | (n < 2) | (numeric_ratio(cells) < 0.45))
+    """Titles, narrative rows and single cells are; so are rows with few numbers."""
+    return let(filled(cells), lambda own: (F.size(own) > 0) & ((F.size(own) < 2) | is_title(own) | (numeric_ratio(own) < 0.45)))
 
 
 def is_data_like(cells: Column) -> Column:
-    own = filled(cells)
-    n, numbers = F.size(own), F.size(F.filter(own, is_number))
-    return (n >= 2) & ((numbers >= 2) | ((numbers >= 1) & (n >= 3)) | ((numeric_ratio(cells) >= 0.25) & (fill_ratio(cells) >= 0.12)))
+    def test(own: Column) -> Column:
+        numbers = F.size(F.filter(own, is_number))
+        return let(numbers, lambda k: (F.size(own) >= 2) & ((k >= 2) | ((k >= 1) & (F.size(own) >= 3)) | ((k / F.size(own) >= 0.25) & (F.size(own) / F.size(cells) >= 0.12))))
+
+    return let(filled(cells), test)
 
 
 def split_regions(grid: DataFrame) -> DataFrame:
@@ -88,12 +96,18 @@ def _first(rows: Column, test, start: Column) -> Column:
 def boundaries(rows: Column) -> Column:
     """struct(header_start, header_end, data_start) of a region's rows."""
     n = F.size(rows)
-    start = _first(rows, lambda r: ~(is_title(r) | (fill_ratio(r) < EMPTY_FILL)), F.lit(0))
-    limit = F.least(n, start + MAX_HEADER_ROWS + 5)
-    stop = F.least(limit, _first(rows, lambda r: is_data_like(r) | ~(is_header_like(r) | (fill_ratio(r) < 0.55)), start))
-    data = _first(rows, is_data_like, stop)
-    told = F.array_max(F.transform(rows, lambda r, i: F.when((i >= stop) & (i < data) & is_narrative(r), i + 1)))
-    return F.struct(start.alias("header_start"), F.coalesce(told, stop).alias("header_end"), data.alias("data_start"))
+    empty = lambda r: fill_ratio(r) < EMPTY_FILL
+
+    def from_start(start: Column) -> Column:
+        ends = lambda r: is_data_like(r) | ~(is_header_like(r) | (fill_ratio(r) < 0.55))
+        stop = F.least(n, start + MAX_HEADER_ROWS + 5, _first(rows, ends, start))
+        return let(stop, lambda s: let(_first(rows, is_data_like, s), lambda data: whole(start, s, data)))
+
+    def whole(start: Column, stop: Column, data: Column) -> Column:
+        told = F.array_max(F.transform(rows, lambda r, i: F.when((i >= stop) & (i < data) & is_narrative(r), i + 1)))
+        return F.struct(start.alias("header_start"), F.coalesce(told, stop).alias("header_end"), data.alias("data_start"))
+
+    return let(_first(rows, lambda r: ~(is_title(r) | empty(r)), F.lit(0)), from_start)
 
 
 def fill_right(cells: Column) -> Column:
@@ -104,26 +118,43 @@ def fill_right(cells: Column) -> Column:
 def unique_names(names: Column) -> Column:
     """Blank names become col_i; repeats get a running suffix."""
     base = F.transform(names, lambda n, i: F.when(F.trim(n) != "", F.trim(n)).otherwise(F.concat(F.lit("col_"), i.cast("string"))))
-    return F.transform(base, lambda n, i: F.when(F.size(F.filter(F.slice(base, F.lit(1), i), lambda x: x == n)) > 0, F.concat(n, F.lit("_"), (F.size(F.filter(F.slice(base, F.lit(1), i), lambda x: x == n)) + 1).cast("string"))).otherwise(n))
+
+    def numbered(b: Column) -> Column:
+        def name(n: Column, i: Column) -> Column:
+            before = F.size(F.filter(F.slice(b, F.lit(1), i), lambda x: x == n))
+            return let(before, lambda k: F.when(k > 0, F.concat(n, F.lit("_"), (k + 1).cast("string"))).otherwise(n))
+
+        return F.transform(b, name)
+
+    return let(base, numbered)
 
 
 def merge_headers(rows: Column) -> Column:
     """Column names of header rows: parts of a column joined, each row filled to the right first."""
+
+    def parts(width: Column, full: Column) -> Column:
+        places = F.when(width > 0, F.sequence(F.lit(0), F.greatest(width - 1, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda i: F.array_join(F.array_distinct(F.filter(F.transform(full, lambda r: F.trim(F.get(r, i))), lambda x: x != "")), " / "))
+
+    def padded(width: Column) -> Column:
+        return F.transform(rows, lambda r: let(F.concat(r, F.array_repeat(F.lit(""), F.greatest(width - F.size(r), F.lit(0)))), fill_right))
+
     width = F.coalesce(F.array_max(F.transform(rows, lambda r: F.size(r))), F.lit(0))
-    full = F.transform(rows, lambda r: fill_right(F.concat(r, F.array_repeat(F.lit(""), F.greatest(width - F.size(r), F.lit(0))))))
-    places = F.when(width > 0, F.sequence(F.lit(0), F.greatest(width - 1, F.lit(0)))).otherwise(F.array().cast("array<int>"))
-    parts = F.transform(places, lambda i: F.array_join(F.array_distinct(F.filter(F.transform(full, lambda r: F.trim(F.get(r, i))), lambda x: x != "")), " / "))
-    return F.when(F.size(rows) > 0, unique_names(parts)).otherwise(F.array().cast("array<string>"))
+    names = let(width, lambda w: let(padded(w), lambda full: unique_names(parts(w, full))))
+    return F.when(F.size(rows) > 0, names).otherwise(F.array().cast("array<string>"))
 
 
 def trim_data(rows: Column) -> Column:
     """Data rows up to three empty ones in a row or a later title, without the empty ones."""
-    empty = F.transform(rows, lambda r: fill_ratio(r) < EMPTY_FILL)
-    third = F.array_position(F.transform(empty, lambda e, i: (i >= 2) & e & F.get(empty, i - 1) & F.get(empty, i - 2)), F.lit(True))
-    begun = F.array_position(empty, F.lit(False))
-    title = F.array_position(F.transform(rows, lambda r, i: (i + 1 > begun) & (begun > 0) & ~F.get(empty, i) & is_title(r)), F.lit(True))
-    end = F.least(*(F.when(x > 0, (x - 1).cast("int")).otherwise(F.size(rows)) for x in (third, title)))
-    return F.filter(F.slice(rows, F.lit(1), end), lambda r: fill_ratio(r) >= EMPTY_FILL)
+
+    def cut(empty: Column) -> Column:
+        third = F.array_position(F.transform(empty, lambda e, i: (i >= 2) & e & F.get(empty, i - 1) & F.get(empty, i - 2)), F.lit(True))
+        begun = F.array_position(empty, F.lit(False))
+        title = let(begun, lambda b: F.array_position(F.transform(rows, lambda r, i: (b > 0) & (i + 1 > b) & ~F.get(empty, i) & is_title(r)), F.lit(True)))
+        end = F.least(*(let(x, lambda p: F.when(p > 0, (p - 1).cast("int")).otherwise(F.size(rows))) for x in (third, title)))
+        return F.filter(F.slice(rows, F.lit(1), end), lambda r: fill_ratio(r) >= EMPTY_FILL)
+
+    return let(F.transform(rows, lambda r: fill_ratio(r) < EMPTY_FILL), cut)
 
 
 def to_width(rows: Column, width: Column) -> Column:
@@ -134,9 +165,14 @@ def extract_tables(found: DataFrame) -> DataFrame:
     """(sheet, region, title, columns, rows, total_rows, truncated) of regions that hold a table."""
     b = found.withColumn("b", boundaries(F.col("rows")))
     head = F.slice("rows", F.col("b.header_start") + 1, F.greatest(F.col("b.header_end") - F.col("b.header_start"), F.lit(0)))
-    before = F.transform(F.slice("rows", F.lit(1), F.col("b.header_start")), filled)
-    title = F.get(F.filter(F.transform(before, lambda r: F.when(F.size(r) == 1, F.get(r, F.lit(0))).when(F.array_join(r, " ").rlike(TITLE_MARK) | (F.length(F.array_join(r, " ")) > 20), F.array_join(r, " "))), lambda t: t.isNotNull()), F.lit(0))
-    t = b.select("sheet", "region", title.alias("title"), merge_headers(head).alias("columns"), trim_data(F.slice("rows", F.col("b.data_start") + 1, F.greatest(F.size("rows") - F.col("b.data_start"), F.lit(0)))).alias("data"))
+
+    def told(r: Column) -> Column:
+        return F.when(F.size(r) == 1, F.get(r, F.lit(0))).when(F.array_join(r, " ").rlike(TITLE_MARK) | (F.length(F.array_join(r, " ")) > 20), F.array_join(r, " "))
+
+    before = F.transform(F.slice("rows", F.lit(1), F.col("b.header_start")), lambda r: let(filled(r), told))
+    title = F.get(F.filter(before, lambda t: t.isNotNull()), F.lit(0))
+    data = F.slice("rows", F.col("b.data_start") + 1, F.greatest(F.size("rows") - F.col("b.data_start"), F.lit(0)))
+    t = b.select("sheet", "region", title.alias("title"), let(head, merge_headers).alias("columns"), let(data, trim_data).alias("data"))
     t = t.filter(F.size("data") > 0)
     widest = F.array_max(F.transform("data", lambda r: F.size(r)))
     named = F.when(F.size("columns") > 0, F.col("columns")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(widest - 1, F.lit(0))), lambda i: F.concat(F.lit("col_"), i.cast("string"))))
@@ -214,5 +250,5 @@ def best_tier(rows: DataFrame, by: str = "attachment_id") -> DataFrame:
 
 def sections(text: Column) -> Column:
     """Array of (ref, text) of a text cut before its slide, page and sheet markers."""
-    parts = F.filter(F.split(F.coalesce(text, F.lit("")), r"(?=### (?:슬라이드 |p|시트:))"), lambda p: F.trim(p) != "")
+    parts = F.filter(F.split(F.coalesce(text, F.lit("")), r"(?=### (?:슬라이드 [0-9]|p[0-9]|시트:))"), lambda p: F.trim(p) != "")
     return F.transform(parts, lambda p, i: F.struct(F.coalesce(F.nullif(F.regexp_extract(p, r"^### ([^\n]*)", 1), F.lit("")), F.concat(F.lit("part"), i.cast("string"))).alias("ref"), F.trim(F.regexp_replace(p, r"^### [^\n]*\n?", "")).alias("text")))
