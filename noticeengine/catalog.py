@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import graph, search, store, tables, temporal, text
+from .plans import graph, search, store, streams, tables, temporal, text
 
-_PARTS = (temporal, store, text, search, graph, tables)
+_PARTS = (temporal, store, text, search, graph, tables, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -251,4 +251,4 @@ def best_tier(rows: DataFrame, by: str = "attachment_id") -> DataFrame:
 def sections(text: Column) -> Column:
     """Array of (ref, text) of a text cut before its slide, page and sheet markers."""
     parts = F.filter(F.split(F.coalesce(text, F.lit("")), r"(?=### (?:슬라이드 [0-9]|p[0-9]|시트:))"), lambda p: F.trim(p) != "")
-    return F.transform(parts, lambda p, i: F.struct(F.coalesce(F.nullif(F.regexp_extract(p, r"^### ([^\n]*)", 1), F.lit("")), F.concat(F.lit("part"), i.cast("string"))).alias("ref"), F.trim(F.regexp_replace(p, r"^### [^\n]*\n?", "")).alias("text")))
+    return F.transform(parts, lambda p, i: F.struct(F.coalesce(F.nullif(F.regexp_extract(p, r"^### ([^\n]*)", 1), F.lit("")), F.concat(F.lit("part"), i.cast("string"))).alias("ref"), F.btrim(F.regexp_replace(p, r"^### [^\n]*\n?", ""), F.lit(" \t\r\n")).alias("text")))
