@@ -127,21 +127,7 @@ def fingerprints(data: np.ndarray, offs: np.ndarray, k: int = SHINGLE) -> np.nda
     s, e, to = shingles(starts, ends, at, k)
     digest = xxhash.xxh64_intdigest
     h = np.fromiter((digest(body[a:b], SEED) for a, b in zip(s.tolist(), e.tolist())), np.uint64, len(s))
-    n = len(offs) - 1
-    counts = np.zeros((n, 64), np.int64)
-    some = np.flatnonzero(np.diff(to))
-    if len(some):
-        step = 1 << 17
-        for i in range(0, len(some), 512):  # rows in groups, so that the unpacked bits stay small
-            rows = some[i : i + 512]
-            lo, hi = to[rows[0]], to[rows[-1] + 1]
-            if hi - lo <= step:
-                bits = np.unpackbits(h[lo:hi].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                counts[rows] = np.add.reduceat(bits, to[rows] - lo, axis=0, dtype=np.int64)
-            else:
-                for r in rows:
-                    for x in range(to[r], to[r + 1], step):
-                        counts[r] += np.unpackbits(h[x : min(x + step, to[r + 1])].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    counts = tv.bit_counts(h, to)
     on = counts * 2 > np.diff(to)[:, None]
     return np.packbits(on, axis=1, bitorder="little").view(np.uint64).ravel()
 

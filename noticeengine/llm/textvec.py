@@ -128,6 +128,29 @@ def row_sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return total[at[1:]] - total[at[:-1]]
 
 
+_LANES = np.uint64(0x0101010101010101)
+
+
+def bit_counts(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """How many of h[at[i]:at[i+1]] have each of the 64 bits set, for each row i.
+
+    Eight bits are counted at once in the bytes of one word; sums of up to 255 items can't overflow a byte.
+    """
+    n = len(at) - 1
+    out = np.zeros((n, 64), np.int64)
+    size = np.diff(at)
+    some = np.flatnonzero(size)
+    if not len(some):
+        return out
+    parts = -(-size[some] // 255)
+    first = np.concatenate([[0], np.cumsum(parts)])
+    starts = np.repeat(at[:-1][some], parts) + 255 * (np.arange(first[-1]) - np.repeat(first[:-1], parts))
+    for j in range(8):
+        lanes = np.add.reduceat((h >> np.uint64(j)) & _LANES, starts).view(np.uint8).reshape(-1, 8)
+        out[some, j::8] = np.add.reduceat(lanes, first[:-1], axis=0, dtype=np.int64)
+    return out
+
+
 def rows(batches: Iterator[pa.RecordBatch], fields: list[str]) -> Iterator[list[pa.Array]]:
     """The named columns of each non-empty Arrow batch."""
     for batch in batches:
