@@ -69,7 +69,7 @@ def format_chats(turns: DataFrame) -> DataFrame:
     head = F.concat(F.lit(TURN), escape(F.col("role")), F.lit(SAY))
     flat = flat.withColumn("segment", F.concat(head, F.col("content"), F.lit(END))).withColumn("head", F.length(head))
     order = W.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "content", F.to_json("parts"))
-    media = F.filter("parts", lambda p: p["kind"].isin(*KINDS))
+    media = F.filter(F.coalesce("parts", F.array().cast(f"array<{PART}>")), lambda p: p.isNotNull() & p["kind"].isin(*KINDS))
     placed = flat.select(
         "conv_id",
         F.row_number().over(order).alias("n"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,6 +67,20 @@ def release(df: DataFrame | None) -> None:
         drop_path(df.sparkSession, path)
 
 
+def set_aside(docs: DataFrame) -> tuple[DataFrame, tuple[str, ...], Callable[[DataFrame], DataFrame]]:
+    """docs under names that no operator uses, with a copy of text; these names; and the way back to the old ones.
+
+    An operator that carries columns then can't meet one of its own names among them.
+    """
+    own = tuple(f"__c{i}" for i in range(len(docs.columns)))
+    renamed = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, own)), F.col("text"))
+
+    def back(df: DataFrame) -> DataFrame:
+        return df.select(*(F.col(n).alias(c) for c, n in zip(docs.columns, own)))
+
+    return renamed, own, back
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
