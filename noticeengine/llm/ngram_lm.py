@@ -218,13 +218,13 @@ def log_pairs(model: Model, before: np.ndarray, ids: np.ndarray, log_word: np.nd
     if model.pairs is None:
         return out
     own, back = np.unique(before, return_inverse=True)
-    rest = np.zeros(len(own))
+    rest, seen = np.zeros(len(own)), np.zeros(len(own), bool)
     real = np.flatnonzero(own >= 0)
     rows = model.left.find(own[real].astype(np.uint64))
     has = rows >= 0
-    rest[real[has]] = restore(model.left.take(rows[has], "code"))
+    rest[real[has]], seen[real[has]] = restore(model.left.take(rows[has], "code")), True
     out += rest[back]
-    maybe = np.flatnonzero((before >= 0) & (ids >= 0) & (rest[back] < 0))
+    maybe = np.flatnonzero((before >= 0) & (ids >= 0) & seen[back])
     key = (before[maybe].astype(np.uint64) << np.uint64(32)) | ids[maybe].astype(np.uint64)
     key, again = np.unique(key, return_inverse=True)
     found = np.ones(len(key))
