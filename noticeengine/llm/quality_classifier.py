@@ -2,7 +2,8 @@
 
 Ratings are ordered grades 0..K. One vector of weights over hashed features is shared by all grades;
 ordered thresholds t_1 < ... < t_K give P(grade >= k) = sigmoid(w.x - t_k). The expected grade is the
-sum of these, and a document is selected when its tail probability P(grade >= K) reaches a limit.
+sum of these, and a document is selected when its tail probability P(grade >= K) is near that of one
+without defects.
 
 Weights are never positive: features are defects, so a text without any has the best grade however
 short it is, and a long one cannot make up for a defect by its length. Features are the distinct lower-cased words and word starts and, as written, the distinct white-space tokens and
@@ -26,13 +27,18 @@ from pyspark.sql import functions as F
 from . import textvec as tv
 from .sampling import sample_ids
 
-DIMS_BITS = 20
-#: A feature has a weight if its share of some grade's rows differs from that of the others' by so many standard errors, and if so many rows have it.
-LEAST_Z, LEAST_ROWS = 12.0, 5
+#: Bits of a feature's hash: so many that hardly any feature shares a telling one's.
+DIMS_BITS = 30
+_QUICK_BITS = 20
+#: A feature has a weight if a lower grade's rows have it this many times as often as the others, by so many standard errors, and if so many rows have it.
+LEAST_LIFT, LEAST_Z, LEAST_ROWS = 10.0, 6.0, 5
 GRADES = 3
+#: Sample rows whose feature fingerprints differ in so many of 64 bits or fewer are one.
+ALIKE = 8
 #: Bound of the rated sample, per grade.
 EACH = 3072
-KEEP_AT = 0.6
+#: A document is kept if its tail probability is this share, or more, of a document's without any defect.
+KEEP_SHARE = 0.7
 #: Words count by their first so many bytes too, which inflected forms share.
 PREFIXES = (4, 6)
 _UPPER = tv.table_of(range(65, 91))
@@ -41,12 +47,30 @@ _SYMBOL = tv.table_of([*range(33, 48), *range(58, 65), *range(91, 97), *range(12
 
 @dataclass
 class Model:
+    features: np.ndarray  # sorted hashes of the features with a weight
     weights: np.ndarray
     thresholds: np.ndarray
 
+    def quick(self) -> np.ndarray:
+        """Table by a hash's first bits: whether some feature with a weight may start so."""
+        out = np.zeros(1 << _QUICK_BITS, bool)
+        out[self.features >> (DIMS_BITS - _QUICK_BITS)] = True
+        return out
+
+    def scores(self, h: np.ndarray, row: np.ndarray, n: int, quick: np.ndarray) -> np.ndarray:
+        """Sum of the weights of each row's distinct features."""
+        maybe = quick[h >> (DIMS_BITS - _QUICK_BITS)]
+        h, row = h[maybe], row[maybe]
+        if not len(h) or not len(self.features):
+            return np.zeros(n)
+        at = np.minimum(np.searchsorted(self.features, h), len(self.features) - 1)
+        hit = self.features[at] == h
+        pair = np.unique(row[hit] * len(self.features) + at[hit])
+        return np.bincount(pair // len(self.features), self.weights[pair % len(self.features)], minlength=n)
+
 
 def features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct hashed features of each row, the n + 1 offsets of the rows in them, and each row's tokens."""
+    """Hashed features, with repeats, the row of each, and each row's tokens."""
     n = len(offs) - 1
     low = tv.LOWER[data]
     starts, ends, at = tv.spans(tv.IS_ALNUM[low], offs)
@@ -62,15 +86,17 @@ def features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     shares = [tv.row_sums(_UPPER[data], offs) / size, tv.row_sums(_SYMBOL[data], offs) / size, np.bincount(row_p[same], minlength=n) / np.maximum(np.diff(tat), 1)]
     bins = [np.minimum((s * 40).astype(np.uint64), np.uint64(15)) + np.uint64(16 * k + 1) for k, s in enumerate(shares)]
     h = np.concatenate([words, tokens ^ np.uint64(0x5BD1E995), pairs, *(tv.mix(b) for b in bins)])
-    row = np.concatenate([*[row_w] * (len(PREFIXES) + 1), row_t, row_p, *([np.arange(n)] * 3)]).astype(np.uint64)
-    key = np.unique((row << np.uint64(DIMS_BITS)) | (h >> np.uint64(64 - DIMS_BITS)))
-    return (key & np.uint64((1 << DIMS_BITS) - 1)).astype(np.int32), np.searchsorted(key, np.arange(n + 1, dtype=np.uint64) << np.uint64(DIMS_BITS)), np.diff(tat)
+    row = np.concatenate([*[row_w] * (len(PREFIXES) + 1), row_t, row_p, *([np.arange(n)] * 3)])
+    return (h >> np.uint64(64 - DIMS_BITS)).astype(np.int64), row, np.diff(tat)
 
 
 def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for grade, text in tv.rows(batches, ["grade", "text"]):
         for i, j, data, offs in tv.blocks(tv.as_string_array(text)):
-            f, at, _ = features(data, offs)
+            h, row, _ = features(data, offs)
+            key = np.unique((row << DIMS_BITS) | h)
+            at = np.searchsorted(key, np.arange(j - i + 1) << DIMS_BITS)
+            f = (key & ((1 << DIMS_BITS) - 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([grade[i:j], pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(f))], ["grade", "features"])
 
 
@@ -78,16 +104,17 @@ def fit_ordinal(f: np.ndarray, at: np.ndarray, grade: np.ndarray, grades: int =
     """Full-batch Adagrad on the cumulative-link likelihood; rows weigh so that every grade counts alike. Thresholds stay ordered as a first one and positive steps."""
     n, k = len(grade), grades - 1
     row = tv.row_of(at)
-    w = np.zeros(1 << DIMS_BITS)
+    names, f = np.unique(f, return_inverse=True)
+    w = np.zeros(len(names))
     everywhere = np.bincount(f, minlength=len(w))
     telling = np.zeros(len(w), bool)
-    for g in range(grades):
+    for g in range(grades - 1):
         own = grade == g
         a, b = max(1, own.sum()), max(1, n - own.sum())
         inside = np.bincount(f[own[row]], minlength=len(w))
         p = everywhere / n
         z = (inside / a - (everywhere - inside) / b) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / a + 1 / b))
-        telling |= (np.abs(z) >= LEAST_Z) & (everywhere >= LEAST_ROWS)
+        telling |= (z >= LEAST_Z) & (inside / a >= LEAST_LIFT * (everywhere - inside) / b) & (everywhere >= LEAST_ROWS)
     used = telling[f]
     f, row = f[used], row[used]
     first, steps = -1.0, np.zeros(k - 1)
@@ -117,7 +144,8 @@ def fit_ordinal(f: np.ndarray, at: np.ndarray, grade: np.ndarray, grades: int =
         first -= step[0]
         steps -= step[1:]
     t = np.concatenate([[first], first + np.cumsum(np.exp(steps))])
-    return Model(w.astype(np.float32), t)
+    own = telling & (w < 0)
+    return Model(names[own].astype(np.int64), w[own], t)
 
 
 def grades_of(labels: DataFrame) -> DataFrame:
@@ -138,30 +166,49 @@ def fit(docs: DataFrame, rated: DataFrame, each: int = EACH) -> Model | None:
     at = np.concatenate([[0], np.cumsum(np.diff(lists.offsets.to_numpy()))]).astype(np.int64)
     f = lists.flatten().to_numpy().astype(np.int64)
     order = np.lexsort((np.add.reduceat(f, at[:-1]), np.diff(at), grade))  # not the shuffle's
+    order = order[_unlike(f, at, order)]  # a text that is copied often teaches once
     f = np.concatenate([f[at[i] : at[i + 1]] for i in order])
     at = np.concatenate([[0], np.cumsum(np.diff(at)[order])])
     return fit_ordinal(f, at, grade[order])
 
 
-def score(docs: DataFrame, model: Model | None, keep_at: float = KEEP_AT, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def _unlike(f: np.ndarray, at: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Places in order of rows whose features' fingerprint differs from those of all kept rows before; the sample is bounded."""
+    half = np.diff(at)[:, None]
+    on = tv.bit_counts(tv.mix(f.astype(np.uint64) + np.uint64(1)), at) * 2 > half
+    fp = np.packbits(on, axis=1, bitorder="little").view(np.uint64).ravel()[order]
+    kept = np.zeros(len(fp), np.uint64)
+    n, out = 0, []
+    for i, x in enumerate(fp):
+        if not n or np.bitwise_count(kept[:n] ^ x).min() > ALIKE:
+            kept[n] = x
+            n += 1
+            out.append(i)
+    return np.array(out, np.int64)
+
+
+def score(docs: DataFrame, model: Model | None, keep_share: float = KEEP_SHARE, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The carried columns with expected_grade, tail_prob and kept, for every row of docs."""
     extra = (("expected_grade", pa.float64()), ("tail_prob", pa.float64()), ("kept", pa.bool_()))
 
+    quick = model.quick() if model else None
+    clean = 1 / (1 + np.exp(np.clip(model.thresholds[-1], -40, 40))) if model else 1.0
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = tv.as_string_array(batch.column(batch.schema.get_field_index("__text")))
             n = len(text)
             expected, tail, some = np.zeros(n), np.zeros(n), np.zeros(n, bool)
             for i, j, data, offs in tv.blocks(text):
-                f, at, tokens = features(data, offs)
+                h, row, tokens = features(data, offs)
                 some[i:j] = tokens > 0
                 if model:
-                    s = tv.row_sums(model.weights[f].astype(np.float64), at)
+                    s = model.scores(h, row, j - i, quick)
                     c = 1 / (1 + np.exp(-np.clip(s[:, None] - model.thresholds, -40, 40)))
                     expected[i:j], tail[i:j] = c.sum(1), c[:, -1]
                 else:
                     expected[i:j], tail[i:j] = GRADES - 1, 1.0
-            kept = some & (tail >= keep_at)
+            kept = some & (tail >= keep_share * clean)
             out = [pa.array(expected, mask=~some), pa.array(tail, mask=~some), pa.array(kept)]
             yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(batch.num_columns - 1)] + out, [*carry, *(x for x, _ in extra)])
 
