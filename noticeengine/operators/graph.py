@@ -104,11 +104,19 @@ def neighbours(edges_: DataFrame, frontier: DataFrame) -> DataFrame:
 
 
 def within_hops(edges_: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
-    """Ids at most hops undirected steps from the seeds (id)."""
-    reached = seeds.select("id").distinct()
+    """Ids at most hops undirected steps from the seeds (id).
+
+    Every id is also its own neighbour, so that each hop reads the one before it once and the plan grows
+    by one join a hop.
+    """
+    out, back = F.struct(F.col("source").alias("id"), F.col("target").alias("other")), F.struct(F.col("target").alias("id"), F.col("source").alias("other"))
+    stay = [F.struct(F.col(c).alias("id"), F.col(c).alias("other")) for c in ("source", "target")]
+    steps = edges_.select(F.explode(F.array(out, back, *stay)).alias("e")).select("e.id", "e.other").distinct()
+    start = seeds.select("id").distinct()
+    reached = start
     for _ in range(hops):
-        reached = reached.unionByName(neighbours(edges_, reached)).distinct()
-    return reached
+        reached = steps.join(reached, "id").select(F.col("other").alias("id")).distinct()
+    return reached.unionByName(start).distinct()
 
 
 def role_cards(cards: DataFrame, role: str) -> DataFrame:

@@ -161,9 +161,14 @@ def to_width(rows: Column, width: Column) -> Column:
     return F.transform(rows, lambda r: F.slice(F.concat(r, F.array_repeat(F.lit(""), F.greatest(width - F.size(r), F.lit(0)))), F.lit(1), width))
 
 
+def _once() -> Column:
+    """A column beside costly ones: filters on these are not pushed below them, where they would be written out and evaluated again."""
+    return F.monotonically_increasing_id().alias("__once")
+
+
 def extract_tables(found: DataFrame) -> DataFrame:
     """(sheet, region, title, columns, rows, total_rows, truncated) of regions that hold a table."""
-    b = found.withColumn("b", boundaries(F.col("rows")))
+    b = found.select("sheet", "region", "rows", boundaries(F.col("rows")).alias("b"), _once())
     head = F.slice("rows", F.col("b.header_start") + 1, F.greatest(F.col("b.header_end") - F.col("b.header_start"), F.lit(0)))
 
     def told(r: Column) -> Column:
@@ -172,12 +177,12 @@ def extract_tables(found: DataFrame) -> DataFrame:
     before = F.transform(F.slice("rows", F.lit(1), F.col("b.header_start")), lambda r: let(filled(r), told))
     title = F.get(F.filter(before, lambda t: t.isNotNull()), F.lit(0))
     data = F.slice("rows", F.col("b.data_start") + 1, F.greatest(F.size("rows") - F.col("b.data_start"), F.lit(0)))
-    t = b.select("sheet", "region", title.alias("title"), let(head, merge_headers).alias("columns"), let(data, trim_data).alias("data"))
+    t = b.select("sheet", "region", title.alias("title"), let(head, merge_headers).alias("columns"), let(data, trim_data).alias("data"), _once())
     t = t.filter(F.size("data") > 0)
     widest = F.array_max(F.transform("data", lambda r: F.size(r)))
     named = F.when(F.size("columns") > 0, F.col("columns")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(widest - 1, F.lit(0))), lambda i: F.concat(F.lit("col_"), i.cast("string"))))
-    t = t.withColumn("columns", named)
-    t = t.withColumn("rows", to_width(F.slice("data", 1, MAX_TABLE_ROWS), F.size("columns")))
+    t = t.select("sheet", "region", "title", "data", named.alias("columns"), _once())
+    t = t.select("sheet", "region", "title", "data", "columns", to_width(F.slice("data", 1, MAX_TABLE_ROWS), F.size("columns")).alias("rows"), _once())
     meaningful = F.exists("columns", lambda c: ~c.startswith("col_")) | (numeric_ratio(F.get("rows", F.lit(0))) >= 0.1)
     sample = F.filter(F.transform(F.slice("rows", 1, 10), lambda r: F.trim(F.get(r, F.lit(0)))), lambda x: x != "")
     numbered = F.get("columns", F.lit(0)).startswith("col_") & (F.size(sample) > 0) & F.forall(sample, lambda x: x.rlike(r"^\d+$"))
