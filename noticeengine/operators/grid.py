@@ -162,7 +162,7 @@ def to_width(rows: Column, width: Column) -> Column:
 
 
 def _once() -> Column:
-    """A column beside costly ones: filters on these are not pushed below them, where they would be written out and evaluated again."""
+    """A column beside costly ones. Filters that use it too are not pushed below them, where they would be written out and evaluated again."""
     return F.monotonically_increasing_id().alias("__once")
 
 
@@ -178,7 +178,7 @@ def extract_tables(found: DataFrame) -> DataFrame:
     title = F.get(F.filter(before, lambda t: t.isNotNull()), F.lit(0))
     data = F.slice("rows", F.col("b.data_start") + 1, F.greatest(F.size("rows") - F.col("b.data_start"), F.lit(0)))
     t = b.select("sheet", "region", title.alias("title"), let(head, merge_headers).alias("columns"), let(data, trim_data).alias("data"), _once())
-    t = t.filter(F.size("data") > 0)
+    t = t.filter((F.size("data") > 0) & (F.col("__once") >= 0))
     widest = F.array_max(F.transform("data", lambda r: F.size(r)))
     named = F.when(F.size("columns") > 0, F.col("columns")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(widest - 1, F.lit(0))), lambda i: F.concat(F.lit("col_"), i.cast("string"))))
     t = t.select("sheet", "region", "title", "data", named.alias("columns"), _once())
@@ -187,7 +187,7 @@ def extract_tables(found: DataFrame) -> DataFrame:
     sample = F.filter(F.transform(F.slice("rows", 1, 10), lambda r: F.trim(F.get(r, F.lit(0)))), lambda x: x != "")
     numbered = F.get("columns", F.lit(0)).startswith("col_") & (F.size(sample) > 0) & F.forall(sample, lambda x: x.rlike(r"^\d+$"))
     columns = F.when(numbered, F.concat(F.array(F.lit("No.")), F.slice("columns", F.lit(2), F.size("columns")))).otherwise(F.col("columns"))
-    return t.filter(meaningful).select("sheet", "region", "title", columns.alias("columns"), "rows", F.size("data").alias("total_rows"), (F.size("data") > MAX_TABLE_ROWS).alias("truncated"))
+    return t.filter(meaningful & (F.col("__once") >= 0)).select("sheet", "region", "title", columns.alias("columns"), "rows", F.size("data").alias("total_rows"), (F.size("data") > MAX_TABLE_ROWS).alias("truncated"))
 
 
 def to_markdown(sheet: Column, title: Column, columns: Column, rows: Column) -> Column:

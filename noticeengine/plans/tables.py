@@ -37,7 +37,7 @@ SELECT sheet, row_no, CAST(sum(CASE WHEN gap >= 2 THEN 1 ELSE 0 END) OVER (PARTI
 _add(
     "row_features",
     lambda s, d: _grid(s, d).select("sheet", "row_no", grid.fill_ratio(F.col("cells")).alias("fill"), grid.numeric_ratio(F.col("cells")).alias("numeric"), grid.is_data_like(F.col("cells")).alias("data_like"), grid.is_header_like(F.col("cells")).alias("header_like")),
-    f"WITH {_GRID} SELECT sheet, row_no, CASE WHEN e THEN 0.0 ELSE 1.0 END AS fill, CASE WHEN e THEN 0.0 ELSE 0.5 END AS numeric, NOT e AS data_like, false AS header_like FROM g",
+    f"WITH {_GRID} SELECT sheet, row_no, CAST(CASE WHEN e THEN 0 ELSE 1 END AS DOUBLE) AS fill, CAST(CASE WHEN e THEN 0 ELSE 0.5 END AS DOUBLE) AS numeric, NOT e AS data_like, false AS header_like FROM g",
 )
 _add(
     "merge_fill_down",
