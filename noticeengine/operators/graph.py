@@ -36,60 +36,76 @@ def slice_id() -> Column:
     return _id("slice", ids.digest_id(16, F.col("source_ref")))
 
 
+def _routed(own: DataFrame, products: DataFrame) -> DataFrame:
+    """(code, role) of the codes that cards name."""
+    return own.select(F.explode("product_codes").alias("code")).distinct().join(products.filter("role <> ''"), "code")
+
+
 def nodes(cards: DataFrame, posts: DataFrame, products: DataFrame, roles: DataFrame) -> DataFrame:
     """All nodes of cards whose post exists; roles (role) come whether a card has them or not.
 
     cards: id, role, post_id, attachment_name, source_ref, headline, keywords, product_codes; posts:
-    post_id, title; products: code, role.
+    post_id, title; products: code, role. Each card names all its nodes at once, so cards are read
+    once for these and once for the roles of their products.
     """
-    own = cards.join(posts.select("post_id"), "post_id", "left_semi")
-    with_post = own.select("post_id").distinct().join(posts, "post_id")
-    codes = own.select(F.explode("product_codes").alias("code")).distinct()
-    routed = codes.join(products, "code").select("role")
-    parts = [
-        with_post.select(post_id().alias("id"), F.lit(POST).alias("type"), F.substring("title", 1, 120).alias("label")),
-        own.select(attachment_id().alias("id"), F.lit(ATTACHMENT).alias("type"), F.col("attachment_name").alias("label")),
-        own.select(slice_id().alias("id"), F.lit(SLICE).alias("type"), F.substring_index("source_ref", "#", -1).alias("label")),
-        own.select(_id("card", F.col("id")).alias("id"), F.lit(CARD).alias("type"), F.substring("headline", 1, 120).alias("label")),
-        codes.select(_id("product", F.col("code")).alias("id"), F.lit(PRODUCT).alias("type"), F.col("code").alias("label")),
-        roles.select("role").unionByName(own.select("role")).unionByName(routed).filter("role <> ''").select(_id("damdang", F.col("role")).alias("id"), F.lit(ROLE).alias("type"), F.col("role").alias("label")),
-        own.select(F.explode("keywords").alias("k")).filter("trim(k) <> ''").select(ids.keyword_node(F.col("k")).alias("id"), F.lit(KEYWORD).alias("type"), F.trim("k").alias("label")),
-    ]
-    return reduce(DataFrame.unionByName, parts).groupBy("id", "type").agg(F.min("label").alias("label"))
+    own = cards.join(posts.select("post_id", F.col("title").alias("__title")), "post_id")
+
+    def node(id_: Column, kind: str, label: Column) -> Column:
+        return F.struct(id_.alias("id"), F.lit(kind).alias("type"), label.alias("label"))
+
+    single = F.array(
+        node(post_id(), POST, F.substring("__title", 1, 120)),
+        node(attachment_id(), ATTACHMENT, F.col("attachment_name")),
+        node(slice_id(), SLICE, F.substring_index("source_ref", "#", -1)),
+        node(_id("card", F.col("id")), CARD, F.substring("headline", 1, 120)),
+    )
+    role = F.transform(F.filter(F.array("role"), lambda r: r != ""), lambda r: node(_id("damdang", r), ROLE, r))
+    products_ = F.transform("product_codes", lambda c: node(_id("product", c), PRODUCT, c))
+    keywords = F.transform(F.filter("keywords", lambda k: F.trim(k) != ""), lambda k: node(ids.keyword_node(k), KEYWORD, F.trim(k)))
+    named = own.select(F.explode(F.concat(single, role, products_, keywords)).alias("n")).select("n.*")
+    more = roles.select("role").filter("role <> ''").unionByName(_routed(own, products).select("role")).select(node(_id("damdang", F.col("role")), ROLE, F.col("role")).alias("n")).select("n.*")
+    return named.unionByName(more).groupBy("id", "type").agg(F.min("label").alias("label"))
+
+
+def _pairs(codes: Column) -> Column:
+    """(a, b) of all codes a before b."""
+    n = F.size(codes)
+    return F.flatten(F.transform(codes, lambda a, i: F.transform(F.slice(codes, i + 2, F.greatest(n - i - 1, F.lit(0))), lambda b: F.struct(_id("product", a).alias("source"), _id("product", b).alias("target")))))
 
 
 def co_occurrence(cards: DataFrame) -> DataFrame:
     """(source, target) product pairs of a card, in the order of its codes; a card's own list bounds the pairs."""
-    n = F.size("product_codes")
-    pairs = F.flatten(F.transform("product_codes", lambda a, i: F.transform(F.slice("product_codes", i + 2, F.greatest(n - i - 1, F.lit(0))), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    return cards.select(F.explode(pairs).alias("p")).select(_id("product", F.col("p.a")).alias("source"), _id("product", F.col("p.b")).alias("target"))
+    return cards.select(F.explode(_pairs(F.col("product_codes"))).alias("p")).select("p.source", "p.target")
 
 
 def edges(cards: DataFrame, posts: DataFrame, products: DataFrame) -> DataFrame:
-    """All edges; those of one type and ends are one."""
+    """All edges; those of one type and ends are one. As for nodes, each card names all its edges at once."""
     own = cards.join(posts.select("post_id"), "post_id", "left_semi")
     card, post, att, piece, role = _id("card", F.col("id")), post_id(), attachment_id(), slice_id(), _id("damdang", F.col("role"))
-    tagged = own.select("id", "post_id", F.explode("keywords").alias("k")).filter("trim(k) <> ''").withColumn("kw", ids.keyword_node(F.col("k")))
-    said = own.select("id", F.explode("product_codes").alias("code"))
-    routed = said.select("code").distinct().join(products, "code").filter("role <> ''")
-
-    def part(df: DataFrame, kind: str, source: Column, target: Column) -> DataFrame:
-        return df.select(F.lit(kind).alias("type"), source.alias("source"), target.alias("target"))
-
-    parts = [
-        part(own, "has_attachment", post, att),
-        part(own, "has_slice", att, piece),
-        part(own, "summarized_as", piece, card),
-        part(own, "from_post", card, post),
-        part(own, "cites_attachment", card, att),
-        part(own.filter("role <> ''"), "relevant_to", card, role),
-        part(tagged, "tagged_with", card, F.col("kw")),
-        part(tagged, "keyword_in_post", post, F.col("kw")),
-        part(said, "mentions", card, _id("product", F.col("code"))),
-        part(routed, "routed_to", _id("product", F.col("code")), role),
-        co_occurrence(own).select(F.lit("co_occurs").alias("type"), "source", "target"),
-    ]
-    return reduce(DataFrame.unionByName, parts).distinct().select(ids.edge_id(F.col("type"), F.col("source"), F.col("target")).alias("id"), "type", "source", "target")
+
+    def edge(kind: str, source: Column, target: Column) -> Column:
+        return F.struct(F.lit(kind).alias("type"), source.alias("source"), target.alias("target"))
+
+    single = F.array(
+        edge("has_attachment", post, att),
+        edge("has_slice", att, piece),
+        edge("summarized_as", piece, card),
+        edge("from_post", card, post),
+        edge("cites_attachment", card, att),
+    )
+    roles = F.filter(F.array(edge("relevant_to", card, role)), lambda e: F.col("role") != "")
+    words = F.filter("keywords", lambda k: F.trim(k) != "")
+    named = F.concat(
+        single,
+        roles,
+        F.transform(words, lambda k: edge("tagged_with", card, ids.keyword_node(k))),
+        F.transform(words, lambda k: edge("keyword_in_post", post, ids.keyword_node(k))),
+        F.transform("product_codes", lambda c: edge("mentions", card, _id("product", c))),
+        F.transform(_pairs(F.col("product_codes")), lambda p: edge("co_occurs", p["source"], p["target"])),
+    )
+    every = own.select(F.explode(named).alias("e")).select("e.*")
+    routed = _routed(own, products).select(edge("routed_to", _id("product", F.col("code")), role).alias("e")).select("e.*")
+    return every.unionByName(routed).distinct().select(ids.edge_id(F.col("type"), F.col("source"), F.col("target")).alias("id"), "type", "source", "target")
 
 
 def stats(nodes_: DataFrame, edges_: DataFrame) -> DataFrame:
