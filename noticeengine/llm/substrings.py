@@ -269,8 +269,8 @@ def _sort_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield flush(held)
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH):
-    """Build the tables that `cut` looks up: (texts, whole contexts, intervals)."""
+def repeated_spans(docs: DataFrame, length: int = LENGTH, bucket: int = BUCKET):
+    """Build the tables that `cut` looks up: (texts, whole contexts, intervals). Buckets of over bucket distinct contexts are counted by hash."""
     texts = docs.select("doc_id", "text").mapInArrow(_emit_texts, "k long, k2 long, id long")
     texts = texts.groupBy("k", "k2").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
     texts = write_sorted(texts, "k", None, "sub-texts")
@@ -305,7 +305,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH):
                 here = tv.pair_hashes(k[rows[row]], lo.astype(np.uint64)).view(np.int64)
                 keep = ~again | (_take(whole, found, "place") == here)
                 ok, n, row, lo, again = ok[keep], n[keep], row[keep], lo[keep], again[keep]
-                small = n <= BUCKET
+                small = n <= bucket
                 body = [data[a:b].tobytes() if s else None for s, a, b in zip(small.tolist(), c.lo[ok].tolist(), (c.hi[ok] + length).tolist())]
                 hashes = [None if s else tv.pair_hashes(c.hash(np.arange(a, b + 1), length), c.bucket[i : i + 1]).view(np.int64) for s, i, a, b in zip(small.tolist(), ok.tolist(), c.lo[ok].tolist(), c.hi[ok].tolist())]
                 yield pa.RecordBatch.from_arrays(

@@ -237,20 +237,32 @@ def test_substrings_of_awkward_rows(spark, awkward):
     assert cut_rows(df.limit(0)) == []
 
 
-def test_substrings_by_hash_and_in_pieces(spark, docs):
-    want = cut_rows(docs)
-    old = substrings.BUCKET, substrings.PIECE
-    body = Path(substrings.__file__)
-    assert body.exists()
-    import noticeengine.llm.substrings as module
-
-    contexts = module.Contexts
-    text = (PASSAGE * 3).encode()
-    import numpy as np
+def test_substrings_by_hash(spark, docs):
+    by_hash = substrings.cut(docs, substrings.repeated_spans(docs, bucket=1))
+    got = rows_of(substrings.digest(by_hash), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == sorted(plain.repeated_bytes([r["text"] for r in docs.collect()]), key=repr)
+
 
-    whole = contexts(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
-    assert (whole.hi >= whole.lo).all() and (np.diff(whole.lo) > 0).all() and whole.hi[-1] == len(text) - module.LENGTH
-    assert old == (4096, 1 << 20) and want
+def test_long_texts_in_pieces(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(substrings, "PIECE", 3000)
+    rng = np.random.default_rng(5)
+    text = "".join(map(chr, rng.integers(97, 101, 20_000)))
+    column = pa.array([text], pa.large_string())
+    data = np.frombuffer(text.encode(), np.uint8)
+    whole = substrings.Contexts(data, np.array([0, len(data)]))
+    anchor_of = {p: (a, b) for lo, hi, a, b in zip(whole.lo, whole.hi, whole.anchor, whole.bucket) for p in range(lo, hi + 1)}
+    seen = {}
+    for part, offs, rows, at in substrings._pieces(column, substrings.LENGTH):
+        c = substrings.Contexts(part, offs)
+        assert rows.tolist() == [0]
+        for lo, hi, a, b in zip(c.lo, c.hi, c.anchor, c.bucket):
+            for p in range(lo, hi + 1):
+                assert p + at[0] not in seen
+                seen[p + at[0]] = (a + at[0], b)
+    assert seen == anchor_of
 
 
 def test_language_model(spark, docs):
