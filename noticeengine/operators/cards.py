@@ -97,7 +97,8 @@ def body_cards(posts: DataFrame, lookup: DataFrame, roster: Column, covered: Dat
     rows = rows.withColumn("roles", F.when(F.size("by_code") > 0, F.col("by_code")).otherwise(text_roles(F.col("text"), roster))).filter(F.size("roles") > 0)
     ref, head = F.concat(F.col("post_id").cast("string"), F.lit("#body")), F.substring("title", 1, 120)
     meta = dates.temporal_meta(head, F.lit(""), F.col("text"), F.col("posted_date"), F.get("roles", F.lit(0)))
-    rows = rows.select("post_id", "title", "posted_date", ref.alias("source_ref"), F.lit(BODY_NAME).alias("attachment_name"), "product_codes", head.alias("headline"), "body", meta.alias("temporal"), F.explode("roles").alias("role"))
+    rows = rows.select("post_id", "title", "posted_date", ref.alias("source_ref"), F.lit(BODY_NAME).alias("attachment_name"), "product_codes", head.alias("headline"), "body", meta.alias("temporal"), "roles")
+    rows = rows.withColumn("role", F.explode("roles")).drop("roles")
     return rows.withColumn("id", ids.card_id(F.col("source_ref"), F.col("role")))
 
 
