@@ -36,7 +36,7 @@ GRADES = 3
 #: Sample rows whose feature fingerprints differ in so many of 64 bits or fewer are one.
 ALIKE = 8
 #: Bound of the rated sample, per grade.
-EACH = 3072
+EACH = 1536
 #: A document is kept if its tail probability is this share, or more, of a document's without any defect.
 KEEP_SHARE = 0.7
 #: Words count by their first so many bytes too, which inflected forms share.
@@ -164,8 +164,8 @@ def fit(docs: DataFrame, rated: DataFrame, each: int = EACH) -> Model | None:
     lists = got.column("features").combine_chunks()
     grade = got.column("grade").to_numpy().astype(np.int64)
     at = np.concatenate([[0], np.cumsum(np.diff(lists.offsets.to_numpy()))]).astype(np.int64)
-    f = lists.flatten().to_numpy().astype(np.int64)
-    order = np.lexsort((np.add.reduceat(f, at[:-1]), np.diff(at), grade))  # not the shuffle's
+    f = lists.flatten().to_numpy()
+    order = np.lexsort((np.add.reduceat(f, at[:-1], dtype=np.int64), np.diff(at), grade))  # not the shuffle's
     order = order[_unlike(f, at, order)]  # a text that is copied often teaches once
     f = np.concatenate([f[at[i] : at[i + 1]] for i in order])
     at = np.concatenate([[0], np.cumsum(np.diff(at)[order])])
