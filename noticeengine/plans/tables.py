@@ -235,10 +235,9 @@ SELECT id, arg_max(post_id, n) AS post_id, arg_max(post_id, n) <> id AS reassign
 
 
 def dedupe_events_greedy(spark, d):
-    """Documents as events, in blocks of those with the same first keyword: order decides the groups."""
-    k = _keyworded(spark, d).withColumn("block", F.coalesce(F.array_min("keywords"), F.lit("")))
-    events = k.select("id", F.col("id").alias("ord"), "source", F.length("text").alias("quality"), "keywords", "block")
-    groups = provenance.leader_groups(events, "block")
+    """Documents as events, each compared with the first title of every earlier group: order decides the groups."""
+    events = _keyworded(spark, d).select("id", F.col("id").alias("ord"), "source", F.length("text").alias("quality"), "keywords")
+    groups = provenance.leader_groups(events)
     return provenance.dedupe(events.withColumnRenamed("source", "post_id"), groups).select("id")
 
 

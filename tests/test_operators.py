@@ -221,6 +221,27 @@ def test_leader_groups(spark):
     assert ids(provenance.dedupe(e, provenance.leader_groups(rows, "block"))) == [2, 3]
 
 
+def test_leader_groups_of_any_first_keyword(spark):
+    from conftest import DATA
+
+    from noticeengine.plans import tables
+
+    docs = tables._keyworded(spark, str(DATA)).select("id", "source", F.length("text").alias("quality"), "keywords").collect()
+    leaders, group = [], {}
+    for r in sorted(docs, key=lambda r: r["id"]):
+        own = set(r["keywords"])
+        near = [i for i, k in leaders if own and k and len(own & k) / min(len(own), len(k)) >= 0.55]
+        group[r["id"]] = near[0] if near else r["id"]
+        leaders += [] if near else [(r["id"], own)]
+    rows = spark.createDataFrame([(1, 1, ["b", "c"]), (2, 2, ["a", "b", "c"]), (3, 3, ["a", "z"]), (4, 4, [])], "id long, ord long, keywords array<string>")
+    assert {r["id"]: r["leader"] for r in provenance.leader_groups(rows).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+    of = {}
+    for r in docs:
+        of.setdefault(group[r["id"]], []).append(r)
+    stays = {r["id"] for g in of.values() for r in (g if len({x["source"] for x in g}) == 1 else [min(g, key=lambda x: (-x["quality"], x["id"]))])}
+    assert set(ids(tables.dedupe_events_greedy(spark, str(DATA)))) == stays
+
+
 @pytest.mark.parametrize("a,b,same", [("p_a.xlsx#row:S:1", "p_a.xlsx#row:S:9", True), ("p_a.xlsx#row:S:1", "p_a.xlsx#row:T:9", False), ("p_a.xlsx", "p_a.xlsx#p1", True), ("x", "y", False), ("", "y", False)])
 def test_refs(spark, a, b, same):
     assert spark.range(1).select(evaluate.refs_match(F.lit(a), F.lit(b))).first()[0] is same
