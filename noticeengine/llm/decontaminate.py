@@ -206,7 +206,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, limit: int = PART_BYTES,
     if len(parts) == 1:
         return _find(docs, parts[0], carry)
     marked = docs.withColumn("__same", F.xxhash64("text"))
-    found = [_find(marked, p, (*carry, "__same")) for p in parts]
+    found = [_find(marked, p, (*carry, "__same")).withColumn("__part", F.lit(n)) for n, p in enumerate(parts)]
     every = found[0]
     for f in found[1:]:
         every = every.unionByName(f)
@@ -214,7 +214,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, limit: int = PART_BYTES,
         (F.count(F.lit(1)) / len(parts)).cast("int").alias("times"),
         F.max("longest").alias("longest"),
         F.array_sort(F.flatten(F.collect_set("spans"))).alias("s"),
-        F.flatten(F.collect_set("items")).alias("items"),
+        F.flatten(F.transform(F.collect_set(F.struct("__part", "items")), lambda x: x["items"])).alias("items"),  # equal lists of two parts both count
     )
     zero = F.array().cast("array<struct<start:bigint,end:bigint>>")
 

@@ -309,3 +309,13 @@ def test_decontaminate(spark, awkward):
     assert long["n_words"] == 120_000 and long["n_hit"] == 80_000 and long["longest"] == 2
     assert decontaminate.digest(decontaminate.find_matches(awkward, bench.limit(0))).filter("contaminated").count() == 0
     assert decontaminate.find_matches(awkward.limit(0), bench).count() == 0
+
+
+def test_items_of_one_id_count_in_every_part(spark):
+    ship(spark)
+    texts = [" ".join(f"{a}{i}" for i in range(12)) for a in ("red", "blue", "green", "white")]
+    docs = spark.createDataFrame([(1, " . ".join(texts)), (2, "none of them"), (3, texts[0]), (3, texts[0])], "doc_id long, text string")
+    bench = spark.createDataFrame([("q", t) for t in texts], "item_id string, text string")
+    assert len(list(decontaminate.parts_of(bench, 100))) > 1
+    one, many = (rows_of(decontaminate.digest(decontaminate.find_matches(docs, bench, **x)), "doc_id", "n_items", "items_sha256") for x in ({}, {"limit": 100}))
+    assert one == many and dict((r[0], r[1]) for r in one) == {1: 4, 2: 0, 3: 1}
