@@ -1,9 +1,10 @@
 """Exact removal of byte strings that occur more than once, by blockwise suffix sorting.
 
-Only suffixes that can have an equal are sorted. Of each 400-byte string the place with the smallest
-8-byte hash among its first 201 is its anchor, and equal strings have equal anchors at equal places;
-a run of neighbouring strings with one anchor is a context. Contexts are counted by the hash of the
-200 bytes at the anchor (the suffix bucket) and by that of the whole context:
+Only suffixes that can have an equal are sorted. Of each string of a grain's length (400 bytes) the
+place with the smallest 8-byte hash among its first ones is its anchor, and equal strings have equal
+anchors at equal places; a run of neighbouring strings with one anchor is a context. Contexts are
+counted by the hash of the bytes at the anchor (the suffix bucket) and by a 128-bit digest of the
+whole context:
 
 * a context that occurs twice as a whole repeats wherever it stands; nothing of it is sorted;
 * a bucket with one distinct context has no other repeats;
@@ -12,26 +13,33 @@ a run of neighbouring strings with one anchor is a context. Contexts are counted
   next 16, 32, 64, 128 and 256 bytes come from doubling, and two suffixes of a bucket compare by a few
   bytes up to the next sampled place, the ranks there, and a few bytes at the end. Since equal
   suffixes stand equally far from their anchors, one residue of the step is a difference cover;
-* a bucket with more than BUCKET distinct contexts is not brought together: its strings' hashes are
-  counted with partial sums and looked up.
+* a bucket with more than BUCKET distinct contexts is not brought together in one task: its strings'
+  128-bit digests are counted with partial sums, wherever they stand.
 
 Equal texts are collapsed first: one of them stands for all. Tables of hashes and intervals are sorted
 shards in the shared folder, looked up by the tasks that cut the texts, so texts are never shuffled
 but for the contexts that are sorted. Memory follows the block, not the text: a long text is worked on
 in overlapping pieces.
 
-Defined cases: a null text is empty; texts under 400 bytes lose nothing; repeated rows are equal texts
-and lose all; a null id counts as its own id when the standing row of equal texts is picked; an empty
-table gives an empty result. Other columns are not read.
+Bytes are removed by the first grain alone. A second, finer one tells passages: maximal runs of bytes
+covered by repeated strings of 240 bytes that hold over 50 whole words are counted, not removed (50
+words of prose are often shorter than 400 bytes).
+
+Defined cases: a null text is empty; texts shorter than a string lose nothing; repeated rows are equal
+texts and lose all; a null id counts as its own id when the standing row of equal texts is picked, and
+ids that are no integers are told apart by a hash; an empty table gives an empty result. Other columns
+are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,26 +47,37 @@ from . import textvec as tv
 from .shards import Sorted, write_sorted
 from .shared import materialize, release
 
-LENGTH = 400
-#: Bytes from the anchor on that name a bucket; the strings' first LENGTH - CORE + 1 places hold an anchor.
-CORE = 200
+
+
+class Grain(NamedTuple):
+    """Strings of length bytes; the core bytes from the anchor on name a bucket, so the first length - core + 1 places hold an anchor."""
+
+    length: int
+    core: int
+
+
+REMOVED, PASSAGES = Grain(400, 200), Grain(240, 80)
+#: A passage has more words than this.
+PASSAGE_WORDS = 50
 GRAM = 8
 STEP = 16
-#: Distinct contexts of a bucket that one task sorts; larger ones are counted by hash.
+#: Distinct contexts of a bucket that one task sorts; larger ones are counted by digest.
 BUCKET = 4096
 PIECE = 1 << 20
-_LEAST = -(1 << 63)
+#: A place in a piece has at most so many bits (a piece has under 2 * PIECE + 2 * LENGTH bytes).
+_PLACE = np.uint64((1 << 22) - 1)
 
 
-def _pieces(column: pa.Array, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(bytes, offsets, row numbers, byte place of each part in its row): blocks of rows, or overlapping parts of a long row."""
+def _parts(column: pa.Array, length: int) -> Iterator[tuple["Part", np.ndarray, np.ndarray]]:
+    """(part, row numbers, byte place of each of its rows in the text): blocks of rows, or parts of a long row that overlap by length - 1 bytes."""
     for i, j, data, offs in tv.blocks(column, PIECE):
         if j - i > 1 or len(data) <= 2 * PIECE:
-            yield data, offs, np.arange(i, j), np.zeros(j - i, np.int64)
+            yield Part(data, offs, len(data)), np.arange(i, j), np.zeros(j - i, np.int64)
         else:
-            for at in range(0, max(1, len(data) - length + 1), PIECE):
-                part = data[at : at + PIECE + length - 1]
-                yield part, np.array([0, len(part)]), np.array([i]), np.array([at])
+            last = (len(data) - length) // PIECE * PIECE
+            for at in range(0, last + 1, PIECE):
+                part = data[at : at + PIECE + length - 1] if at < last else data[at:]
+                yield Part(part, np.array([0, len(part)]), PIECE if at < last else len(part)), np.array([i]), np.array([at])
 
 
 def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -73,44 +92,56 @@ def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-class Contexts:
-    """Runs of places of one part of the corpus: row (in the part), first and last place, anchor, bucket and context hash."""
+class Part:
+    """One part of the corpus with the hashes that all grains share; strings that start at places or later belong to the next part."""
 
-    def __init__(self, data: np.ndarray, offs: np.ndarray, length: int = LENGTH):
-        n, width = len(data), length - CORE + 1
-        self.row = self.lo = self.hi = self.anchor = np.zeros(0, np.int64)
-        self.bucket = self.context = np.zeros(0, np.uint64)
-        self.total = self.down = None
-        size = np.diff(offs)
-        long = np.flatnonzero(size >= length)
-        if not len(long):
-            return
+    def __init__(self, data: np.ndarray, offs: np.ndarray, places: int):
+        n = len(data)
+        self.places = places
         up, down = tv._powers(n + 1)
         total = np.empty(n + 1, np.uint64)
         total[0] = 0
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
-        self.total, self.down = total, down
-        x = (total[GRAM:] - total[:-GRAM]) * down[: n - GRAM + 1]
+        self.data, self.offs, self.total, self.down = data, offs, total, down
+        self.view = memoryview(np.ascontiguousarray(data))
+        x = (total[GRAM:] - total[:-GRAM]) * down[: max(0, n - GRAM + 1)] if n >= GRAM else total[:0].copy()
         x ^= x >> np.uint64(32)
         x *= np.uint64(0xD6E8FEB86659FD93)
         x ^= x >> np.uint64(32)
-        bits = np.uint64((1 << max(1, n.bit_length())) - 1)
-        x &= ~bits
+        x &= ~_PLACE
         x |= np.arange(len(x), dtype=np.uint64)
-        least = (_sliding_least(x, width) & bits).astype(np.int64)
+        self.order = x
+
+    def hash(self, start: np.ndarray, size) -> np.ndarray:
+        return tv.mix((self.total[start + size] - self.total[start]) * self.down[start] + np.asarray(size, np.uint64))
+
+
+class Contexts:
+    """A grain's runs of places of a part: row (in the part), first and last place, anchor, bucket and the context's digest in two halves."""
+
+    def __init__(self, part: Part, grain: Grain):
+        data, offs, length = part.data, part.offs, grain.length
+        n, width = len(data), length - grain.core + 1
+        self.row = self.lo = self.hi = self.anchor = np.zeros(0, np.int64)
+        self.bucket = self.context = self.context2 = np.zeros(0, np.uint64)
+        size = np.diff(offs)
+        long = np.flatnonzero(size >= length)
+        if not len(long):
+            return
+        least = (_sliding_least(part.order, width) & _PLACE).astype(np.int64)
         mark = np.zeros(n + 1, np.int32)
         mark[offs[:-1][long]] += 1
-        mark[offs[1:][long] - length + 1] -= 1
+        mark[np.minimum(offs[1:][long] - length + 1, part.places)] -= 1
         at = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
         anchor = least[at]
         new = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)]))
         self.lo, self.hi, self.anchor = at[new], at[np.append(new[1:], len(at)) - 1], anchor[new]
         self.row = np.searchsorted(offs, self.lo, "right") - 1
-        self.bucket = self.hash(self.anchor, CORE)
-        self.context = tv.pair_hashes(self.hash(self.lo, self.hi - self.lo + length), (self.anchor - self.lo).astype(np.uint64))
-
-    def hash(self, start: np.ndarray, size) -> np.ndarray:
-        return tv.mix((self.total[start + size] - self.total[start]) * self.down[start] + np.asarray(size, np.uint64))
+        self.bucket = tv.mix(part.hash(self.anchor, grain.core) + np.uint64(length))
+        view, digest = part.view, xxhash.xxh3_128_digest
+        both = b"".join(digest(view[a : b + length], seed=length + 512 * d) for a, b, d in zip(self.lo.tolist(), self.hi.tolist(), (self.anchor - self.lo).tolist()))
+        pair = np.frombuffer(both, np.uint64).reshape(-1, 2)
+        self.context, self.context2 = pair[:, 0].copy(), pair[:, 1].copy()
 
 
 def text_keys(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -122,10 +153,6 @@ def text_keys(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return pair[:, 0].copy(), pair[:, 1].copy()
 
 
-def _ids(column: pa.Array) -> np.ndarray:
-    return column.cast(pa.int64()).fill_null(_LEAST).to_numpy()
-
-
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
@@ -133,18 +160,18 @@ def _signed(x: np.ndarray) -> pa.Array:
 def _emit_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for doc_id, text in tv.rows(batches, ["doc_id", "text"]):
         k, k2 = text_keys(tv.as_string_array(text))
-        yield pa.RecordBatch.from_arrays([_signed(k), _signed(k2), pa.array(_ids(doc_id))], ["k", "k2", "id"])
+        yield pa.RecordBatch.from_arrays([_signed(k), _signed(k2), pa.array(tv.ids(doc_id))], ["k", "k2", "id"])
 
 
-def _find_texts(texts: Sorted, k: np.ndarray, k2: np.ndarray) -> np.ndarray:
-    """Rows of the texts' shards; where two texts share the first half, the second tells them apart."""
+def _find_both(table: Sorted, k: np.ndarray, k2: np.ndarray) -> np.ndarray:
+    """Rows of a table of 128-bit digests (key, k2), -1 where it lacks one."""
     order = np.argsort(k, kind="stable")
-    rows = texts.find(k[order])
+    rows = table.find(k[order])
     out = np.full(len(k), -1, np.int64)
     for ahead in range(3):
         at = rows + ahead
-        ok = np.flatnonzero((rows >= 0) & (at < texts.rows) & (out[order] < 0))
-        same = texts.take(at[ok], "k2") == k2[order][ok].view(np.int64)
+        ok = np.flatnonzero((rows >= 0) & (at < table.rows) & (out[order] < 0))
+        same = table.take(at[ok], "k2") == k2[order][ok].view(np.int64)
         out[order[ok[same]]] = at[ok[same]]
     return out
 
@@ -166,7 +193,7 @@ def _find(table: Sorted, keys: np.ndarray) -> np.ndarray:
 def _standing(texts: Sorted, doc_id: pa.Array, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys of all texts, and which rows stand for their text."""
     k, k2 = text_keys(column)
-    return k, k2, _take(texts, _find_texts(texts, k, k2), "first") == _ids(doc_id)
+    return k, k2, _take(texts, _find_both(texts, k, k2), "first") == tv.ids(doc_id)
 
 
 def _dense(*keys: np.ndarray) -> np.ndarray:
@@ -187,7 +214,7 @@ def _words_at(text: np.ndarray, at: np.ndarray, n: int) -> list[np.ndarray]:
     return [got[:, i] for i in range(n)]
 
 
-def repeated(text: np.ndarray, begin: np.ndarray, size: np.ndarray, anchor: np.ndarray, bucket: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+def repeated(text: np.ndarray, begin: np.ndarray, size: np.ndarray, anchor: np.ndarray, bucket: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """(context, place in it) of every string of the contexts that another place has too.
 
     text holds the contexts one after the other, begin, size and anchor (in the context) are theirs;
@@ -234,102 +261,131 @@ def repeated(text: np.ndarray, begin: np.ndarray, size: np.ndarray, anchor: np.n
     return c[hit], p[hit]
 
 
+def _runs(c: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last index of each run of neighbouring places of one context."""
+    if not len(c):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    new = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (p[1:] != p[:-1] + 1)]))
+    return new, np.append(new[1:], len(c)) - 1
+
+
 def _sort_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Contexts, sorted by bucket within the partition, to intervals of repeated bytes of the contexts that are not whole."""
 
-    def flush(parts: list[list[pa.Array]]) -> pa.RecordBatch:
-        bucket, anchor, whole, k, k2, lo = (np.concatenate([p[i].to_numpy(zero_copy_only=False) for p in parts]) for i in (0, 1, 3, 4, 5, 6))
-        body = pa.concat_arrays([p[2].cast(pa.large_binary()) for p in parts])
-        text, offs = tv.buffers(body)
-        c, p = repeated(text, offs[:-1], np.diff(offs), anchor.astype(np.int64), bucket.view(np.uint64))
-        mine = ~whole[c]
-        c, p = c[mine], p[mine]
-        new = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (p[1:] != p[:-1] + 1)])) if len(c) else np.zeros(0, np.int64)
-        last = np.append(new[1:], len(c)) - 1 if len(c) else new
-        start = lo[c[new]] + p[new]
-        return pa.RecordBatch.from_arrays([pa.array(k[c[new]]), pa.array(k2[c[new]]), pa.array(start), pa.array(lo[c[last]] + p[last] + LENGTH)], ["k", "k2", "start", "end"])
+    def flush(parts: list[list[pa.Array]]) -> Iterator[pa.RecordBatch]:
+        columns = [pa.concat_arrays([p[i] for p in parts]) for i in range(8)]
+        kinds = columns[7].to_numpy()
+        for length in np.unique(kinds).tolist():
+            own = columns if (kinds == length).all() else [x.filter(pa.array(kinds == length)) for x in columns]
+            bucket, anchor, whole, k, k2, lo = (own[i].to_numpy(zero_copy_only=False) for i in (0, 1, 3, 4, 5, 6))
+            text, offs = tv.buffers(own[2].cast(pa.large_binary()))
+            c, p = repeated(text, offs[:-1], np.diff(offs), anchor.astype(np.int64), bucket.view(np.uint64), length)
+            mine = ~whole[c]
+            c, p = c[mine], p[mine]
+            new, last = _runs(c, p)
+            n = c[new]
+            yield pa.RecordBatch.from_arrays([pa.array(k[n]), pa.array(k2[n]), pa.array(lo[n] + p[new]), pa.array(lo[n] + p[last] + length), pa.array(np.full(len(n), length, np.int32))], ["k", "k2", "start", "end", "length"])
 
     held: list[list[pa.Array]] = []
     weight = 0
-    for columns in tv.rows(batches, ["bucket", "anchor", "body", "whole", "k", "k2", "lo"]):
+    for columns in tv.rows(batches, ["bucket", "anchor", "body", "whole", "k", "k2", "lo", "length"]):
         key = columns[0].to_numpy()
         if held and held[-1][0][-1].as_py() != key[0] and weight > PIECE:
-            yield flush(held)
+            yield from flush(held)
             held, weight = [], 0
         done = 0
         for cut in np.flatnonzero(key[1:] != key[:-1]) + 1:
-            size = sum(len(x) for x in [columns[2][done:cut]]) * 600
-            if weight + size > PIECE:
+            if weight + (cut - done) * 600 > PIECE:
                 held.append([x[done:cut] for x in columns])
-                yield flush(held)
+                yield from flush(held)
                 held, weight, done = [], 0, int(cut)
         held.append([x[done:] for x in columns])
         weight += (len(key) - done) * 600
     if held:
-        yield flush(held)
+        yield from flush(held)
+
+
+def _digests(view: memoryview, a: int, b: int, grain: Grain, anchor: int) -> list[bytes]:
+    """A digest of each string of a context, with its distance from the anchor."""
+    digest = xxhash.xxh3_128_digest
+    return [digest(view[p : p + grain.length], seed=grain.length + 512 * (anchor - p)) for p in range(a, b + 1)]
+
+
+class Tables(NamedTuple):
+    """What `cut` looks up: distinct texts, contexts that repeat whole, and intervals of repeated bytes, of all grains."""
 
+    texts: Sorted
+    whole: Sorted
+    spans: Sorted
+    grains: tuple[Grain, ...]
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, bucket: int = BUCKET):
-    """Build the tables that `cut` looks up: (texts, whole contexts, intervals). Buckets of over bucket distinct contexts are counted by hash."""
+
+def repeated_spans(docs: DataFrame, grains: tuple[Grain, ...] = (REMOVED, PASSAGES), bucket: int = BUCKET) -> Tables:
+    """Find all repeated strings of docs (doc_id, text). Buckets of over bucket distinct contexts are counted by digest."""
     texts = docs.select("doc_id", "text").mapInArrow(_emit_texts, "k long, k2 long, id long")
     texts = texts.groupBy("k", "k2").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
     texts = write_sorted(texts, "k", None, "sub-texts")
+    longest = max(g.length for g in grains)
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc_id, text in tv.rows(batches, ["doc_id", "text"]):
             text = tv.as_string_array(text)
             k, _, stands = _standing(texts, doc_id, text)
-            for data, offs, rows, at in _pieces(text, length):
-                c = Contexts(data, offs, length)
-                ok = stands[rows[c.row]]
-                place = tv.pair_hashes(k[rows[c.row]], (c.lo - offs[c.row] + at[c.row]).astype(np.uint64))
-                yield pa.RecordBatch.from_arrays([_signed(c.bucket[ok]), _signed(c.context[ok]), _signed(place[ok])], ["bucket", "context", "place"])
-
-    each = docs.select("doc_id", "text").mapInArrow(contexts, "bucket long, context long, place long")
-    each = each.groupBy("bucket", "context").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("place"))
+            for part, rows, at in _parts(text, longest):
+                for grain in grains:
+                    c = Contexts(part, grain)
+                    ok = stands[rows[c.row]]
+                    place = tv.pair_hashes(k[rows[c.row]], (c.lo - part.offs[c.row] + at[c.row]).astype(np.uint64))
+                    yield pa.RecordBatch.from_arrays([_signed(x[ok]) for x in (c.bucket, c.context, c.context2, place)], ["bucket", "context", "k2", "place"])
+
+    each = docs.select("doc_id", "text").mapInArrow(contexts, "bucket long, context long, k2 long, place long")
+    each = each.groupBy("bucket", "context", "k2").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("place"))
     whole, buckets = _two_tables(each)
 
     def to_sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc_id, text in tv.rows(batches, ["doc_id", "text"]):
             text = tv.as_string_array(text)
             k, k2, stands = _standing(texts, doc_id, text)
-            for data, offs, rows, at in _pieces(text, length):
-                c = Contexts(data, offs, length)
-                ok = np.flatnonzero(stands[rows[c.row]])
-                n = _take(buckets, _find(buckets, c.bucket[ok]), "n")
-                ok, n = ok[n > 1], n[n > 1]
-                row = c.row[ok]
-                lo = c.lo[ok] - offs[row] + at[row]
-                found = _find(whole, c.context[ok])
-                again = found >= 0
-                here = tv.pair_hashes(k[rows[row]], lo.astype(np.uint64)).view(np.int64)
-                keep = ~again | (_take(whole, found, "place") == here)
-                ok, n, row, lo, again = ok[keep], n[keep], row[keep], lo[keep], again[keep]
-                small = n <= bucket
-                body = [data[a:b].tobytes() if s else None for s, a, b in zip(small.tolist(), c.lo[ok].tolist(), (c.hi[ok] + length).tolist())]
-                hashes = [None if s else tv.pair_hashes(c.hash(np.arange(a, b + 1), length), c.bucket[i : i + 1]).view(np.int64) for s, i, a, b in zip(small.tolist(), ok.tolist(), c.lo[ok].tolist(), c.hi[ok].tolist())]
-                yield pa.RecordBatch.from_arrays(
-                    [_signed(c.bucket[ok]), pa.array((c.anchor[ok] - c.lo[ok]).astype(np.int32)), pa.array(body, pa.binary()), pa.array(again), _signed(k[rows[row]]), _signed(k2[rows[row]]), pa.array(lo), pa.array(hashes, pa.list_(pa.int64()))],
-                    ["bucket", "anchor", "body", "whole", "k", "k2", "lo", "hashes"],
-                )
-
-    rows = materialize(docs.select("doc_id", "text").mapInArrow(to_sort, "bucket long, anchor int, body binary, whole boolean, k long, k2 long, lo long, hashes array<long>"), "sub-contexts")
+            for part, rows, at in _parts(text, longest):
+                for grain in grains:
+                    c = Contexts(part, grain)
+                    ok = np.flatnonzero(stands[rows[c.row]])
+                    n = _take(buckets, _find(buckets, c.bucket[ok]), "n")
+                    ok, n = ok[n > 1], n[n > 1]
+                    row = c.row[ok]
+                    lo = c.lo[ok] - part.offs[row] + at[row]
+                    found = _find_both(whole, c.context[ok], c.context2[ok])
+                    again = found >= 0
+                    here = tv.pair_hashes(k[rows[row]], lo.astype(np.uint64)).view(np.int64)
+                    keep = ~again | (_take(whole, found, "place") == here)
+                    ok, n, row, lo, again = ok[keep], n[keep], row[keep], lo[keep], again[keep]
+                    small = (n <= bucket).tolist()
+                    ends = list(zip(small, c.lo[ok].tolist(), c.hi[ok].tolist(), c.anchor[ok].tolist()))
+                    body = [part.view[a : b + grain.length].tobytes() if s else None for s, a, b, _ in ends]
+                    digests = [None if s else _digests(part.view, a, b, grain, x) for s, a, b, x in ends]
+                    size = pa.array(np.full(len(ok), grain.length, np.int32))
+                    yield pa.RecordBatch.from_arrays(
+                        [_signed(c.bucket[ok]), pa.array((c.anchor[ok] - c.lo[ok]).astype(np.int32)), pa.array(body, pa.binary()), pa.array(again), _signed(k[rows[row]]), _signed(k2[rows[row]]), pa.array(lo), size, pa.array(digests, pa.list_(pa.binary()))],
+                        ["bucket", "anchor", "body", "whole", "k", "k2", "lo", "length", "digests"],
+                    )
+
+    rows = materialize(docs.select("doc_id", "text").mapInArrow(to_sort, "bucket long, anchor int, body binary, whole boolean, k long, k2 long, lo long, length int, digests array<binary>"), "sub-contexts")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = rows.filter("body IS NOT NULL").drop("hashes").repartition(parts, "bucket").sortWithinPartitions("bucket")
-    spans = sorted_.mapInArrow(_sort_buckets, "k long, k2 long, start long, end long")
-    one = rows.filter("hashes IS NOT NULL").select("k", "k2", "lo", "whole", F.posexplode("hashes").alias("p", "h"))
+    sorted_ = rows.filter("body IS NOT NULL").drop("digests").repartition(parts, "bucket").sortWithinPartitions("bucket")
+    spans = sorted_.mapInArrow(_sort_buckets, "k long, k2 long, start long, end long, length int")
+    one = rows.filter("digests IS NOT NULL").select("k", "k2", "lo", "length", "whole", F.posexplode("digests").alias("p", "h"))
     often = one.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     start = F.col("lo") + F.col("p")
-    hot = one.filter("NOT whole").join(often, "h").select("k", "k2", start.alias("start"), (start + length).alias("end"))
+    hot = one.filter("NOT whole").join(often, "h").select("k", "k2", start.alias("start"), (start + F.col("length")).alias("end"), "length")
     spans = write_sorted(spans.unionByName(hot), "k", None, "sub-spans")
     release(rows)
-    return texts, whole, spans
+    return Tables(texts, whole, spans, tuple(grains))
 
 
 def _two_tables(each: DataFrame) -> tuple[Sorted, Sorted]:
     """Contexts seen twice, and buckets with more than one distinct context."""
     each = materialize(each, "sub-counts")
-    whole = write_sorted(each.filter("n > 1").select("context", "place"), "context", None, "sub-whole")
+    whole = write_sorted(each.filter("n > 1").select("context", "k2", "place"), "context", None, "sub-whole")
     buckets = write_sorted(each.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "bucket", None, "sub-buckets")
     release(each)
     return whole, buckets
@@ -343,9 +399,34 @@ def _merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return start[new], end[np.append(new[1:], len(start)) - 1]
 
 
-def cut(docs: DataFrame, tables, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, spans (removed byte runs) and kept (remaining bytes) of every row of docs (doc_id, text)."""
-    texts, whole, intervals = tables
+def _intervals_of(spans: Sorted, k: np.ndarray, k2: np.ndarray, wanted: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(row, length, start, end) of the stored intervals of the texts at the wanted rows."""
+    first = _find(spans, k)
+    for r in np.flatnonzero((first >= 0) & wanted).tolist():
+        at, mine = int(first[r]), int(k[r])
+        n = int(np.searchsorted(spans.offsets, at, "right")) - 1
+        while n < len(spans.shards):  # a text's intervals may go on in the next shard
+            a, base = spans.arrays(n), int(spans.offsets[n])
+            stop = int(np.searchsorted(a["key"], np.uint64(mine), "right"))
+            own = slice(at - base, stop)
+            ok = a["k2"][own] == k2[r : r + 1].view(np.int64)[0]
+            for length, s, e in zip(a["length"][own][ok].tolist(), a["start"][own][ok].tolist(), a["end"][own][ok].tolist()):
+                yield r, length, s, e
+            if stop < len(a["key"]):
+                break
+            n, at = n + 1, base + len(a["key"])
+
+
+def _words_inside(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Whole words in each of the intervals."""
+    first, last, _ = tv.spans(tv.IS_WORD[row], np.array([0, len(row)]))
+    return np.maximum(np.searchsorted(last, end, "right") - np.searchsorted(first, start), 0)
+
+
+def cut(docs: DataFrame, tables: Tables) -> DataFrame:
+    """doc_id, n_bytes, spans (removed byte runs), kept (remaining bytes) and n_passages of every row of docs (doc_id, text)."""
+    texts, whole, intervals, grains = tables
+    longest = max(g.length for g in grains)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc_id, text in tv.rows(batches, ["doc_id", "text"]):
@@ -353,36 +434,27 @@ def cut(docs: DataFrame, tables, length: int = LENGTH) -> DataFrame:
             data, offs = tv.buffers(text)
             size = np.diff(offs)
             k, k2 = text_keys(text)
-            copies = _take(texts, _find_texts(texts, k, k2), "n") > 1
-            found: list[list[np.ndarray]] = [[] for _ in range(len(k))]
-            for part, po, rows, at in _pieces(text, length):
-                c = Contexts(part, po, length)
-                ok = np.flatnonzero(_find(whole, c.context) >= 0)
-                row = c.row[ok]
-                shift = at[row] - po[row]
-                for r, s, e in zip(rows[row].tolist(), (c.lo[ok] + shift).tolist(), (c.hi[ok] + length + shift).tolist()):
-                    found[r].append((s, e))
-            first = _find(intervals, k)
-            for r in np.flatnonzero((first >= 0) & ~copies).tolist():
-                at, mine = int(first[r]), int(k[r])
-                n = int(np.searchsorted(intervals.offsets, at, "right")) - 1
-                while n < len(intervals.shards):  # a text's intervals may go on in the next shard
-                    a, base = intervals.arrays(n), int(intervals.offsets[n])
-                    stop = int(np.searchsorted(a["key"], np.uint64(mine), "right"))
-                    own = slice(at - base, stop)
-                    ok = a["k2"][own] == k2[r : r + 1].view(np.int64)[0]
-                    found[r] += list(zip(a["start"][own][ok].tolist(), a["end"][own][ok].tolist()))
-                    if stop < len(a["key"]):
-                        break
-                    n, at = n + 1, base + len(a["key"])
-            spans, kept = [], []
+            copies = _take(texts, _find_both(texts, k, k2), "n") > 1
+            found: dict[int, list[list[tuple[int, int]]]] = {g.length: [[] for _ in range(len(k))] for g in grains}
+            for part, rows, at in _parts(text, longest):
+                for grain in grains:
+                    c = Contexts(part, grain)
+                    ok = np.flatnonzero((_find_both(whole, c.context, c.context2) >= 0) & ~copies[rows[c.row]])
+                    row = c.row[ok]
+                    shift = at[row] - part.offs[row]
+                    for r, s, e in zip(rows[row].tolist(), (c.lo[ok] + shift).tolist(), (c.hi[ok] + grain.length + shift).tolist()):
+                        found[grain.length][r].append((s, e))
+            for r, length, s, e in _intervals_of(intervals, k, k2, ~copies):
+                found[length][r].append((s, e))
+            for length, own in found.items():
+                for r in np.flatnonzero(copies & (size >= length)).tolist():
+                    own[r] = [(0, int(size[r]))]
+            spans, kept, passages = [], [], []
             for r in range(len(k)):
                 own = data[offs[r] : offs[r + 1]]
-                if copies[r] and size[r] >= length:
-                    spans.append([{"start": 0, "end": int(size[r])}])
-                    kept.append(b"")
-                elif found[r]:
-                    s, e = _merged(*np.array(found[r], np.int64).T)
+                runs = {length: _merged(*np.array(x[r], np.int64).T) for length, x in found.items() if x[r]}
+                if grains[0].length in runs:
+                    s, e = runs[grains[0].length]
                     mask = np.zeros(len(own) + 1, np.int32)
                     mask[s] += 1
                     mask[e] -= 1
@@ -391,13 +463,15 @@ def cut(docs: DataFrame, tables, length: int = LENGTH) -> DataFrame:
                 else:
                     spans.append([])
                     kept.append(own.tobytes())
+                fine = runs.get(grains[-1].length)
+                passages.append(int((_words_inside(own, *fine) > PASSAGE_WORDS).sum()) if fine else 0)
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([doc_id, pa.array(size), pa.array(spans, kind), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
+            yield pa.RecordBatch.from_arrays([doc_id, pa.array(size), pa.array(spans, kind), pa.array(kept, pa.binary()), pa.array(passages, pa.int64())], ["doc_id", "n_bytes", "spans", "kept", "n_passages"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary, n_passages long")
 
 
 def digest(found: DataFrame) -> DataFrame:
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + x["end"] - x["start"])
-    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "n_passages")

@@ -11,11 +11,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 BLOCK_BYTES = 1 << 20
 
 _P = 0x9E3779B97F4A7C15 | 1
 _P_INV = pow(_P, -1, 1 << 64)
+#: Stands for a null id.
+LEAST_ID = -(1 << 63)
 _tables: dict[int, np.ndarray] = {}
 
 
@@ -102,13 +105,30 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Longer spans are hashed one by one: of two long ones a polynomial modulo a power of two can be equal by their pattern alone.
+_SHORT = 64
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of data[start:end] for each span, the same wherever those bytes stand."""
     up, down = _powers(len(data) + 1)
     total = np.empty(len(data) + 1, np.uint64)
     total[0] = 0
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    out = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    long = np.flatnonzero(ends - starts > _SHORT)
+    if len(long):
+        view, digest = memoryview(np.ascontiguousarray(data)), xxhash.xxh3_64_intdigest
+        out[long] = np.fromiter((digest(view[s:e]) for s, e in zip(starts[long].tolist(), ends[long].tolist())), np.uint64, len(long))
+    return out
+
+
+def ids(column: pa.Array) -> np.ndarray:
+    """Ids as 64-bit integers; the least one stands for null, and ids of other types go by a hash of their text."""
+    if pa.types.is_integer(column.type) or pa.types.is_null(column.type):
+        return column.cast(pa.int64()).fill_null(LEAST_ID).to_numpy()
+    text = column.cast(pa.string()).to_pylist()
+    return np.array([LEAST_ID if x is None else xxhash.xxh3_64_intdigest(x) >> 1 for x in text], np.int64)
 
 
 def pair_hashes(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -74,6 +74,22 @@ def repeated_bytes(texts, length=400):
     return out
 
 
+def passages(texts, length=240, words=50):
+    """Maximal runs of bytes covered by repeated strings of length bytes that hold over so many whole words, per text."""
+    data = [(t or "").encode() for t in texts]
+    seen = Counter(b[i : i + length] for b in data for i in range(len(b) - length + 1))
+    out = []
+    for b in data:
+        mask = bytearray(len(b))
+        for i in range(len(b) - length + 1):
+            if seen[b[i : i + length]] > 1:
+                mask[i : i + length] = b"\1" * length
+        own = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", b)]
+        runs = [m.span() for m in re.finditer(b"\1+", bytes(mask))]
+        out.append(sum(sum(s <= a and z <= e for a, z in own) > words for s, e in runs))
+    return out
+
+
 def contamination(text, items):
     w = ALNUM.findall((text or "").translate(LOWER))
     hit, found = set(), []

@@ -221,29 +221,59 @@ def test_automata_know_their_format():
     assert hexes.bits("thingotherwithinthereon") < plain_words.bits("thingotherwithinthereon")
 
 
-def cut_rows(df):
-    return rows_of(substrings.digest(substrings.cut(df, substrings.repeated_spans(df))), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+CUT = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def cut_rows(df, **how):
+    return rows_of(substrings.digest(substrings.cut(df, substrings.repeated_spans(df, **how))), *CUT)
 
 
 def test_substrings(spark, docs):
-    want = plain.repeated_bytes([r["text"] for r in docs.collect()])
-    assert cut_rows(docs) == sorted(want, key=repr)
+    texts = [r["text"] for r in docs.collect()]
+    want = sorted(plain.repeated_bytes(texts), key=repr)
+    found = substrings.digest(substrings.cut(docs, substrings.repeated_spans(docs)))
+    assert rows_of(found, *CUT) == want
+    assert cut_rows(docs, bucket=1) == want  # by digests alone
+    passages = sorted(zip([hashlib.sha256((t or "").encode()).hexdigest() for t in texts], plain.passages(texts)))
+    assert rows_of(found.join(docs.select("doc_id", F.sha2("text", 256).alias("t")), "doc_id"), "t", "n_passages") == passages
 
 
 def test_substrings_of_awkward_rows(spark, awkward):
     small = [(d, t if t is not LONG else "ab " * 900) for d, t in AWKWARD] + [(20, "q" * 1000), (21, "tail " + PASSAGE[100:560] + " more")]
     df = spark.createDataFrame(small, "doc_id long, text string").withColumn("start", F.lit(1))
     assert cut_rows(df) == sorted(plain.repeated_bytes([t for _, t in small]), key=repr)
+    assert cut_rows(df.withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))) == cut_rows(df)
     assert cut_rows(df.limit(0)) == []
 
 
-def test_substrings_by_hash(spark, docs):
-    by_hash = substrings.cut(docs, substrings.repeated_spans(docs, bucket=1))
-    got = rows_of(substrings.digest(by_hash), "n_bytes", "n_removed", "n_spans", "kept_sha256")
-    assert got == sorted(plain.repeated_bytes([r["text"] for r in docs.collect()]), key=repr)
+def _noise(seed, n):
+    import numpy as np
+
+    return bytes(np.random.default_rng(seed).integers(97, 123, n, dtype=np.uint8)).decode()
+
+
+def test_substrings_of_a_very_long_text(spark):
+    ship(spark)
+    body, part = _noise(1, 3 << 20), _noise(2, 500)
+    at = substrings.PIECE - 250  # over the seam of two parts
+    long = body[:at] + part + body[at : 2 << 20] + part[:399] + body[2 << 20 :]
+    df = spark.createDataFrame([(1, long), (2, "x" + part + "y"), (3, part[:399])], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in substrings.cut(df, substrings.repeated_spans(df)).collect()}
+    assert [(s["start"], s["end"]) for s in got[1]["spans"]] == [(at, at + 500)]
+    assert bytes(got[1]["kept"]).decode() == long[:at] + long[at + 500 :]
+    assert bytes(got[2]["kept"]) == b"xy" and got[3]["spans"] == []
+
+
+def test_substrings_of_a_hot_bucket(spark):
+    ship(spark)
+    shared = _noise(3, 390)
+    texts = [_noise(100 + i, 30) + shared + _noise(9000 + i, 30) for i in range(substrings.BUCKET + 50)]
+    texts += [texts[7][10:] + "more", texts[8][:425]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert cut_rows(df) == sorted(plain.repeated_bytes(texts), key=repr)
 
 
-def test_long_texts_in_pieces(monkeypatch):
+def test_long_texts_in_parts(monkeypatch):
     import numpy as np
     import pyarrow as pa
 
@@ -252,17 +282,18 @@ def test_long_texts_in_pieces(monkeypatch):
     text = "".join(map(chr, rng.integers(97, 101, 20_000)))
     column = pa.array([text], pa.large_string())
     data = np.frombuffer(text.encode(), np.uint8)
-    whole = substrings.Contexts(data, np.array([0, len(data)]))
-    anchor_of = {p: (a, b) for lo, hi, a, b in zip(whole.lo, whole.hi, whole.anchor, whole.bucket) for p in range(lo, hi + 1)}
-    seen = {}
-    for part, offs, rows, at in substrings._pieces(column, substrings.LENGTH):
-        c = substrings.Contexts(part, offs)
-        assert rows.tolist() == [0]
-        for lo, hi, a, b in zip(c.lo, c.hi, c.anchor, c.bucket):
-            for p in range(lo, hi + 1):
-                assert p + at[0] not in seen
-                seen[p + at[0]] = (a + at[0], b)
-    assert seen == anchor_of
+    for grain in (substrings.REMOVED, substrings.PASSAGES):
+        whole = substrings.Contexts(substrings.Part(data, np.array([0, len(data)]), len(data)), grain)
+        anchor_of = {p: (a, b) for lo, hi, a, b in zip(whole.lo, whole.hi, whole.anchor, whole.bucket) for p in range(lo, hi + 1)}
+        seen = {}
+        for part, rows, at in substrings._parts(column, substrings.REMOVED.length):
+            c = substrings.Contexts(part, grain)
+            assert rows.tolist() == [0]
+            for lo, hi, a, b in zip(c.lo, c.hi, c.anchor, c.bucket):
+                for p in range(lo, hi + 1):
+                    assert p + at[0] not in seen
+                    seen[p + at[0]] = (a + at[0], b)
+        assert seen == anchor_of
 
 
 def test_language_model(spark, docs):
