@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 
 from . import chat, decontaminate, langid, mixing, ngram_lm, quality_classifier, quality_rules, secret_scan, simhash, substrings
 from .sampling import remainder
-from .shared import table
+from .shared import materialize, table
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    trusted = quality_rules.trusted_ids(table(spark, sf_dir, "labels"))
+    trusted = materialize(quality_rules.trusted_ids(table(spark, sf_dir, "labels")), "trusted")
     ratio = quality_rules.fit_ratio(docs, trusted)
-    return quality_rules.quality_rules(docs, ratio)
+    return quality_rules.quality_rules(docs, ratio, trusted, quality_rules.calibrate(docs, ratio, trusted))
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,6 +30,34 @@ def base_rules(text):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered), failed
 
 
+def log_ratios(docs, trusted, buckets=1 << 16, prior=65536.0, below=0.02):
+    """Mean log ratio of each document without its own n-grams, and the threshold."""
+
+    def grams(text):
+        h = [xxhash.xxh64_intdigest(w.encode(), 42) for w in words(text)]
+        two = [xxhash.xxh64_intdigest(b.to_bytes(8, "little"), xxhash.xxh64_intdigest(a.to_bytes(8, "little"), 42)) for a, b in zip(h, h[1:])]
+        return Counter(((x ^ 1 << 63) - (1 << 63)) % buckets for x in h + two)
+
+    own = {d: grams(t) for d, t in docs}
+    raw, target = Counter(), Counter()
+    for d, c in own.items():
+        raw.update(c)
+        if d in trusted:
+            target.update(c)
+    r, t, score = sum(raw.values()), sum(target.values()), {}
+    for d, c in own.items():
+        n, good = sum(c.values()), d in trusted
+        total, out = 0.0, t - good * n
+        for b, k in c.items():
+            p = (raw[b] - k + 1) / (r - n + buckets)
+            total += k * math.log((target[b] - good * k + prior * p) / ((out + prior) * p))
+        score[d] = total / n if n else None
+    known = sorted(score[d] for d in trusted if score.get(d) is not None)
+    at = below * (len(known) - 1)
+    low, high = known[int(at)], known[min(int(at) + 1, len(known) - 1)]
+    return score, low + (high - low) * (at - int(at))
+
+
 def fingerprint(text, k=3):
     w = words((text or "").translate(LOWER))
     s = [" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))] if w else []

@@ -65,24 +65,43 @@ def test_all_ten_are_there():
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
 
+def judged(df, trusted):
+    ratio = quality_rules.fit_ratio(df, trusted)
+    return quality_rules.quality_rules(df, ratio, trusted, quality_rules.calibrate(df, ratio, trusted))
+
+
 def test_base_rules(spark, docs, awkward):
     for df in (docs, awkward):
-        ratio = quality_rules.fit_ratio(df, df.select("doc_id").limit(3))
-        got = rows_of(quality_rules.quality_rules(df, ratio), "doc_id", *BASE)
+        got = rows_of(judged(df, df.select("doc_id").filter("doc_id IN (1, 6, 7)")), "doc_id", *BASE)
         want = sorted(((r["doc_id"], *plain.base_rules(r["text"])) for r in df.select("doc_id", "text").collect()), key=repr)
         assert got == want
 
 
+def test_scores_of_rules(spark, docs):
+    trusted = quality_rules.trusted_ids(spark.read.parquet(f"{DATA}/labels.parquet"))
+    got = {r["doc_id"]: r for r in judged(docs, trusted).collect()}
+    score, least = plain.log_ratios([(r["doc_id"], r["text"]) for r in docs.collect()], {r["doc_id"] for r in trusted.collect()})
+    for d, r in got.items():
+        assert (r["score"] is None) == (score[d] is None)
+        if r["score"] is not None:
+            assert r["score"] == pytest.approx(score[d], abs=1e-9)
+            assert r["kept"] == (not r["base_failed"] and score[d] >= least - 1e-12)
+
+
 def test_rules_tell_junk(spark):
-    got = catalog.op1_quality_rules(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id")
-    share = {r["quality"]: r["s"] for r in got.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("s")).collect()}
-    assert share[1] > 0.9 and share[0] < 0.3
+    """Labelled documents that the target was not made of are judged as those that it was."""
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    part = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2
+    got = judged(docs, quality_rules.trusted_ids(labels.filter(part == 0))).filter("NOT base_failed").join(labels, "doc_id").withColumn("part", part)
+    share = {(r["quality"], r["part"]): r["s"] for r in got.groupBy("quality", "part").agg(F.avg(F.col("kept").cast("int")).alias("s")).collect()}
+    assert share[1, 0] > 0.95 and share[1, 1] > 0.95 and share[0, 0] < 0.35 and share[0, 1] < 0.35
 
 
 def test_rules_without_target(spark, docs):
-    ratio = quality_rules.fit_ratio(docs, docs.select("doc_id").limit(0))
-    assert ratio.filter("weight <> 0").count() == 0
-    assert quality_rules.quality_rules(docs.limit(0), ratio).count() == 0
+    nobody = docs.select("doc_id").limit(0)
+    assert judged(docs, nobody).filter("score <> 0 OR kept = base_failed").count() == 0
+    assert judged(docs.limit(0), nobody).count() == 0
 
 
 def test_mix(spark, awkward):
