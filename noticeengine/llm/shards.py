@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import mmap
 import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -18,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import textvec as tv
 from .shared import scratch_path
@@ -47,19 +47,15 @@ def write_arrays(folder: str, arrays: dict[str, np.ndarray]) -> tuple[str, list[
 
 
 def map_arrays(path: str, layout: list[tuple[str, str, int, int]]) -> dict[str, np.ndarray]:
-    """The arrays of a file, memory-mapped; a file in a remote store is first copied to a local one that goes when it is closed."""
+    """The arrays of a file: memory-mapped in a shared file system, read into memory from a remote store (a shard has a bounded size)."""
     system, base = _filesystem(path)
     if isinstance(system, fs.LocalFileSystem):
-        handle = open(base, "rb")
+        with open(base, "rb") as handle:
+            size = os.fstat(handle.fileno()).st_size
+            data = mmap.mmap(handle.fileno(), size, access=mmap.ACCESS_READ) if size else b""
     else:
-        handle = tempfile.TemporaryFile()
         with system.open_input_stream(base) as source:
-            while chunk := source.read(1 << 22):
-                handle.write(chunk)
-        handle.flush()
-    with handle:
-        size = os.fstat(handle.fileno()).st_size
-        data = mmap.mmap(handle.fileno(), size, access=mmap.ACCESS_READ) if size else b""
+            data = source.read()
     return {key: np.frombuffer(data, dtype, n, at) if n else np.zeros(0, dtype) for key, dtype, at, n in layout}
 
 
@@ -75,6 +71,10 @@ class Shard:
     layout: list[tuple[str, str, int, int]]
 
 
+#: Shards of a table that a process keeps open.
+OPEN = 256
+
+
 class Sorted:
     """All shards of a table in key order; opened lazily in each process."""
 
@@ -92,6 +92,8 @@ class Sorted:
 
     def arrays(self, n: int) -> dict[str, np.ndarray]:
         if n not in self._open:
+            if len(self._open) >= OPEN:
+                self._open.pop(next(iter(self._open)))
             self._open[n] = map_arrays(self.shards[n].path, self.shards[n].layout)
         return self._open[n]
 
@@ -112,6 +114,31 @@ class Sorted:
             out[part] = np.where(own[at] == x, at + self.offsets[n], out[part])
         return out
 
+    def find_any(self, keys: np.ndarray) -> np.ndarray:
+        """find() for keys in any order."""
+        u, back = np.unique(keys, return_inverse=True)
+        return self.find(u)[back]
+
+    def find_both(self, k: np.ndarray, k2: np.ndarray) -> np.ndarray:
+        """Row numbers of 128-bit digests of which the table has the halves as `key` and `k2`, -1 where it lacks one."""
+        order = np.argsort(k, kind="stable")
+        rows = self.find(k[order])
+        out = np.full(len(k), -1, np.int64)
+        for ahead in range(3):  # no more than a few digests share a half
+            at = rows + ahead
+            ok = np.flatnonzero((rows >= 0) & (at < self.rows) & (out[order] < 0))
+            same = self.take(at[ok], "k2") == k2[order][ok].view(np.int64)
+            out[order[ok[same]]] = at[ok[same]]
+        return out
+
+    def take_any(self, rows: np.ndarray, column: str) -> np.ndarray:
+        """take() for rows in any order, 0 where a row is -1."""
+        out = np.zeros(len(rows), np.int64)
+        some = np.flatnonzero(rows >= 0)
+        order = some[np.argsort(rows[some], kind="stable")]
+        out[order] = self.take(rows[order], column)
+        return out
+
     def take(self, rows: np.ndarray, column: str, dtype=np.int64) -> np.ndarray:
         """A column's values at sorted global row numbers."""
         out = np.zeros(len(rows), dtype)
@@ -123,22 +150,44 @@ class Sorted:
         return out
 
 
-def write_sorted(df: DataFrame, key: str, build: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]] | None, tag: str) -> Sorted:
+#: Bytes of rows that a task gathers before it writes a shard.
+SHARD_BYTES = 64 << 20
+#: The keys of write_sorted() are hashes, spread evenly over all 64 bits.
+HASHES = 1 << 64
+
+
+def write_sorted(df: DataFrame, key: str, build: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]] | None, tag: str, span: int | None = None) -> Sorted:
     """Write df, whose key column is a long read as unsigned bits, into sorted shards.
 
     build turns a shard's columns (numpy, in key order) into the arrays to store; without it they are stored as they are, the key as `key`.
+    With span, the keys lie evenly in 0 .. span - 1 and are dealt out by their size; without it Spark samples them, which runs df's last stage twice.
+    A task writes a shard for each SHARD_BYTES of rows; rows of one key stay in one shard.
     Signed longs below zero come first in Spark's order, so each partition may hold a negative and a positive run: they become two shards.
     """
     spark = df.sparkSession
     folder = scratch_path(spark, tag)
     names = df.columns
+    at_key = names.index(key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [[np.asarray(c.to_numpy(zero_copy_only=False)) for c in row] for row in tv.rows(batches, names)]
-        if not got:
-            return
+        got, held = [], 0
+        for row in tv.rows(batches, names):
+            held += sum(c.nbytes for c in row)
+            got.append([np.asarray(c.to_numpy(zero_copy_only=False)) for c in row])
+            if held > SHARD_BYTES:
+                k = got[-1][at_key]
+                cut = int(np.searchsorted(k, k[-1]))  # the last key may go on in the next batch
+                if cut:
+                    rest = [x[cut:].copy() for x in got[-1]]
+                    got[-1] = [x[:cut] for x in got[-1]]
+                    yield from written(got)
+                    got, held = [rest], sum(x.nbytes for x in rest)
+        if got:
+            yield from written(got)
+
+    def written(got: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
         columns = {name: np.concatenate([g[i] for g in got]) for i, name in enumerate(names)}
-        del got
+        got.clear()
         signed = columns.pop(key)
         cut = int(np.searchsorted(signed, 0))
         for part in (slice(0, cut), slice(cut, len(signed))):
@@ -151,5 +200,10 @@ def write_sorted(df: DataFrame, key: str, build: Callable[[dict[str, np.ndarray]
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     schema = "first string, last string, rows long, path string, layout array<struct<name:string,dtype:string,at:long,n:long>>"
-    found = df.repartitionByRange(parts, key).sortWithinPartitions(key).mapInArrow(run, schema).collect()
+    if span is None:
+        dealt = df.repartitionByRange(parts, key)
+    else:
+        share = F.col(key) / float(span) + (0.5 if span == HASHES else 0.0)
+        dealt = df.repartitionById(parts, F.least(F.lit(parts - 1), F.floor(share * parts)).cast("int"))
+    found = dealt.sortWithinPartitions(key).mapInArrow(run, schema).collect()
     return Sorted([Shard(int(r["first"]), int(r["last"]), r["rows"], r["path"], [(x["name"], x["dtype"], x["at"], x["n"]) for x in r["layout"]]) for r in found])

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .shards import Sorted, write_sorted
+from .shards import HASHES, Sorted, write_sorted
 from .shared import materialize, release
 
 
@@ -163,37 +163,10 @@ def _emit_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([_signed(k), _signed(k2), pa.array(tv.ids(doc_id))], ["k", "k2", "id"])
 
 
-def _find_both(table: Sorted, k: np.ndarray, k2: np.ndarray) -> np.ndarray:
-    """Rows of a table of 128-bit digests (key, k2), -1 where it lacks one."""
-    order = np.argsort(k, kind="stable")
-    rows = table.find(k[order])
-    out = np.full(len(k), -1, np.int64)
-    for ahead in range(3):
-        at = rows + ahead
-        ok = np.flatnonzero((rows >= 0) & (at < table.rows) & (out[order] < 0))
-        same = table.take(at[ok], "k2") == k2[order][ok].view(np.int64)
-        out[order[ok[same]]] = at[ok[same]]
-    return out
-
-
-def _take(table: Sorted, rows: np.ndarray, column: str) -> np.ndarray:
-    """take() for rows in any order, 0 where a row is -1."""
-    out = np.zeros(len(rows), np.int64)
-    some = np.flatnonzero(rows >= 0)
-    order = some[np.argsort(rows[some], kind="stable")]
-    out[order] = table.take(rows[order], column)
-    return out
-
-
-def _find(table: Sorted, keys: np.ndarray) -> np.ndarray:
-    u, back = np.unique(keys, return_inverse=True)
-    return table.find(u)[back]
-
-
 def _standing(texts: Sorted, doc_id: pa.Array, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys of all texts, and which rows stand for their text."""
     k, k2 = text_keys(column)
-    return k, k2, _take(texts, _find_both(texts, k, k2), "first") == tv.ids(doc_id)
+    return k, k2, texts.take_any(texts.find_both(k, k2), "first") == tv.ids(doc_id)
 
 
 def _dense(*keys: np.ndarray) -> np.ndarray:
@@ -324,7 +297,7 @@ def repeated_spans(docs: DataFrame, grains: tuple[Grain, ...] = (REMOVED, PASSAG
     """Find all repeated strings of docs (doc_id, text). Buckets of over bucket distinct contexts are counted by digest."""
     texts = docs.select("doc_id", "text").mapInArrow(_emit_texts, "k long, k2 long, id long")
     texts = texts.groupBy("k", "k2").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
-    texts = write_sorted(texts, "k", None, "sub-texts")
+    texts = write_sorted(texts, "k", None, "sub-texts", HASHES)
     longest = max(g.length for g in grains)
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -350,14 +323,14 @@ def repeated_spans(docs: DataFrame, grains: tuple[Grain, ...] = (REMOVED, PASSAG
                 for grain in grains:
                     c = Contexts(part, grain)
                     ok = np.flatnonzero(stands[rows[c.row]])
-                    n = _take(buckets, _find(buckets, c.bucket[ok]), "n")
+                    n = buckets.take_any(buckets.find_any(c.bucket[ok]), "n")
                     ok, n = ok[n > 1], n[n > 1]
                     row = c.row[ok]
                     lo = c.lo[ok] - part.offs[row] + at[row]
-                    found = _find_both(whole, c.context[ok], c.context2[ok])
+                    found = whole.find_both(c.context[ok], c.context2[ok])
                     again = found >= 0
                     here = tv.pair_hashes(k[rows[row]], lo.astype(np.uint64)).view(np.int64)
-                    keep = ~again | (_take(whole, found, "place") == here)
+                    keep = ~again | (whole.take_any(found, "place") == here)
                     ok, n, row, lo, again = ok[keep], n[keep], row[keep], lo[keep], again[keep]
                     small = (n <= bucket).tolist()
                     ends = list(zip(small, c.lo[ok].tolist(), c.hi[ok].tolist(), c.anchor[ok].tolist()))
@@ -377,7 +350,7 @@ def repeated_spans(docs: DataFrame, grains: tuple[Grain, ...] = (REMOVED, PASSAG
     often = one.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     start = F.col("lo") + F.col("p")
     hot = one.filter("NOT whole").join(often, "h").select("k", "k2", start.alias("start"), (start + F.col("length")).alias("end"), "length")
-    spans = write_sorted(spans.unionByName(hot), "k", None, "sub-spans")
+    spans = write_sorted(spans.unionByName(hot), "k", None, "sub-spans", HASHES)
     release(rows)
     return Tables(texts, whole, spans, tuple(grains))
 
@@ -385,8 +358,8 @@ def repeated_spans(docs: DataFrame, grains: tuple[Grain, ...] = (REMOVED, PASSAG
 def _two_tables(each: DataFrame) -> tuple[Sorted, Sorted]:
     """Contexts seen twice, and buckets with more than one distinct context."""
     each = materialize(each, "sub-counts")
-    whole = write_sorted(each.filter("n > 1").select("context", "k2", "place"), "context", None, "sub-whole")
-    buckets = write_sorted(each.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "bucket", None, "sub-buckets")
+    whole = write_sorted(each.filter("n > 1").select("context", "k2", "place"), "context", None, "sub-whole", HASHES)
+    buckets = write_sorted(each.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "bucket", None, "sub-buckets", HASHES)
     release(each)
     return whole, buckets
 
@@ -401,7 +374,7 @@ def _merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def _intervals_of(spans: Sorted, k: np.ndarray, k2: np.ndarray, wanted: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
     """(row, length, start, end) of the stored intervals of the texts at the wanted rows."""
-    first = _find(spans, k)
+    first = spans.find_any(k)
     for r in np.flatnonzero((first >= 0) & wanted).tolist():
         at, mine = int(first[r]), int(k[r])
         n = int(np.searchsorted(spans.offsets, at, "right")) - 1
@@ -434,12 +407,12 @@ def cut(docs: DataFrame, tables: Tables) -> DataFrame:
             data, offs = tv.buffers(text)
             size = np.diff(offs)
             k, k2 = text_keys(text)
-            copies = _take(texts, _find_both(texts, k, k2), "n") > 1
+            copies = texts.take_any(texts.find_both(k, k2), "n") > 1
             found: dict[int, list[list[tuple[int, int]]]] = {g.length: [[] for _ in range(len(k))] for g in grains}
             for part, rows, at in _parts(text, longest):
                 for grain in grains:
                     c = Contexts(part, grain)
-                    ok = np.flatnonzero((_find_both(whole, c.context, c.context2) >= 0) & ~copies[rows[c.row]])
+                    ok = np.flatnonzero((whole.find_both(c.context, c.context2) >= 0) & ~copies[rows[c.row]])
                     row = c.row[ok]
                     shift = at[row] - part.offs[row]
                     for r, s, e in zip(rows[row].tolist(), (c.lo[ok] + shift).tolist(), (c.hi[ok] + grain.length + shift).tolist()):
