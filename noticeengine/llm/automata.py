@@ -1,120 +1,150 @@
 """Probabilistic automata inferred from example strings by state merging.
 
-A prefix tree of the examples is folded: states are visited from the root; a new state is merged into
-an earlier one when their stop and symbol frequencies, and those of all states that follow, differ by
-less than a Hoeffding bound, and is kept as its own state otherwise.
+The prefix tree of the examples is merged in two passes. First, states of one depth are merged when
+their stop and symbol frequencies, and those of all states that follow, differ by less than a
+Hoeffding bound: a depth then has as many states as the format has branches, with all the counts that
+tell it from other depths. Then states of different depths are merged by the same test, which loops
+the parts of a format that may be of any length and keeps those of a fixed one, since a stop at one
+depth only makes all depths before it differ.
 """
 
 from __future__ import annotations
 
 import math
-from collections import deque
-from dataclasses import dataclass, field
+from collections import Counter
+from dataclasses import dataclass
 
-
-@dataclass
-class _State:
-    count: int = 0
-    stops: int = 0
-    seen: dict[str, int] = field(default_factory=dict)
-    next: dict[str, int] = field(default_factory=dict)
+#: Pseudo-count of symbols that a state has not seen, dealt out as all states see them.
+UNSEEN = 1.0
+#: Symbols besides the examples' own that the overall distribution leaves room for.
+ROOM = 70
 
 
 @dataclass
 class Automaton:
-    """log2 probability of each symbol and the state after it, per state; unseen symbols cost `floor` and lead back to the start."""
+    """Per state, the state after each symbol and its log2 probability; the state after any other one; and of a stop."""
 
     moves: list[dict[str, tuple[int, float]]]
-    floor: float
+    other: list[int]
+    escape: list[float]
+    stop: list[float]
+    overall: dict[str, float]
+    rare: float
 
     def bits(self, text: str) -> float:
+        """log2 probability of the text and its end."""
         state, total, moves = 0, 0.0, self.moves
         for c in text:
             move = moves[state].get(c)
             if move is None:
-                state, total = 0, total + self.floor
+                total += self.escape[state] + self.overall.get(c, self.rare)
+                state = self.other[state]
             else:
                 state, total = move[0], total + move[1]
-        return total
-
-
-def _prefix_tree(examples: list[str]) -> list[_State]:
-    states = [_State()]
-    for text in examples:
-        at = 0
-        states[0].count += 1
-        for c in text:
-            s = states[at]
-            s.seen[c] = s.seen.get(c, 0) + 1
-            if c not in s.next:
-                s.next[c] = len(states)
-                states.append(_State())
-            at = s.next[c]
-            states[at].count += 1
-        states[at].stops += 1
-    return states
-
-
-def _differs(a: int, n: int, b: int, m: int, bound: float) -> bool:
-    return abs(a / n - b / m) > bound * (1 / math.sqrt(n) + 1 / math.sqrt(m))
-
-
-def _compatible(states: list[_State], a: int, b: int, bound: float) -> bool:
-    todo = [(a, b)]
-    while todo:
-        p, q = todo.pop()
-        x, y = states[p], states[q]
-        if not x.count or not y.count:
-            continue
-        if _differs(x.stops, x.count, y.stops, y.count, bound):
-            return False
-        for c in x.seen.keys() | y.seen.keys():
-            if _differs(x.seen.get(c, 0), x.count, y.seen.get(c, 0), y.count, bound):
+        return total + self.stop[state]
+
+
+class _States:
+    """The states of a prefix tree; a merged state is known by the one that it went into."""
+
+    def __init__(self, examples: list[str]):
+        self.count, self.stops, self.seen, self.next, self.into = [0], [0], [Counter()], [{}], [0]
+        for text in examples:
+            at = 0
+            self.count[0] += 1
+            for c in text:
+                self.seen[at][c] += 1
+                if c not in self.next[at]:
+                    self.next[at][c] = len(self.count)
+                    for column, value in ((self.count, 0), (self.stops, 0), (self.seen, Counter()), (self.next, {}), (self.into, len(self.into))):
+                        column.append(value)
+                at = self.next[at][c]
+                self.count[at] += 1
+            self.stops[at] += 1
+
+    def find(self, s: int) -> int:
+        while self.into[s] != s:
+            self.into[s] = self.into[self.into[s]]
+            s = self.into[s]
+        return s
+
+    def after(self, s: int) -> list[int]:
+        """Distinct states that follow s, in the order of their symbols."""
+        return list(dict.fromkeys(self.find(t) for _, t in sorted(self.next[s].items())))
+
+    def compatible(self, a: int, b: int, bound: float) -> bool:
+        todo, done = [(a, b)], set()
+        while todo:
+            p, q = (self.find(s) for s in todo.pop())
+            if p == q or (p, q) in done:
+                continue
+            done.add((p, q))
+            n, m = self.count[p], self.count[q]
+            reach = bound * (1 / math.sqrt(n) + 1 / math.sqrt(m))
+            if abs(self.stops[p] / n - self.stops[q] / m) > reach:
                 return False
-        todo += [(x.next[c], y.next[c]) for c in x.next.keys() & y.next.keys() if x.next[c] != y.next[c]]
-    return True
-
-
-def _fold(states: list[_State], into: int, other: int) -> None:
-    """Add the tree below other to the automaton at into."""
-    todo = [(into, other)]
-    while todo:
-        p, q = todo.pop()
-        x, y = states[p], states[q]
-        x.count += y.count
-        x.stops += y.stops
-        for c, n in y.seen.items():
-            x.seen[c] = x.seen.get(c, 0) + n
-            if c in x.next:
-                todo.append((x.next[c], y.next[c]))
-            else:
-                x.next[c] = y.next[c]
-
-
-def infer(examples: list[str], alpha: float = 0.05, floor: float = -12.0) -> Automaton:
+            x, y = self.seen[p], self.seen[q]
+            if reach < 1 and any(abs(x[c] / n - y[c] / m) > reach for c in x.keys() | y.keys()):
+                return False
+            todo += [(self.next[p][c], self.next[q][c]) for c in self.next[p].keys() & self.next[q].keys()]
+        return True
+
+    def merge(self, a: int, b: int) -> None:
+        """b goes into a, and so do the states that follow both by one symbol."""
+        todo = [(a, b)]
+        while todo:
+            p, q = (self.find(s) for s in todo.pop())
+            if p == q:
+                continue
+            self.into[q] = p
+            self.count[p] += self.count[q]
+            self.stops[p] += self.stops[q]
+            self.seen[p].update(self.seen[q])
+            for c, t in self.next[q].items():
+                if c in self.next[p]:
+                    todo.append((self.next[p][c], t))
+                else:
+                    self.next[p][c] = t
+
+
+def infer(examples: list[str], alpha: float = 0.05) -> Automaton:
     """Automaton of the examples; alpha is the confidence of the merge test."""
-    states = _prefix_tree(sorted(examples))
+    states = _States(sorted(examples))
     bound = math.sqrt(0.5 * math.log(2 / alpha))
-    kept = [0]
-    queue = deque((0, c) for c in sorted(states[0].next))
-    while queue:
-        parent, c = queue.popleft()
-        new = states[parent].next.get(c)
-        if new is None or new in kept:
-            continue
-        for old in kept:
-            if _compatible(states, old, new, bound):
-                states[parent].next[c] = old
-                _fold(states, old, new)
-                queue.extend((old, d) for d in sorted(states[old].next) if states[old].next[d] not in kept)
-                break
-        else:
-            kept.append(new)
-            queue.extend((new, d) for d in sorted(states[new].next))
+
+    def settle(todo: list[int], kept: list[int]) -> None:
+        """Merge each state of todo into the first of kept that it is compatible with, or keep it."""
+        for s in todo:
+            if states.find(s) != s or s in kept:
+                continue
+            for k in kept:
+                if states.find(k) == k and states.compatible(k, s, bound):
+                    states.merge(k, s)
+                    break
+            else:
+                kept.append(s)
+
+    layer, order = [0], [0]
+    while layer:
+        below = list(dict.fromkeys(t for s in layer for t in states.after(s)))
+        layer = []
+        settle(below, layer)
+        order += layer
+    kept: list[int] = []
+    settle(order, kept)
+    kept = [s for s in dict.fromkeys(states.find(k) for k in kept)]
     index = {s: i for i, s in enumerate(kept)}
-    moves = []
+    overall = Counter()
+    for s in kept:
+        overall.update(states.seen[s])
+    stops, total = len(examples), sum(overall.values()) + len(examples) + ROOM
+    moves, other, escape, stop = [], [], [], []
     for s in kept:
-        x = states[s]
-        total = sum(x.seen.values()) + 1
-        moves.append({c: (index[x.next[c]], math.log2(n / total)) for c, n in x.seen.items() if x.next[c] in index})
-    return Automaton(moves, floor)
+        n = states.count[s] + UNSEEN
+        share = {c: (k + UNSEEN * (overall[c] + 1) / total) / n for c, k in states.seen[s].items()}
+        moves.append({c: (index[states.find(states.next[s][c])], math.log2(p)) for c, p in share.items()})
+        often = max(states.seen[s].items(), key=lambda x: (x[1], x[0]), default=None)
+        other.append(index[states.find(states.next[s][often[0]])] if often else index[s])
+        escape.append(math.log2(UNSEEN / n))
+        stop.append(math.log2((states.stops[s] + UNSEEN * (stops + 1) / total) / n))
+    return Automaton(moves, other, escape, stop, {c: math.log2((k + 1) / total) for c, k in overall.items()}, math.log2(1 / total))
