@@ -2,14 +2,15 @@
 
 Words are runs of digits, letters and non-ASCII characters, A-Z lower-cased. A window is WINDOW
 consecutive words of an item, or the whole of a shorter one. Each block of documents is a shard with
-a word-level suffix array: the suffixes that start with the first words of some window, sorted by
-their first WINDOW words. Every window, the prefix of a test suffix, is found in it by binary search;
-the range found gives all verbatim places, and consecutive places of one item along a document give
-its longest verbatim match. Documents with a place are contaminated.
+a word-level suffix array of all its suffixes, ordered by rank doubling over their first 16 words.
+Every window, the head of a test suffix, is searched in every shard by bisection: the range found
+gives all its verbatim places. Places of neighbouring windows of one item that follow each other in a
+document are one longer match, so their runs give its longest verbatim match. Documents with a place
+are contaminated.
 
-The benchmark's windows are sent to every task in parts of at most PART_BYTES of text; a larger
-benchmark takes several passes, whose places are merged by document, so that nothing unbounded is
-broadcast.
+The windows are written once, by tasks, as sorted arrays in the shared folder, which tasks
+memory-map: nothing of the benchmark reaches the driver or a closure, whatever its size. A shard first
+leaves out windows with a word that it does not have.
 
 Defined cases: a null text has no words; an item without words has no window; a null item id is
 written as an empty text; repeated items and rows each count; an empty benchmark contaminates
@@ -27,13 +28,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textvec as tv
+from .shards import HASHES, Sorted, write_sorted
+from .shared import materialize
 
 WINDOW = 10
-#: Bytes of benchmark text that one pass looks for.
-PART_BYTES = 16 << 20
-_TABLE_BITS = 20
-#: A suffix enters the array if its first so many words start some window.
-_LEAD = 3
+#: Bytes of document text of a shard.
+SHARD = 4 << 20
+#: Windows that are looked for at once.
+AT_ONCE = 1 << 17
 
 
 def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -43,190 +45,183 @@ def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return tv.span_hashes(low, starts, ends), at
 
 
-def _lead(h: np.ndarray, k: int) -> np.ndarray:
-    """Hash of the first k words from each place on, where that many follow."""
-    out = h
-    for i in range(1, k):
-        out = tv.pair_hashes(out[: len(h) - i], h[i:])
-    return out
-
-
-def _as_bytes(rows: np.ndarray) -> np.ndarray:
-    """Rows of word hashes as byte strings that sort as the rows do."""
-    return np.ascontiguousarray(rows.astype(">u8")).view(f"V{8 * rows.shape[1]}").ravel()
-
-
-class Windows:
-    """The distinct windows of a benchmark part, sorted, with the items and the item places of each."""
-
-    def __init__(self, items: list[tuple[str, str]]):
-        self.items = [i for i, _ in items]
-        text = pa.array([t for _, t in items], pa.large_string())
-        data, offs = tv.buffers(text)
-        h, at = words(data, offs)
-        rows, size, item, place = [], [], [], []
-        for n in range(len(items)):
-            own = h[at[n] : at[n + 1]]
-            for p in range(max(1, len(own) - WINDOW + 1) if len(own) else 0):
-                w = own[p : p + WINDOW]
-                rows.append(np.pad(w, (0, WINDOW - len(w))))
-                size.append(len(w))
-                item.append(n)
-                place.append(p)
-        table = np.array(rows, np.uint64).reshape(-1, WINDOW)
-        self.rows, back = np.unique(np.column_stack([np.array(size, np.uint64), table]), axis=0, return_inverse=True)
-        self.size = self.rows[:, 0].astype(np.int64)
-        self.rows = self.rows[:, 1:]
-        order = np.argsort(back.ravel(), kind="stable")
-        self.item, self.place = np.array(item, np.int64)[order], np.array(place, np.int64)[order]
-        self.at = np.concatenate([[0], np.cumsum(np.bincount(back.ravel(), minlength=len(self.rows)))]).astype(np.int64)
-        self.leads = {}
-        for k in range(1, _LEAD + 1):
-            own = np.flatnonzero(np.minimum(self.size, _LEAD) == k)
-            if len(own):
-                lead = np.unique(np.array([_lead(self.rows[w, :k], k)[0] for w in own], np.uint64))
-                quick = np.zeros(1 << _TABLE_BITS, bool)
-                quick[lead >> np.uint64(64 - _TABLE_BITS)] = True
-                self.leads[k] = (lead, quick)
-
-
-def _places(h: np.ndarray, at: np.ndarray, w: Windows) -> tuple[np.ndarray, np.ndarray]:
-    """(window, word place) of every occurrence of a window inside a row."""
-    end = np.repeat(at[1:], np.diff(at))
-    starts = np.zeros(len(h), bool)
-    for k, (lead, quick) in w.leads.items():
-        hk = _lead(h, k) if len(h) >= k else h[:0]
-        maybe = np.flatnonzero(quick[hk >> np.uint64(64 - _TABLE_BITS)])
-        x = hk[maybe]
-        i = np.minimum(np.searchsorted(lead, x), len(lead) - 1)
-        hit = maybe[lead[i] == x]
-        starts[hit[hit + k <= end[hit]]] = True
-    p = np.flatnonzero(starts)
-    if not len(p):
-        return p, p
-    reach = p[:, None] + np.arange(WINDOW)
-    rows = np.where(reach < end[p][:, None], h[np.minimum(reach, len(h) - 1)], 0)
-    order = np.lexsort(rows.T[::-1])
-    array, p = rows[order], p[order]  # the shard's suffix array
-    found, place = [], []
-    for k in np.unique(w.size):
-        own = np.flatnonzero(w.size == k)
-        keys = _as_bytes(array[:, :k])
-        test = _as_bytes(w.rows[own, :k])
-        left, right = _search(keys, test, "left"), _search(keys, test, "right")
-        n = right - left
-        inside = np.repeat(left, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        window = np.repeat(own, n)
-        whole = p[inside] + k <= end[p[inside]]
-        found.append(window[whole])
-        place.append(p[inside][whole])
-    return np.concatenate(found), np.concatenate(place)
-
-
-def _search(keys: np.ndarray, test: np.ndarray, side: str) -> np.ndarray:
-    """Binary search over byte strings of one width."""
-    lo, hi = np.zeros(len(test), np.int64), np.full(len(test), len(keys))
-    keys, test = keys.astype(object), test.astype(object)
-    for n in range(len(test)):
-        a, b, x = 0, int(hi[n]), bytes(test[n])
-        while a < b:
-            m = (a + b) // 2
-            y = bytes(keys[m])
-            if y < x or (side == "right" and y == x):
-                a = m + 1
-            else:
-                b = m
-        lo[n] = a
-    return lo
-
-
-def _longest(row: np.ndarray, item: np.ndarray, diagonal: np.ndarray, place: np.ndarray, size: np.ndarray, n: int) -> np.ndarray:
-    """Words of the longest verbatim match in each of n rows: the longest run of windows along one item."""
-    out = np.zeros(n, np.int64)
+def _emit_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a window: its first word, all its words as bytes, its item and place."""
+    for item, text in tv.rows(batches, ["item", "text"]):
+        number = item.to_numpy()
+        for i, j, data, offs in tv.blocks(tv.as_string_array(text)):
+            h, at = words(data, offs)
+            n = np.where(np.diff(at) > 0, np.maximum(np.diff(at) - WINDOW + 1, 1), 0)
+            to = np.concatenate([[0], np.cumsum(n)])
+            row = tv.row_of(to)
+            place = np.arange(to[-1]) - to[row]
+            first, last = at[row] + place, at[row + 1]
+            reach = first[:, None] + np.arange(WINDOW)
+            inside = reach < last[:, None]
+            body = np.where(inside, h[np.minimum(reach, max(0, len(h) - 1))] if len(h) else 0, 0).astype(np.uint64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(h[first].view(np.int64)), pa.array([x.tobytes() for x in body], pa.binary()), pa.array(inside.sum(1)), pa.array(number[i:j][row]), pa.array(place)],
+                ["k", "body", "size", "item", "place"],
+            )
+
+
+def _flat_words(columns: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    return columns | {"body": np.frombuffer(b"".join(columns["body"]), np.uint64)}
+
+
+def _flat_names(columns: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    names = [x.encode() for x in columns.pop("id")]
+    return columns | {"at": np.concatenate([[0], np.cumsum([len(x) for x in names])]).astype(np.int64), "flat": np.frombuffer(b"".join(names), np.uint8)}
+
+
+def windows_of(benchmark: DataFrame) -> tuple[Sorted, Sorted]:
+    """Tables of the windows of a benchmark (item_id, text), by their first words, and of the items' ids, by their numbers."""
+    rows = benchmark.filter(F.col("text").isNotNull()).select(F.monotonically_increasing_id().alias("item"), F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("id"), "text")
+    rows = materialize(rows, "items")  # numbers once given stay
+    windows = write_sorted(rows.select("item", "text").mapInArrow(_emit_windows, "k long, body binary, size long, item long, place long"), "k", _flat_words, "windows", HASHES)
+    return windows, write_sorted(rows.select("item", "id"), "item", _flat_names, "item-ids")
+
+
+class Shard:
+    """The suffix array of a block of documents, of dense word ranks from 1 on; 0 stands after each document's end."""
+
+    def __init__(self, h: np.ndarray, at: np.ndarray):
+        self.known, rank = np.unique(h, return_inverse=True)
+        self.end = np.repeat(at[1:], np.diff(at))
+        self.rank = rank + 1
+        place = np.arange(len(h))
+        order, reach = self.rank, 1
+        while reach < WINDOW:
+            ahead = place + reach
+            after = np.where(ahead < self.end, order[np.minimum(ahead, len(h) - 1)], 0) if len(h) else order
+            order = np.unique(order * (len(h) + 2) + after, return_inverse=True)[1] + 1
+            reach *= 2
+        self.array = np.argsort(order, kind="stable")
+
+    def heads(self, places: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The first words of the suffixes at places, as many as size says, 0 beyond."""
+        reach = places[:, None] + np.arange(WINDOW)
+        inside = (reach < self.end[places][:, None]) & (np.arange(WINDOW) < size[:, None])
+        return np.where(inside, self.rank[np.minimum(reach, len(self.rank) - 1)], 0)
+
+    def ranks(self, body: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks of the words of the windows that have only known ones, and which these are."""
+        keep, out = np.arange(len(body)), np.zeros((len(body), WINDOW), np.int64)
+        for j in range(WINDOW):
+            x = body[keep, j]
+            i = np.minimum(np.searchsorted(self.known, x), len(self.known) - 1)
+            used = j < size[keep]
+            ok = ~used | (self.known[i] == x)
+            out[keep, j] = np.where(used, i + 1, 0)
+            keep = keep[ok]
+        return out[keep], keep
+
+    def search(self, test: np.ndarray, size: np.ndarray, past: bool) -> np.ndarray:
+        """Bisection: the first place of the array whose head is not below (or, with past, is above) each test head."""
+        lo, hi = np.zeros(len(test), np.int64), np.full(len(test), len(self.array), np.int64)
+        while len(open_ := np.flatnonzero(lo < hi)):
+            mid = (lo[open_] + hi[open_]) // 2
+            differ = self.heads(self.array[mid], size[open_]) - test[open_]
+            first = differ[np.arange(len(open_)), (differ != 0).argmax(1)]
+            right = first <= 0 if past else first < 0
+            lo[open_] = np.where(right, mid + 1, lo[open_])
+            hi[open_] = np.where(right, hi[open_], mid)
+        return lo
+
+    def places(self, table: Sorted) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(item, place in the item, words, place in the block) of every occurrence of the windows of a table."""
+        if not len(self.array):
+            return
+        for n, part in table.parts(self.known):
+            a = table.arrays(n)
+            lo, hi = (np.searchsorted(a["key"], self.known[part], side) for side in ("left", "right"))
+            some = np.flatnonzero(hi > lo)
+            wide = np.cumsum(hi[some] - lo[some])
+            cut = np.unique(np.concatenate([[0], np.searchsorted(wide, np.arange(AT_ONCE, wide[-1], AT_ONCE)) if len(wide) else [], [len(some)]]).astype(np.int64))
+            for i, j in zip(cut[:-1], cut[1:]):
+                own = some[i:j]
+                count = hi[own] - lo[own]
+                rows = np.repeat(lo[own], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                size = a["size"][rows]
+                test, keep = self.ranks(a["body"].reshape(-1, WINDOW)[rows], size)
+                rows, size = rows[keep], size[keep]
+                if not len(rows):
+                    continue
+                left, right = self.search(test, size, False), self.search(test, size, True)
+                m = right - left
+                found = np.repeat(left, m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+                yield np.repeat(a["item"][rows], m), np.repeat(a["place"][rows], m), np.repeat(size, m), self.array[found]
+
+
+def _matches(row: np.ndarray, item: np.ndarray, inner: np.ndarray, place: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+    """(row, item, place in the item, place, words) of the maximal verbatim matches, by row: runs of places that advance together in an item and a row."""
     if not len(row):
-        return out
+        return [np.zeros(0, np.int64)] * 5
+    diagonal = place - inner
     order = np.lexsort((place, diagonal, item, row))
-    row, item, diagonal, place, size = (x[order] for x in (row, item, diagonal, place, size))
+    row, item, diagonal, place, size, inner = (x[order] for x in (row, item, diagonal, place, size, inner))
     new = np.concatenate([[True], (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (diagonal[1:] != diagonal[:-1]) | (place[1:] != place[:-1] + 1)])
     at = np.flatnonzero(new)
-    np.maximum.at(out, row[at], np.diff(np.append(at, len(row))) - 1 + size[at])
+    return [row[at], item[at], inner[at], place[at], np.diff(np.append(at, len(row))) - 1 + size[at]]
+
+
+def _names(table: Sorted, numbers: np.ndarray) -> list[str]:
+    """Ids of the items of sorted numbers."""
+    out = []
+    for n, part in table.parts(numbers.astype(np.uint64)):
+        a = table.arrays(n)
+        i = np.searchsorted(a["key"], numbers[part].astype(np.uint64))
+        out += [a["flat"][s:e].tobytes().decode() for s, e in zip(a["at"][i], a["at"][i + 1])]
     return out
 
 
-def _find(docs: DataFrame, items: list[tuple[str, str]], carry: tuple[str, ...]) -> DataFrame:
-    w = Windows(items)
+def find_matches(docs: DataFrame, benchmark: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The carried columns, n_words, longest, spans (hit words), items and places (item, place in the item, word, words) of every row of docs, by windows of benchmark (item_id, text).
+
+    Places are the maximal verbatim matches.
+    """
+    table, names = windows_of(benchmark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = tv.as_string_array(batch.column(batch.num_columns - 1))
-            n_words, longest, spans, ids = [], [], [], []
-            for i, j, data, offs in tv.blocks(text):
+            n_words, longest, spans, ids, matches = [], [], [], [], []
+            for i, j, data, offs in tv.blocks(text, SHARD):
                 h, at = words(data, offs)
-                window, place = _places(h, at, w)
+                got = list(Shard(h, at).places(table))
+                item, inner, size, place = (np.concatenate(x) for x in zip(*got)) if got else [np.zeros(0, np.int64)] * 4
                 n_words.append(np.diff(at))
                 cover = np.zeros(len(h) + 1, np.int64)
                 np.add.at(cover, place, 1)
-                np.add.at(cover, place + w.size[window], -1)
+                np.add.at(cover, place + size, -1)
                 s, e, own = tv.spans(np.cumsum(cover)[:-1] > 0, at)
-                m = w.at[window + 1] - w.at[window]
-                pick = np.repeat(w.at[window], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-                item, p = w.item[pick], np.repeat(place, m)
-                row = np.searchsorted(at, p, "right") - 1
-                longest.append(_longest(row, item, p - w.place[pick], p, np.repeat(w.size[window], m), j - i))
-                pairs = np.unique(row * max(1, len(items)) + item)
-                rows, which = pairs // max(1, len(items)), pairs % max(1, len(items))
-                cut = np.searchsorted(rows, np.arange(j - i + 1))
-                for r in range(j - i):
-                    spans.append(np.column_stack([s[own[r] : own[r + 1]], e[own[r] : own[r + 1]]]) - at[r] if own[r] < own[r + 1] else [])
-                    ids.append([w.items[k] for k in which[cut[r] : cut[r + 1]]])
+                row = np.searchsorted(at, place, "right") - 1
+                r, m_item, m_inner, m_place, m_size = _matches(row, item, inner, place, size)
+                most = np.zeros(j - i, np.int64)
+                np.maximum.at(most, r, m_size)
+                longest.append(most)
+                kinds, which = np.unique(item, return_inverse=True)
+                said = _names(names, kinds)
+                pairs = np.unique(row * max(1, len(kinds)) + which)
+                rows, which = pairs // max(1, len(kinds)), pairs % max(1, len(kinds))
+                cut, to = np.searchsorted(rows, np.arange(j - i + 1)), np.searchsorted(r, np.arange(j - i + 1))
+                m_which = np.searchsorted(kinds, m_item)
+                for k in range(j - i):
+                    spans.append(np.column_stack([s[own[k] : own[k + 1]], e[own[k] : own[k + 1]]]) - at[k] if own[k] < own[k + 1] else [])
+                    ids.append([said[x] for x in which[cut[k] : cut[k + 1]]])
+                    matches.append([{"item": said[m_which[x]], "from": int(m_inner[x]), "at": int(m_place[x] - at[k]), "words": int(m_size[x])} for x in range(to[k], to[k + 1])])
             flat = [x for rows_ in spans for x in rows_]
             lists = np.concatenate([[0], np.cumsum([len(x) for x in spans])]).astype(np.int32)
             pair = pa.StructArray.from_arrays([pa.array([int(x[k]) for x in flat], pa.int64()) for k in (0, 1)], ["start", "end"])
-            out = [pa.array(np.concatenate(n_words)), pa.array(np.concatenate(longest)), pa.ListArray.from_arrays(pa.array(lists), pair), pa.array(ids, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(batch.num_columns - 1)] + out, [*carry, "n_words", "longest", "spans", "items"])
+            kind = pa.list_(pa.struct([("item", pa.string()), ("from", pa.int64()), ("at", pa.int64()), ("words", pa.int64())]))
+            out = [pa.array(np.concatenate(n_words)), pa.array(np.concatenate(longest)), pa.ListArray.from_arrays(pa.array(lists), pair), pa.array(ids, pa.list_(pa.string())), pa.array(matches, kind)]
+            yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(batch.num_columns - 1)] + out, [*carry, "n_words", "longest", "spans", "items", "places"])
 
-    found = T.StructType.fromDDL("n_words long, longest long, spans array<struct<start:long,end:long>>, items array<string>")
+    found = T.StructType.fromDDL("n_words long, longest long, spans array<struct<start:long,end:long>>, items array<string>, places array<struct<item:string,`from`:long,at:long,words:long>>")
     schema = T.StructType(docs.select(*carry).schema.fields + found.fields)
     return docs.select(*carry, F.col("text").alias("__text")).mapInArrow(run, schema)
 
 
-def parts_of(benchmark: DataFrame, limit: int = PART_BYTES) -> Iterator[list[tuple[str, str]]]:
-    """The benchmark's items in lists of at most about limit bytes of text."""
-    size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-size * 5 // (limit * 4)) if size > limit else 1)
-    rows = benchmark.filter(F.col("text").isNotNull()).select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("id"), "text")
-    for n in range(parts):
-        own = rows if parts == 1 else rows.filter(F.pmod(F.xxhash64("text"), F.lit(parts)) == n)
-        yield [(r["id"], r["text"]) for r in own.collect()]
-
-
-def find_matches(docs: DataFrame, benchmark: DataFrame, limit: int = PART_BYTES, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The carried columns, n_words, longest, spans (hit words) and items of every row of docs, by windows of benchmark (item_id, text)."""
-    parts = list(parts_of(benchmark, limit)) if docs is not None else []
-    if len(parts) == 1:
-        return _find(docs, parts[0], carry)
-    marked = docs.withColumn("__same", F.xxhash64("text"))
-    found = [_find(marked, p, (*carry, "__same")).withColumn("__part", F.lit(n)) for n, p in enumerate(parts)]
-    every = found[0]
-    for f in found[1:]:
-        every = every.unionByName(f)
-    merged = every.groupBy(*carry, "__same", "n_words").agg(
-        (F.count(F.lit(1)) / len(parts)).cast("int").alias("times"),
-        F.max("longest").alias("longest"),
-        F.array_sort(F.flatten(F.collect_set("spans"))).alias("s"),
-        F.flatten(F.transform(F.collect_set(F.struct("__part", "items")), lambda x: x["items"])).alias("items"),  # equal lists of two parts both count
-    )
-    zero = F.array().cast("array<struct<start:bigint,end:bigint>>")
-
-    def join(acc, x):
-        last = F.get(acc, F.size(acc) - 1)
-        longer = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))))
-        return F.when((F.size(acc) > 0) & (x["start"] <= last["end"]), longer).otherwise(F.concat(acc, F.array(x)))
-
-    merged = merged.withColumn("spans", F.aggregate("s", zero, join))
-    return merged.select(*carry, "n_words", "longest", "spans", "items", F.explode(F.sequence(F.lit(1), "times")).alias("__n")).drop("__n")
-
-
 def digest(matches: DataFrame) -> DataFrame:
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + x["end"] - x["start"])
     return matches.select(

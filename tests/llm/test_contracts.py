@@ -230,14 +230,53 @@ def test_secrets(spark, docs, awkward):
     assert hidden[7] == 'é ü ñ 한글 [secret]" é' and hidden[1] is None and hidden[10].count("[secret]") == 3
 
 
-def test_automata_know_their_format():
+def test_automata_keep_their_format():
     from noticeengine.llm.automata import infer
 
     keys = [hashlib.sha256(str(i).encode()).hexdigest()[:24] for i in range(200)]
     hexes, plain_words = infer(keys), infer(["thing", "other", "within", "there", "hereon"] * 40)
     fresh = hashlib.sha256(b"new").hexdigest()[:24]
+    assert len(hexes.moves) >= 24  # a fixed length is not looped
     assert hexes.bits(fresh) > plain_words.bits(fresh)
     assert hexes.bits("thingotherwithinthereon") < plain_words.bits("thingotherwithinthereon")
+    assert hexes.bits(fresh) > hexes.bits(fresh + "ab") + 8 and hexes.bits(fresh[:20]) < hexes.bits(fresh) * 20 / 24 - 8  # a stop too early
+    branched = infer([f"{'ab' if i % 2 else 'cd'}-{i:04d}" for i in range(400)])
+    assert branched.bits("ab-0123") > branched.bits("ad-0123") + 4
+
+
+def _keys(seed, n):
+    """Keys of two formats that no base pattern finds on its own."""
+    import random
+
+    rng, alnum = random.Random(seed), "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    return [("pk_" if i % 2 else "Z9-") + "".join(rng.choices(alnum if i % 2 else alnum[26:], k=20)) for i in range(n)]
+
+
+def test_model_finds_bare_keys(spark, docs):
+    """Formats learned from assigned values are found where no key word stands; ordinary texts stay free."""
+    ship(spark)
+    rows = [(i, f"the token = {k} is here and nothing else") for i, k in enumerate(_keys(1, 400))]
+    ordinary = docs.filter("text IS NOT NULL").select(F.col("doc_id") + 100_000, "text")
+    model = secret_scan.fit(spark.createDataFrame(rows, "doc_id long, text string").union(ordinary))
+    fresh = spark.createDataFrame([(i, f"see {k} for more") for i, k in enumerate(_keys(2, 200))], "doc_id long, text string")
+    got = secret_scan.digest(secret_scan.scan(fresh, model)).collect()
+    assert sum(r["spans"] == f"model:4:{4 + 23}" for r in got) >= 180
+    plain_runs = secret_scan.digest(secret_scan.scan(ordinary.withColumnRenamed("(doc_id + 100000)", "doc_id"), model))
+    assert plain_runs.filter("n_model > 0").count() <= 1
+
+
+def test_runs_around_base_spans_are_scored(spark):
+    ship(spark)
+    import random
+
+    rng, chars = random.Random(4), "GHIJKLMNOPQRSTUVWXYZ"
+    key = lambda: "".join(rng.choices(chars, k=6)) + "".join(rng.choices("0123456789abcdef", k=24)) + "".join(rng.choices(chars, k=6))
+    rows = [(i, f"words of all kinds token={key()} stand here") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bare = spark.createDataFrame([(1, f"see {key()} here")], "doc_id long, text string")
+    got = secret_scan.digest(secret_scan.scan(bare, secret_scan.fit(docs))).first()
+    assert got["spans"] == "model:4:40,hex:10:34" and got["n_hex"] == 1
+    assert secret_scan.redact(bare, secret_scan.fit(docs)).first()["text"] == "see [secret] here"
 
 
 CUT = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -354,18 +393,31 @@ def test_decontaminate(spark, awkward):
     small = awkward.filter("doc_id <> 5 OR doc_id IS NULL")
     columns = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256")
     assert rows_of(decontaminate.digest(decontaminate.find_matches(small, bench)), *columns) == want
-    assert rows_of(decontaminate.digest(decontaminate.find_matches(small, bench, limit=200)), *columns) == want
+    matches = {r["doc_id"]: r["places"] for r in decontaminate.find_matches(small, bench).collect()}
+    assert sorted((m["item"], m["from"], m["words"]) for m in matches[8] if m["item"] == "0") == [("0", 0, 3)] * 8 and matches[1] == []
     long = decontaminate.digest(decontaminate.find_matches(awkward, bench)).filter("doc_id = 5").first()
     assert long["n_words"] == 120_000 and long["n_hit"] == 80_000 and long["longest"] == 2
     assert decontaminate.digest(decontaminate.find_matches(awkward, bench.limit(0))).filter("contaminated").count() == 0
     assert decontaminate.find_matches(awkward.limit(0), bench).count() == 0
 
 
-def test_items_of_one_id_count_in_every_part(spark):
+def test_items_of_one_id_all_count(spark):
     ship(spark)
     texts = [" ".join(f"{a}{i}" for i in range(12)) for a in ("red", "blue", "green", "white")]
     docs = spark.createDataFrame([(1, " . ".join(texts)), (2, "none of them"), (3, texts[0]), (3, texts[0])], "doc_id long, text string")
     bench = spark.createDataFrame([("q", t) for t in texts], "item_id string, text string")
-    assert len(list(decontaminate.parts_of(bench, 100))) > 1
-    one, many = (rows_of(decontaminate.digest(decontaminate.find_matches(docs, bench, **x)), "doc_id", "n_items", "items_sha256") for x in ({}, {"limit": 100}))
-    assert one == many and dict((r[0], r[1]) for r in one) == {1: 4, 2: 0, 3: 1}
+    got = decontaminate.find_matches(docs, bench)
+    assert dict((r[0], r[1]) for r in rows_of(decontaminate.digest(got), "doc_id", "n_items")) == {1: 4, 2: 0, 3: 1}
+    assert {(m["item"], m["from"], m["at"], m["words"]) for m in got.filter("doc_id = 1").first()["places"]} == {("q", 0, 12 * i, 12) for i in range(4)}
+
+
+def test_suffix_array_is_whole_and_in_order():
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    at = np.array([0, 0, 400, 401, 900])
+    h = rng.integers(1, 4, 900, dtype=np.uint64) << np.uint64(50)
+    shard = decontaminate.Shard(h, at)
+    assert sorted(shard.array.tolist()) == list(range(900))
+    heads = [tuple(x) for x in shard.heads(shard.array, np.full(900, decontaminate.WINDOW)).tolist()]
+    assert heads == sorted(heads)
