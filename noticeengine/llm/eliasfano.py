@@ -34,22 +34,18 @@ class EliasFano:
     def __init__(self, a: dict[str, np.ndarray], prefix: str = ""):
         self.n, self.width = (int(x) for x in a[f"{prefix}shape"])
         self.low, self.bits, self.ones = a[f"{prefix}low"].reshape(self.n, self.width), a[f"{prefix}bits"], a[f"{prefix}ones"]
-        self.zeros = None
+        self.words, self.zeros = self.bits.reshape(-1, 8), None
 
     def _select(self, k: np.ndarray, before: np.ndarray, flip: int) -> np.ndarray:
         """Place of the k-th one, or zero with flip = 255."""
         word = np.searchsorted(before, k, "right") - 1
         left = k - before[word].astype(np.int64)
-        out = word * 64
-        done = np.zeros(len(k), bool)
-        for i in range(8):
-            byte = self.bits[word * 8 + i] ^ flip
-            c = _ONES[byte].astype(np.int64)
-            here = ~done & (left < c)
-            out[here] += 8 * i + _SELECT[byte[here], left[here]]
-            done |= here
-            left = np.where(done, left, left - c)
-        return out
+        bytes_ = self.words[word] ^ np.uint8(flip)
+        upto = np.cumsum(_ONES[bytes_], axis=1, dtype=np.uint8)
+        byte = (upto <= left[:, None]).sum(1)
+        rows = np.arange(len(k))
+        skipped = np.where(byte > 0, upto[rows, np.maximum(byte - 1, 0)], 0).astype(np.int64)
+        return word * 64 + 8 * byte + _SELECT[bytes_[rows, np.minimum(byte, 7)], np.minimum(left - skipped, 7)]
 
     def select0(self, k: np.ndarray) -> np.ndarray:
         if self.zeros is None:

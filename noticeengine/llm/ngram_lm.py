@@ -1,16 +1,21 @@
-"""Language-model scoring with an Elias-Fano n-gram trie.
+"""Language-model scoring with an Elias-Fano n-gram trie of three levels.
 
-Training counts all tokens (lower-cased words and one end per text) and all pairs of neighbouring
-tokens. Level 1 of the trie is the sorted vocabulary: a word's place is its id. Level 2 holds the
-pairs seen LEAST_PAIR times or more: for each context id, through monotone pointers, the sorted ids
-of its successors, coded as one Elias-Fano sequence, with interpolated, absolutely discounted
-log-probabilities quantised to a byte; a context's left-over weight is quantised too. Both levels are
-sorted shards in the shared folder, memory-mapped by the scoring tasks. A pair's probability is found
-by a context-relative successor search; a missing one is the context's left-over weight times the
-word's own smoothed probability.
+Training counts all tokens (lower-cased words and one end per text) and all runs of three tokens, a
+begin before each text and nothing after its end. Level 1 of the trie is the sorted vocabulary: a
+word's place is its id. Levels 2 and 3 lie in shards by the hash of a pair, so that a frequent word's
+pairs are spread over all of them. In a shard, level 2 holds the ids of contexts, monotone pointers
+from them and the sorted ids of their successors, coded as one Elias-Fano sequence; a pair's place
+there is the context of level 3, which is built alike. Each pair and triple has its discounted
+relative frequency, quantised; each pair also the weight that its successors leave over. All pairs
+and triples stay, however rare.
 
-The vocabulary and pairs are counted with partial sums in every task. A pair whose words are not both
-seen LEAST_PAIR times cannot be, and is not counted. Words are told apart by 64-bit hashes.
+A token's probability is interpolated: that of the triple, plus the left-over weight times that of
+the pair, plus the word's left-over weight times its own smoothed probability. Shards are
+memory-mapped by the scoring tasks; a token costs one search for its pair, whose place is also the
+context of the next token's triple, and one context-relative successor search for its triple. Words
+are told apart by 64-bit hashes.
+
+Counting shuffles each block's distinct triples once, to their shard, where equal ones are summed.
 
 Defined cases: a null or blank text is one end token; an empty table gives an empty result; with no
 training text all counts are 0 and every word is unknown; repeated rows each train and are scored.
@@ -29,17 +34,18 @@ from pyspark.sql import functions as F
 
 from . import textvec as tv
 from .eliasfano import EliasFano, encode
-from .shards import Sorted, write_sorted
-from .shared import materialize, release
+from .shards import HASHES, Sorted, map_arrays, write_arrays, write_sorted
+from .shared import scratch_path
 
-LEAST_PAIR = 2
 DISCOUNT = 0.75
-#: Log-probabilities are rounded to 255 steps between this and 0.
-LOWEST = -12.0
+#: Bits of a quantised logarithm; they are rounded to equal steps between this and 0.
+BITS, LOWEST = 8, -12.0
 END = np.uint64(0x9D39247E33776D41)
-#: Id of the context before the first token.
-BEGIN = (1 << 32) - 1
-#: Distinct items that a task sums up before it passes them on.
+#: Ids of the context before the first token and of what follows an end.
+BEGIN, NOTHING = (1 << 32) - 1, (1 << 32) - 2
+#: Bytes of text that are counted or scored at once.
+BLOCK = 4 << 20
+#: Distinct words that a task sums up before it passes them on.
 HELD = 1 << 20
 
 
@@ -101,15 +107,29 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 @dataclass
 class Model:
     words: Sorted  # key: hash, n: count
-    pairs: Sorted | None  # key: context id << 32 | word id
-    left: Sorted | None  # key: context id, code: quantised left-over weight
+    left: Sorted | None  # key: word id, n: distinct successors
+    trie: list[tuple[str, list]]  # path and layout of each shard
     total: int
     texts: int
+    bits: int = BITS
+    _open: dict | None = None
 
     @property
     def vocabulary(self) -> int:
         return self.words.rows
 
+    def __getstate__(self):
+        return self.__dict__ | {"_open": None}
+
+    def shard(self, n: int) -> dict[str, np.ndarray]:
+        if self._open is None:
+            self._open = {}
+        if n not in self._open:
+            if len(self._open) >= 256:
+                self._open.pop(next(iter(self._open)))
+            self._open[n] = map_arrays(*self.trie[n]) if self.trie[n][0] else {}
+        return self._open[n]
+
     def lookup(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Id (-1 unknown) and count of each token."""
         keys, back = np.unique(h, return_inverse=True)
@@ -123,13 +143,31 @@ class Model:
         """log10 of a word's own probability, half a count added to every word and to one more."""
         return np.log10((n + 0.5) / (self.total + 0.5 * (self.vocabulary + 1)))
 
+    def left_over(self, context: np.ndarray) -> np.ndarray:
+        """Weight that the pairs of a context leave to words' own probabilities; 1 for a context never seen."""
+        own, back = np.unique(context, return_inverse=True)
+        out = np.ones(len(own))
+        real = np.flatnonzero(own >= 0)
+        rows = self.left.find(own[real].astype(np.uint64))
+        real, rows = real[rows >= 0], rows[rows >= 0]
+        out[real] = DISCOUNT * self.left.take(rows, "n") / self.times(own[real])
+        return out[back]
+
+    def times(self, context: np.ndarray) -> np.ndarray:
+        """How often each context, a sorted word id or BEGIN, occurs."""
+        out = np.full(len(context), self.texts, np.int64)
+        real = context < NOTHING
+        out[real] = self.words.take(context[real], "n")
+        return out
+
 
-def quantise(x: np.ndarray) -> np.ndarray:
-    return np.clip(np.round(x / LOWEST * 255), 0, 255).astype(np.uint8)
+def quantise(x: np.ndarray, bits: int) -> np.ndarray:
+    top = (1 << bits) - 1
+    return np.clip(np.round(x / LOWEST * top), 0, top).astype(np.uint8 if bits == 8 else np.uint16)
 
 
-def restore(code: np.ndarray) -> np.ndarray:
-    return code * (LOWEST / 255)
+def restore(code: np.ndarray, bits: int) -> np.ndarray:
+    return 10.0 ** (code * (LOWEST / ((1 << bits) - 1)))
 
 
 def contexts(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -140,112 +178,185 @@ def contexts(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def _trie_level(columns: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """Arrays of one shard of level 2 from sorted pairs."""
-    key = columns["key"]
-    context, word = key >> np.uint64(32), key & np.uint64(0xFFFFFFFF)
-    own, first = np.unique(context, return_index=True)
-    rank = np.searchsorted(own, context).astype(np.uint64)
-    span = int(word.max()) + 1
-    successors = encode(rank * np.uint64(span) + word, len(own) * span)
-    pointers = encode(np.append(first, len(key)).astype(np.uint64), len(key) + 1)
-    named = lambda p, a: {f"{p}{k}": v for k, v in a.items()}
-    return named("s_", successors) | named("p_", pointers) | {"context": own.astype(np.uint32), "span": np.array([span], np.int64), "code": quantise(columns["logp"])}
+def pair_keys(before: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    return (before.astype(np.uint64) << np.uint64(32)) | ids.astype(np.uint64)
+
 
+def shard_of(pair: np.ndarray, shards: int) -> np.ndarray:
+    return (tv.mix(pair) % np.uint64(shards)).astype(np.int64)
+
+
+def _level(context: np.ndarray, word: np.ndarray, contexts_: int) -> dict[str, np.ndarray]:
+    """One Elias-Fano sequence of the successors of contexts 0 .. contexts_ - 1 and the pointers of their first ones."""
+    span = int(word.max()) + 1 if len(word) else 1
+    first = np.searchsorted(context, np.arange(contexts_ + 1))
+    successors = encode(context.astype(np.uint64) * np.uint64(span) + word.astype(np.uint64), contexts_ * span)
+    pointers = encode(first.astype(np.uint64), len(word) + 1)
+    return {f"s_{k}": v for k, v in successors.items()} | {f"p_{k}": v for k, v in pointers.items()} | {"span": np.array([span], np.int64)}
+
+
+class Level:
+    def __init__(self, a: dict[str, np.ndarray], prefix: str):
+        own = {k.removeprefix(prefix): v for k, v in a.items() if k.startswith(prefix)}
+        self.successors, self.pointers, self.span = EliasFano(own, "s_"), EliasFano(own, "p_"), int(own["span"][0])
+
+    def find(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Place of each successor of a context, -1 where it has no such one."""
+        out = np.full(len(context), -1, np.int64)
+        ok = np.flatnonzero(word < self.span)
+        want = context[ok].astype(np.uint64) * np.uint64(self.span) + word[ok].astype(np.uint64)
+        at = self.successors.successor(want)
+        inside = np.flatnonzero(at < self.pointers.access(context[ok] + 1).astype(np.int64))
+        hit = inside[self.successors.access(at[inside]) == want[inside]]
+        out[ok[hit]] = at[hit]
+        return out
 
-def fit(docs: DataFrame, least: int = LEAST_PAIR, discount: float = DISCOUNT) -> Model:
-    """Count docs (text) and build both levels."""
+
+def _reduced(pair: np.ndarray, word: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums of equal triples that follow each other."""
+    if not len(pair):
+        return pair, word, n
+    at = np.flatnonzero(np.concatenate([[True], (pair[1:] != pair[:-1]) | (word[1:] != word[:-1])]))
+    return pair[at], word[at], np.add.reduceat(n, at)
+
+
+def _shard_arrays(model: Model, pair: np.ndarray, word: np.ndarray, n: np.ndarray) -> dict[str, np.ndarray]:
+    """Levels 2 and 3 of sorted distinct triples."""
+    own, first = np.unique(pair, return_index=True)
+    times = np.add.reduceat(n, first)
+    rank = np.repeat(np.arange(len(own)), np.diff(np.append(first, len(pair))))
+    context, c_rank = np.unique(own >> np.uint64(32), return_inverse=True)
+    share = np.log10((times - DISCOUNT) / model.times(context.astype(np.int64))[c_rank])
+    three = np.log10((n - DISCOUNT) / times[rank])
+    rest = np.log10(DISCOUNT * np.diff(np.append(first, len(pair))) / times)
+    q = lambda x: quantise(x, model.bits)
+    out = {f"a_{k}": v for k, v in _level(c_rank, own & np.uint64(0xFFFFFFFF), len(context)).items()}
+    out |= {f"b_{k}": v for k, v in _level(rank, word, len(own)).items()}
+    return out | {"context": context.astype(np.uint32), "pairs": q(share), "rest": q(rest), "triples": q(three)}
+
+
+def fit(docs: DataFrame, bits: int = BITS) -> Model:
+    """Count docs (text) and build all levels."""
+    spark = docs.sparkSession
     counts = docs.select("text").mapInArrow(_count_words, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    words = write_sorted(counts, "h", None, "lm-words")
+    words = write_sorted(counts, "h", None, "lm-words", HASHES)
     total = sum(int(words.arrays(n)["n"].sum()) for n in range(len(words.shards)))
     texts = int(words.take(np.maximum(words.find(np.array([END])), 0), "n")[0]) if total else 0
     words._open.clear()
-    model = Model(words, None, None, total, texts)
+    model = Model(words, None, [], total, texts, bits)
     if not total:
         return model
+    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    folder = scratch_path(spark, "lm-trie")
 
-    def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = _Sums()
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (text,) in tv.rows(batches, ["text"]):
-            for _, _, data, offs in tv.blocks(tv.as_string_array(text)):
+            for _, _, data, offs in tv.blocks(tv.as_string_array(text), BLOCK):
                 h, at = tokens(data, offs)
-                ids, n = model.lookup(h)
-                frequent = n >= least
-                before = contexts(ids, at)
-                both = frequent.copy()
-                both[1:] &= frequent[:-1]
-                both[at[:-1]] = frequent[at[:-1]]
-                yield from sums.add((before[both].astype(np.uint64) << np.uint64(32)) | ids[both].astype(np.uint64))
-        yield from sums.flush()
-
-    kept = docs.select("text").mapInArrow(count_pairs, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    kept = materialize(kept, "lm-pairs")
-    context = F.shiftrightunsigned("h", 32)
-    per = kept.groupBy(context.alias("c")).agg((F.sum("n") - discount * F.count(F.lit(1))).alias("used"))
-
-    def of_context(ids: np.ndarray) -> np.ndarray:
-        """Occurrences of each context, for sorted ids."""
-        out = np.full(len(ids), texts, np.float64)
-        real = ids != BEGIN
-        out[real] = words.take(ids[real].astype(np.int64), "n")
-        return out
-
-    def left_codes(columns: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        own = columns["key"]
-        rest = np.maximum(1 - columns["used"] / of_context(own), 1e-12)
-        return {"key": own, "code": quantise(np.log10(rest))}
-
-    left = write_sorted(per, "c", left_codes, "lm-left")
-
-    def pair_codes(columns: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        key = columns["key"]
-        own, back = np.unique(key >> np.uint64(32), return_inverse=True)
-        n_context = of_context(own)[back]
-        rows = left.find(own)
-        weight = 10.0 ** restore(left.take(rows, "code"))[back]
-        word, w_back = np.unique(key & np.uint64(0xFFFFFFFF), return_inverse=True)
-        p = 10.0 ** model.log_word(words.take(word.astype(np.int64), "n"))[w_back]
-        return _trie_level({"key": key, "logp": np.log10((columns["n"] - discount) / n_context + weight * p)})
-
-    pairs = write_sorted(kept, "h", pair_codes, "lm-trie")
-    release(kept)
-    return Model(words, pairs, left, total, texts)
-
-
-def log_pairs(model: Model, before: np.ndarray, ids: np.ndarray, log_word: np.ndarray) -> np.ndarray:
-    """log10 probability of each token after its context."""
-    out = log_word.copy()
-    if model.pairs is None:
-        return out
-    own, back = np.unique(before, return_inverse=True)
-    rest, seen = np.zeros(len(own)), np.zeros(len(own), bool)
-    real = np.flatnonzero(own >= 0)
-    rows = model.left.find(own[real].astype(np.uint64))
-    has = rows >= 0
-    rest[real[has]], seen[real[has]] = restore(model.left.take(rows[has], "code")), True
-    out += rest[back]
-    maybe = np.flatnonzero((before >= 0) & (ids >= 0) & seen[back])
-    key = (before[maybe].astype(np.uint64) << np.uint64(32)) | ids[maybe].astype(np.uint64)
-    key, again = np.unique(key, return_inverse=True)
-    found = np.ones(len(key))
-    for n, part in model.pairs.parts(key):
-        a = model.pairs.arrays(n)
-        level, span, x = EliasFano(a, "s_"), int(a["span"][0]), key[part]
-        context, word = x >> np.uint64(32), x & np.uint64(0xFFFFFFFF)
-        rank = np.minimum(np.searchsorted(a["context"], context.astype(np.uint32)), len(a["context"]) - 1)
-        ok = np.flatnonzero((a["context"][rank] == context) & (word < span))
-        if not len(ok):
+                ids, _ = model.lookup(h)
+                pair = pair_keys(contexts(ids, at), ids)
+                after = np.append(ids[1:], NOTHING)
+                after[at[1:] - 1] = NOTHING
+                own, back = np.unique(pair, return_inverse=True)
+                triple, n = np.unique((back.astype(np.uint64) << np.uint64(32)) | after.astype(np.uint64), return_counts=True)
+                pair, after = own[triple >> np.uint64(32)], triple & np.uint64(0xFFFFFFFF)
+                for i in range(0, len(pair), 1 << 16):
+                    part = slice(i, i + (1 << 16))
+                    both = (after[part] << np.uint64(32)) | np.minimum(n[part], 0xFFFFFFFF).astype(np.uint64)
+                    yield pa.RecordBatch.from_arrays([pa.array(shard_of(pair[part], shards).astype(np.int32)), pa.array(pair[part].view(np.int64)), pa.array(both.view(np.int64))], ["shard", "pair", "after"])
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got, held = [], []
+        for shard, pair, after in tv.rows(batches, ["shard", "pair", "after"]):
+            number, x = shard[0].as_py(), after.to_numpy().view(np.uint64)
+            got.append(_reduced(pair.to_numpy().view(np.uint64), x >> np.uint64(32), (x & np.uint64(0xFFFFFFFF)).astype(np.int64)))
+        if not got:
+            return
+        pair, word, n = _ordered(*(np.concatenate(x) for x in zip(*got)))
+        got.clear()
+        path, layout = write_arrays(folder, _shard_arrays(model, pair, word, n))
+        held.append({"shard": number, "path": path, "layout": [{"name": a, "dtype": b, "at": c, "n": d} for a, b, c, d in layout]})
+        yield pa.RecordBatch.from_pylist(held, _REPORT)
+
+    dealt = docs.select("text").mapInArrow(count, "shard int, pair long, after long").repartitionById(shards, "shard")
+    schema = "shard int, path string, layout array<struct<name:string,dtype:string,at:long,n:long>>"
+    found = {r["shard"]: (r["path"], [tuple(x) for x in r["layout"]]) for r in dealt.sortWithinPartitions("pair", "after").mapInArrow(build, schema).collect()}
+    model.trie = [found.get(n, ("", [])) for n in range(shards)]
+
+    def successors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (number,) in tv.rows(batches, ["id"]):
+            for n in number.to_pylist():
+                if a := model.shard(n):
+                    first = Level(a, "a_").pointers.access(np.arange(len(a["context"]) + 1)).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(a["context"].astype(np.int64)), pa.array(np.diff(first))], ["c", "n"])
+
+    per = spark.range(0, shards, 1, shards).mapInArrow(successors, "c long, n long").groupBy("c").agg(F.sum("n").alias("n"))
+    model.left = write_sorted(per, "c", None, "lm-left")
+    return model
+
+
+_REPORT = pa.schema([("shard", pa.int32()), ("path", pa.string()), ("layout", pa.list_(pa.struct([("name", pa.string()), ("dtype", pa.string()), ("at", pa.int64()), ("n", pa.int64())])))])
+
+
+def _ordered(pair: np.ndarray, word: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Triples in unsigned order (they come in signed order, where keys from BEGIN are first), summed."""
+    cut = int(np.searchsorted(pair.view(np.int64), 0))
+    pair, word, n = (np.concatenate([x[cut:], x[:cut]]) for x in (pair, word, n))
+    order = np.flatnonzero((pair[1:] == pair[:-1]) & (word[1:] < word[:-1]))
+    if len(order):  # words of the upper half of ids are signed too
+        at = np.lexsort((word, pair))
+        pair, word, n = pair[at], word[at], n[at]
+    return _reduced(pair, word, n)
+
+
+def probabilities(model: Model, ids: np.ndarray, n: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Probability of each token after the two before it in its row."""
+    own = 10.0 ** model.log_word(n)
+    if model.left is None:
+        return own
+    before = contexts(ids, at)
+    known = np.flatnonzero((before >= 0) & (ids >= 0))
+    key, back = np.unique(pair_keys(before[known], ids[known]), return_inverse=True)
+    share, rest = np.zeros(len(key)), np.ones(len(key))
+    # The pair before each token's own, as an index into key; -1 where there is none.
+    index = np.full(len(ids), -1, np.int64)
+    index[known] = back
+    previous = np.full(len(ids), -1, np.int64)
+    previous[1:] = index[:-1]
+    previous[at[:-1]] = -1
+    asks = np.flatnonzero((previous >= 0) & (ids >= 0))
+    triple, again = np.unique((previous[asks].astype(np.uint64) << np.uint64(32)) | ids[asks].astype(np.uint64), return_inverse=True)
+    third = np.zeros(len(triple))
+    t_pair, t_word = (triple >> np.uint64(32)).astype(np.int64), triple & np.uint64(0xFFFFFFFF)
+    shard = shard_of(key, len(model.trie))
+    order = np.argsort(shard, kind="stable")
+    t_order = np.argsort(shard[t_pair], kind="stable")
+    cut, t_cut = (np.searchsorted(x, np.arange(len(model.trie) + 1)) for x in (shard[order], shard[t_pair][t_order]))
+    place = np.full(len(key), -1, np.int64)
+    for s in range(len(model.trie)):
+        mine = order[cut[s] : cut[s + 1]]
+        if not len(mine) or not (a := model.shard(s)):
             continue
-        rank, word = rank[ok].astype(np.uint64), word[ok]
-        at = level.successor(rank * np.uint64(span) + word)
-        pointers = EliasFano(a, "p_")
-        inside = at < pointers.access(rank.astype(np.int64) + 1).astype(np.int64)
-        ok, at, want = ok[inside], at[inside], (rank * np.uint64(span) + word)[inside]
-        hit = level.access(at) == want
-        found[part.start + ok[hit]] = restore(a["code"][at[hit]])
-    p = found[again]
-    out[maybe] = np.where(p <= 0, p, out[maybe])
-    return out
+        context, word = (key[mine] >> np.uint64(32)).astype(np.uint32), key[mine] & np.uint64(0xFFFFFFFF)
+        rank = np.minimum(np.searchsorted(a["context"], context), len(a["context"]) - 1)
+        ok = np.flatnonzero(a["context"][rank] == context)
+        found = Level(a, "a_").find(rank[ok], word[ok])
+        ok, found = mine[ok[found >= 0]], found[found >= 0]
+        place[ok] = found
+        share[ok], rest[ok] = restore(a["pairs"][found], model.bits), restore(a["rest"][found], model.bits)
+        mine = t_order[t_cut[s] : t_cut[s + 1]]
+        mine = mine[place[t_pair[mine]] >= 0]
+        if len(mine):
+            found = Level(a, "b_").find(place[t_pair[mine]], t_word[mine])
+            third[mine[found >= 0]] = restore(a["triples"][found[found >= 0]], model.bits)
+    two = np.zeros(len(ids))
+    two[known] = share[back]
+    two += model.left_over(before) * own
+    weight, three = np.ones(len(ids)), np.zeros(len(ids))
+    seen = previous >= 0
+    weight[seen] = np.where(place[previous[seen]] >= 0, rest[previous[seen]], 1.0)
+    three[asks] = third[again]
+    return three + weight * two
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -254,12 +365,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc_id, text in tv.rows(batches, ["doc_id", "text"]):
             out: list[list[np.ndarray]] = []
-            for _, _, data, offs in tv.blocks(tv.as_string_array(text)):
+            for _, _, data, offs in tv.blocks(tv.as_string_array(text), BLOCK):
                 h, at = tokens(data, offs)
                 ids, n = model.lookup(h)
-                own = model.log_word(n)
-                pair = log_pairs(model, contexts(ids, at), ids, own)
-                out.append([np.diff(at), np.add.reduceat((n > 0).astype(np.int64), at[:-1]), np.add.reduceat(own, at[:-1]), np.add.reduceat(pair, at[:-1])])
+                own, log_p = model.log_word(n), np.log10(probabilities(model, ids, n, at))
+                out.append([np.diff(at), np.add.reduceat((n > 0).astype(np.int64), at[:-1]), np.add.reduceat(own, at[:-1]), np.add.reduceat(log_p, at[:-1])])
             yield pa.RecordBatch.from_arrays([doc_id, *(pa.array(np.concatenate([x[k] for x in out])) for k in range(4))], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
     kind = dict(docs.dtypes)["doc_id"]

@@ -147,31 +147,35 @@ def base_secrets(text):
     return n[0], n[1], n[2], hashlib.sha256(said.encode()).hexdigest()
 
 
-def language_model(docs):
-    """(n_tokens, n_known, N, base, score) by id, of an interpolated model of pairs seen twice or more."""
+def language_model(docs, discount=0.75):
+    """(n_tokens, n_known, N, base, score) by id, of a model of runs of one, two and three tokens."""
     tokens = [(d, words((t or "").translate(LOWER)) + ["\n"]) for d, t in docs]
-    count, pairs, texts = Counter(), Counter(), 0
+    count, pairs, triples = Counter(), Counter(), Counter()
     for d, t in tokens:
         if zlib.crc32(str(d).encode()) % 5 != 1:
             count.update(t)
             pairs.update(zip([None, *t], t))
-            texts += 1
+            triples.update(zip([None, *t], t, [*t[1:], None]))
+            count[None] += 1
+    texts = count.pop(None, 0)
     total, size = sum(count.values()), len(count)
-    pairs = {k: v for k, v in pairs.items() if v >= 2}
-    used = defaultdict(float)
-    for (a, _), v in pairs.items():
-        used[a] += v - 0.75
+    after_word, after_pair = Counter(a for a, _ in pairs), Counter((a, b) for a, b, _ in triples)
 
     def own(w):
         return (count[w] + 0.5) / (total + 0.5 * (size + 1))
 
-    def after(a, w):
+    def two(a, w):
         n = texts if a is None else count[a]
-        left = 1 - used[a] / n if a in used else 1
-        v = pairs.get((a, w))
-        return (v - 0.75) / n + left * own(w) if v else left * own(w)
+        return max(pairs[a, w] - discount, 0) / n + discount * after_word[a] / n * own(w) if n else own(w)
 
-    return {d: (len(t), sum(count[w] > 0 for w in t), total, sum(math.log10(own(w)) for w in t), sum(math.log10(after(a, w)) for a, w in zip([None, *t], t))) for d, t in tokens}
+    def three(z, a, w):
+        n = pairs[z, a]
+        return max(triples[z, a, w] - discount, 0) / n + discount * after_pair[z, a] / n * two(a, w) if n else two(a, w)
+
+    def log_of(t):
+        return sum(math.log10(two(None, w) if i == 0 else three(t[i - 2] if i > 1 else None, t[i - 1], w)) for i, w in enumerate(t))
+
+    return {d: (len(t), sum(count[w] > 0 for w in t), total, sum(math.log10(own(w)) for w in t), log_of(t)) for d, t in tokens}
 
 
 def near_groups(docs, k=5, least=0.8):
