@@ -16,7 +16,8 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     trusted = materialize(quality_rules.trusted_ids(table(spark, sf_dir, "labels")), "trusted")
     ratio = quality_rules.fit_ratio(docs, trusted)
-    return quality_rules.quality_rules(docs, ratio, trusted, quality_rules.calibrate(docs, ratio, trusted))
+    scores = quality_rules.trusted_scores(docs, ratio, trusted)
+    return quality_rules.quality_rules(docs, ratio, scores, quality_rules.threshold_of(scores))
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ def base_rules(text):
 
 
 def log_ratios(docs, trusted, buckets=1 << 16, prior=65536.0, below=0.02):
-    """Mean log ratio of each document without its own n-grams, and the threshold."""
+    """Mean log ratio of each document, with its own n-grams left out of the target, and the threshold."""
 
     def grams(text):
         h = [xxhash.xxh64_intdigest(w.encode(), 42) for w in words(text)]
@@ -49,7 +49,7 @@ def log_ratios(docs, trusted, buckets=1 << 16, prior=65536.0, below=0.02):
         n, good = sum(c.values()), d in trusted
         total, out = 0.0, t - good * n
         for b, k in c.items():
-            p = (raw[b] - k + 1) / (r - n + buckets)
+            p = (raw[b] + 1) / (r + buckets)
             total += k * math.log((target[b] - good * k + prior * p) / ((out + prior) * p))
         score[d] = total / n if n else None
     known = sorted(score[d] for d in trusted if score.get(d) is not None)

@@ -67,7 +67,8 @@ BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "
 
 def judged(df, trusted):
     ratio = quality_rules.fit_ratio(df, trusted)
-    return quality_rules.quality_rules(df, ratio, trusted, quality_rules.calibrate(df, ratio, trusted))
+    scores = quality_rules.trusted_scores(df, ratio, trusted)
+    return quality_rules.quality_rules(df, ratio, scores, quality_rules.threshold_of(scores))
 
 
 def test_base_rules(spark, docs, awkward):
