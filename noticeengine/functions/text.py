@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .lets import let
+
 # Particles, longest first.
 PARTICLES = [
     "에서는", "에서도", "으로는", "으로도", "까지는", "까지도", "부터는",
@@ -51,18 +53,18 @@ def distinct_in_order(a: Column) -> Column:
 
 def strip_particle(token: Column) -> Column:
     """Token without a trailing particle, if at least two characters stay."""
-    return F.regexp_replace(token, PARTICLE_END, "$1")
+    return F.when(F.substring(token, -1, 1).between("가", "힣"), F.regexp_replace(token, PARTICLE_END, "$1")).otherwise(token)
 
 
 def tokenize(text: Column) -> Column:
     """Lower-cased tokens of two characters or more, each followed by its stripped form when that differs; repeats stay."""
-    found = F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0)), lambda t: F.length(t) >= 2)
+    body = F.lower(F.coalesce(text, F.lit("")))
+    found = F.filter(F.regexp_extract_all(body, F.lit(TOKEN), F.lit(0)), lambda t: F.length(t) >= 2)
 
     def both(t: Column) -> Column:
-        stem = strip_particle(t)
-        return F.when((stem != t) & (F.length(stem) >= 2), F.array(t, stem)).otherwise(F.array(t))
+        return let(strip_particle(t), lambda stem: F.when((stem != t) & (F.length(stem) >= 2), F.array(t, stem)).otherwise(F.array(t)))
 
-    return F.flatten(F.transform(found, both))
+    return F.when(body.rlike("[가-힣]"), F.flatten(F.transform(found, both))).otherwise(found)
 
 
 def keyword_variants(keyword: Column) -> Column:

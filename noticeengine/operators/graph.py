@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import ids
+from ..session import materialize
 
 POST, ATTACHMENT, SLICE, CARD, PRODUCT, ROLE, KEYWORD = "Post", "Attachment", "ContentSlice", "WikiCard", "Product", "Damdang", "Keyword"
 SPINE_TYPES = (POST, ATTACHMENT, SLICE, CARD, ROLE)
@@ -122,17 +123,16 @@ def neighbours(edges_: DataFrame, frontier: DataFrame) -> DataFrame:
 def within_hops(edges_: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     """Ids at most hops undirected steps from the seeds (id).
 
-    Every id is also its own neighbour, so that each hop reads the one before it once and the plan grows
-    by one join a hop.
+    A hop only keeps the edges that touch an id reached so far (semi joins, which a hub's many edges pass
+    without being multiplied) and is written, so that each hop reads the one before it.
     """
-    out, back = F.struct(F.col("source").alias("id"), F.col("target").alias("other")), F.struct(F.col("target").alias("id"), F.col("source").alias("other"))
-    stay = [F.struct(F.col(c).alias("id"), F.col(c).alias("other")) for c in ("source", "target")]
-    steps = edges_.select(F.explode(F.array(out, back, *stay)).alias("e")).select("e.id", "e.other").distinct()
-    start = seeds.select("id").distinct()
-    reached = start
+    reached = seeds.select("id").distinct()
     for _ in range(hops):
-        reached = steps.join(reached, "id").select(F.col("other").alias("id")).distinct()
-    return reached.unionByName(start).distinct()
+        reached = materialize(reached, "reached")
+        ahead = edges_.join(reached.select(F.col("id").alias("source")), "source", "left_semi").select(F.col("target").alias("id"))
+        back = edges_.join(reached.select(F.col("id").alias("target")), "target", "left_semi").select(F.col("source").alias("id"))
+        reached = reached.unionByName(ahead).unionByName(back).distinct()
+    return reached
 
 
 def role_cards(cards: DataFrame, role: str) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..session import materialize
 from . import temporal
 
 K1, B = 1.5, 0.75
@@ -44,6 +45,11 @@ def search_text() -> Column:
     return F.concat_ws(" ", F.coalesce("post_title", F.lit("")), F.coalesce("headline", F.lit("")), F.coalesce("body", F.lit("")))
 
 
+def index_text() -> Column:
+    """What the card index holds: the search text, attachment name, keywords and codes."""
+    return F.concat_ws(" ", search_text(), F.coalesce("attachment_name", F.lit("")), F.array_join(F.coalesce("keywords", F.array().cast("array<string>")), " "), F.array_join(F.coalesce("product_codes", F.array().cast("array<string>")), " "))
+
+
 def postings(docs: DataFrame, text: Column, key: str = "id") -> DataFrame:
     """(key, term, tf, dl): how often each token of a text occurs, and how many tokens the text has."""
     tokens = docs.select(key, tx.tokenize(text).alias("t")).select(key, F.size("t").alias("dl"), F.explode("t").alias("term"))
@@ -62,14 +68,17 @@ def document_frequency(posted: DataFrame) -> DataFrame:
 def bm25_batch(docs: DataFrame, text: Column, questions: DataFrame, key: str = "id") -> DataFrame:
     """(question_id, key, score) of every text that shares a term with a question (question_id, question).
 
-    Only postings of asked terms take part: the terms are joined before anything is aggregated.
+    Texts are tokenised once, into a written table of the postings of asked terms and one row a text
+    for its other tokens, which the statistics are read from too.
     """
     asked = questions.select("question_id", F.explode(tx.tokenize(F.col("question"))).alias("term")).groupBy("question_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    sized = docs.select(key, tx.tokenize(text).alias("t")).select(key, F.size("t").alias("dl"), "t")
-    stats = sized.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    wanted = asked.select("term", F.col("term").alias("known")).distinct()
+    tokens = docs.select(key, tx.tokenize(text).alias("t")).select(key, F.size("t").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "t")).alias("term"))
+    every = tokens.join(wanted, "term", "left").groupBy(key, "dl", F.col("known").alias("term")).agg(F.count(F.lit(1)).alias("tf"))
+    every = materialize(every, "postings")
+    stats = every.filter("term IS NULL").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     n, avgdl = stats.select("n").scalar(), stats.select("avgdl").scalar()
-    wanted = asked.select("term").distinct()
-    posted = sized.select(key, "dl", F.explode("t").alias("term")).join(wanted, "term", "left_semi").groupBy(key, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    posted = every.filter("term IS NOT NULL")
     weighed = posted.join(document_frequency(posted), "term").withColumn("n", n).withColumn("avgdl", avgdl)
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.when(F.col("avgdl") == 0, 1.0).otherwise(F.col("avgdl"))))

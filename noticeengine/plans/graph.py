@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import graph
+from ..session import materialize
 from ..sources import driver_tables as T
 
 QUERIES, ORACLES = {}, {}
@@ -32,8 +33,13 @@ def _cards(spark, d):
     )
 
 
-def _tables(spark, d):
-    cards = _cards(spark, d)
+def _written(spark, d):
+    """Cards, nodes and edges as tables that are read more than once."""
+    return tuple(materialize(x, "kg") for x in _tables(spark, d, materialize(_cards(spark, d), "kg-cards")))
+
+
+def _tables(spark, d, cards=None):
+    cards = _cards(spark, d) if cards is None else cards
     posts = T.read(spark, d, "customer").select(F.col("c_custkey").alias("post_id"), F.col("c_name").alias("title"))
     products = T.products(spark, d).select("code", "role")
     roles = cards.select("role").distinct()
@@ -44,15 +50,15 @@ _CODE = "'PLX-' || lpad(CAST({} AS VARCHAR), 8, '0')"
 _ATT = "'att:' || left(sha1(post_id || '_' || attachment_name), 16)"
 _SLICE = "'slice:' || left(sha1(source_ref), 16)"
 _KW = "'kw:' || left(sha1(lower(trim(k))), 12)"
-KG = f"""cd AS (
+KG = f"""cd AS MATERIALIZED (
   SELECT o_orderkey AS id, c_mktsegment AS role, o_custkey AS post_id, o_orderpriority AS attachment_name, o_custkey || '_' || o_orderpriority || '#' || (o_orderkey % 3) AS source_ref,
          'order ' || o_orderkey AS headline, o_orderstatus AS body, [lower(o_orderpriority), o_orderstatus] AS keywords
   FROM orders JOIN customer ON o_custkey = c_custkey
 ), mn0 AS (SELECT l_orderkey AS id, {_CODE.format('l_partkey')} AS code, min(n) AS pos FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS n FROM lineitem) GROUP BY 1, 2),
-mn AS (SELECT mn0.* FROM mn0 JOIN cd USING (id)),
+mn AS MATERIALIZED (SELECT mn0.* FROM mn0 JOIN cd USING (id)),
 pr AS (SELECT {_CODE.format('p_partkey')} AS code, p_brand AS role FROM part),
 kw AS (SELECT id, post_id, unnest(keywords) AS k FROM cd),
-nd AS (
+nd AS MATERIALIZED (
   SELECT id, type, min(label) AS label FROM (
     SELECT 'post:' || c_custkey AS id, 'Post' AS type, left(c_name, 120) AS label FROM customer WHERE c_custkey IN (SELECT post_id FROM cd)
     UNION ALL SELECT {_ATT}, 'Attachment', attachment_name FROM cd
@@ -63,7 +69,7 @@ nd AS (
     UNION ALL SELECT 'damdang:' || pr.role, 'Damdang', pr.role FROM mn JOIN pr USING (code)
     UNION ALL SELECT {_KW}, 'Keyword', trim(k) FROM kw
   ) GROUP BY 1, 2
-), ed AS (
+), ed AS MATERIALIZED (
   SELECT left(sha1(type || '|' || source || '|' || target), 16) AS id, * FROM (
     SELECT 'has_attachment' AS type, 'post:' || post_id AS source, {_ATT} AS target FROM cd
     UNION SELECT 'has_slice', {_ATT}, {_SLICE} FROM cd
@@ -77,7 +83,7 @@ nd AS (
     UNION SELECT 'routed_to', 'product:' || code, 'damdang:' || pr.role FROM mn JOIN pr USING (code)
     UNION SELECT 'co_occurs', 'product:' || a.code, 'product:' || b.code FROM mn a JOIN mn b ON a.id = b.id AND a.pos < b.pos
   )
-), un AS (SELECT source AS id, target AS other FROM ed UNION ALL SELECT target, source FROM ed)"""
+), un AS MATERIALIZED (SELECT source AS id, target AS other FROM ed UNION ALL SELECT target, source FROM ed)"""
 
 
 def _node_label():
@@ -91,21 +97,21 @@ _add("kg_stats", lambda s, d: graph.stats(*_tables(s, d)[1:]), f"WITH {KG} SELEC
 
 
 def _subgraph(spark, d):
-    cards, nodes, edges = _tables(spark, d)
+    cards, nodes, edges = _written(spark, d)
     return graph.subgraph(nodes, edges, cards, ROLE)[1].select("id", "type")
 
 
 def _view(spark, d):
-    cards, nodes, edges = _tables(spark, d)
+    cards, nodes, edges = _written(spark, d)
     return graph.view(nodes, edges, cards, role=ROLE, include_products=True)[0].select("id", "type")
 
 
 _SEED = f"SELECT 'card:' || id AS id FROM cd WHERE role = '{ROLE}'"
-_add("kg_subgraph", _subgraph, f"WITH {KG}, se AS ({_SEED}), ns AS (SELECT id FROM se UNION SELECT other FROM un WHERE id IN (FROM se)) SELECT id, type FROM ed WHERE source IN (FROM ns) AND target IN (FROM ns)")
+_add("kg_subgraph", _subgraph, f"WITH {KG}, se AS ({_SEED}), ns AS MATERIALIZED (SELECT id FROM se UNION SELECT other FROM un WHERE id IN (FROM se)) SELECT id, type FROM ed WHERE source IN (FROM ns) AND target IN (FROM ns)")
 _add(
     "kg_viz_3hop",
     _view,
-    f"""WITH {KG}, h0 AS ({_SEED} UNION SELECT 'damdang:{ROLE}'), h1 AS (FROM h0 UNION SELECT other FROM un WHERE id IN (FROM h0)), h2 AS (FROM h1 UNION SELECT other FROM un WHERE id IN (FROM h1)), h3 AS (FROM h2 UNION SELECT other FROM un WHERE id IN (FROM h2))
+    f"""WITH {KG}, h0 AS MATERIALIZED ({_SEED} UNION SELECT 'damdang:{ROLE}'), h1 AS MATERIALIZED (FROM h0 UNION SELECT other FROM un WHERE id IN (FROM h0)), h2 AS MATERIALIZED (FROM h1 UNION SELECT other FROM un WHERE id IN (FROM h1)), h3 AS MATERIALIZED (FROM h2 UNION SELECT other FROM un WHERE id IN (FROM h2))
 SELECT id, type FROM nd WHERE id IN (FROM h3) AND type <> 'Keyword'""",
 )
 
@@ -120,7 +126,7 @@ _add("cards_by_product", _cards_by_product, f"WITH {KG} SELECT DISTINCT source A
 
 def _validate(spark, d):
     """The graph of sound cards, judged on damaged ones."""
-    cards, nodes, edges = _tables(spark, d)
+    cards, nodes, edges = _written(spark, d)
     i = F.col("id")
     bad = (
         cards.withColumn("role", F.when(i % 101 == 0, "").when(i % 103 == 0, "GHOST").otherwise(F.col("role")))

@@ -118,11 +118,11 @@ def _lookup(spark, d):
 
 
 def _coded(spark, d):
-    lines = T.read(spark, d, "lineitem").filter("l_linenumber <= 3").groupBy("l_orderkey").agg(F.array_sort(F.collect_set(F.concat(F.lit("PLX-"), F.lpad(F.col("l_partkey").cast("string"), 8, "0")))).alias("product_codes"))
+    lines = T.read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set(F.concat(F.lit("PLX-"), F.lpad(F.col("l_partkey").cast("string"), 8, "0")))).alias("product_codes"))
     return lines.withColumnRenamed("l_orderkey", "id")
 
 
-_LOOKUP = "lk AS (SELECT 'PLX-' || lpad(CAST(p_partkey AS VARCHAR), 8, '0') AS code, CASE WHEN p_partkey % 4 = 0 THEN '대형가전1' ELSE p_brand END AS role FROM part UNION ALL SELECT 'PLX-' || lpad(CAST(p_partkey AS VARCHAR), 8, '0'), '대형가전2' FROM part WHERE p_partkey % 3 = 0), co AS (SELECT DISTINCT l_orderkey AS id, 'PLX-' || lpad(CAST(l_partkey AS VARCHAR), 8, '0') AS code FROM lineitem WHERE l_linenumber <= 3), se AS (SELECT DISTINCT co.id, CASE WHEN role IN ('대형가전1', '대형가전2') THEN '대형가전' ELSE role END AS section FROM co JOIN lk USING (code))"
+_LOOKUP = "lk AS (SELECT 'PLX-' || lpad(CAST(p_partkey AS VARCHAR), 8, '0') AS code, CASE WHEN p_partkey % 4 = 0 THEN '대형가전1' ELSE p_brand END AS role FROM part UNION ALL SELECT 'PLX-' || lpad(CAST(p_partkey AS VARCHAR), 8, '0'), '대형가전2' FROM part WHERE p_partkey % 3 = 0), co AS (SELECT DISTINCT l_orderkey AS id, 'PLX-' || lpad(CAST(l_partkey AS VARCHAR), 8, '0') AS code FROM lineitem), se AS (SELECT DISTINCT co.id, CASE WHEN role IN ('대형가전1', '대형가전2') THEN '대형가전' ELSE role END AS section FROM co JOIN lk USING (code))"
 _add(
     "product_routing",
     lambda s, d: routing.routed_sections(_coded(s, d), _lookup(s, d)).select("id", F.array_join(F.array_sort("sections"), ",").alias("sections")),
@@ -138,16 +138,17 @@ _add(
 def _catalogue(spark, d):
     p = F.col("p_partkey")
     items = T.read(spark, d, "part").select(p.alias("id"), F.when(p % 5 == 0, F.lit(None)).otherwise(F.concat(F.lit("C"), F.lpad((p % 500).cast("string"), 4, "0"), F.when(p % 2 == 0, "XY").otherwise(""))).alias("item_cd"), F.when(p % 7 == 0, p.cast("string")).alias("item_id"))
-    master = T.read(spark, d, "part").filter("p_partkey <= 300").select(p.cast("string").alias("item_id"), F.concat(F.lit("C"), F.lpad(p.cast("string"), 4, "0")).alias("item_cd"), F.col("p_brand").alias("role"), p.alias("ord"))
+    master = T.read(spark, d, "part").select(p.cast("string").alias("item_id"), F.concat(F.lit("C"), F.lpad(p.cast("string"), 4, "0")).alias("item_cd"), F.col("p_brand").alias("role"), p.alias("ord"))
     return routing.resolve_catalogue(items, master).filter("role IS NOT NULL")
 
 
 _add(
     "cat_resolve_cascade",
     _catalogue,
-    """WITH m AS (SELECT CAST(p_partkey AS VARCHAR) AS item_id, 'C' || lpad(CAST(p_partkey AS VARCHAR), 4, '0') AS item_cd, p_brand AS role, p_partkey AS ord FROM part WHERE p_partkey <= 300),
+    """WITH m AS (SELECT CAST(p_partkey AS VARCHAR) AS item_id, 'C' || lpad(CAST(p_partkey AS VARCHAR), 4, '0') AS item_cd, p_brand AS role, p_partkey AS ord FROM part),
 i AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 5 <> 0 THEN 'C' || lpad(CAST(p_partkey % 500 AS VARCHAR), 4, '0') || CASE WHEN p_partkey % 2 = 0 THEN 'XY' ELSE '' END END AS cd, CASE WHEN p_partkey % 7 = 0 THEN CAST(p_partkey AS VARCHAR) END AS iid FROM part),
-c AS (SELECT id, coalesce((SELECT role FROM m WHERE m.item_id = i.iid), (SELECT role FROM m WHERE m.item_cd = i.cd), (SELECT role FROM m WHERE m.item_cd = left(i.cd, 5)), (SELECT arg_min(role, ord) FROM m WHERE left(m.item_cd, 3) = left(i.cd, 3))) AS role FROM i)
+m0 AS (SELECT item_id AS k, arg_min(role, ord) AS role FROM m GROUP BY 1), m1 AS (SELECT item_cd AS k, arg_max(role, ord) AS role FROM m GROUP BY 1), m3 AS (SELECT left(item_cd, 3) AS k, arg_min(role, ord) AS role FROM m GROUP BY 1),
+c AS (SELECT id, coalesce(m0.role, m1.role, m5.role, m3.role) AS role FROM i LEFT JOIN m0 ON m0.k = i.iid LEFT JOIN m1 ON m1.k = i.cd LEFT JOIN m1 m5 ON m5.k = left(i.cd, 5) LEFT JOIN m3 ON m3.k = left(i.cd, 3))
 SELECT id, role FROM c WHERE role IS NOT NULL""",
 )
 
@@ -214,7 +215,7 @@ SELECT id, count(*) AS n_sections FROM m WHERE shared > 0 AND (shared / greatest
 
 
 def sanitize_reassign(spark, d):
-    """Every order's candidates are its customer's others; fits by numbers of the orders."""
+    """Every order's candidates are its customer's others; fits by numbers of the orders, so that this covers the fold alone (reassign_events has real fits)."""
     o = T.read(spark, d, "orders").select("o_orderkey", "o_custkey")
     pairs = o.alias("a").join(o.alias("b"), F.col("a.o_custkey") == F.col("b.o_custkey")).select(F.col("a.o_orderkey").alias("id"), F.col("b.o_orderkey").alias("post_id"))
     mixed = F.pmod(F.col("id") * 7 + F.col("post_id") * 13, F.lit(100))

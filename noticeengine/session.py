@@ -1,13 +1,19 @@
-"""Session helpers: a builder with the settings that the plans expect, and shipping of this package to Python workers."""
+"""Session helpers: a builder with the settings that the plans expect, tables in the folder that all executors share, and shipping of this package to Python workers."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
+#: Used only where a local session names no shared folder (tests).
+FALLBACK_DIR = "/tmp/checkpoints/noticeengine"
+
+_made: list[tuple[SparkSession, str]] = []
 _shipped: set[str] = set()
 
 
@@ -25,6 +31,58 @@ def build(master: str = "local[*]", partitions: int = 8, app: str = "noticeengin
     )
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; without that setting FALLBACK_DIR, and only where all tasks run on this machine."""
+    conf = spark.sparkContext.getConf()
+    named = conf.get("spark.checkpoint.dir")
+    if named:
+        return named.rstrip("/")
+    if not (conf.get("spark.master") or "").startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return FALLBACK_DIR
+
+
+def scratch_path(spark: SparkSession, tag: str) -> str:
+    """A new path under the shared folder, removed when this process ends."""
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(_clean)
+    _made.append((spark, path))
+    return path
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Remove a scratch table that nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def _clean() -> None:
+    for spark, path in _made:
+        try:
+            drop_path(spark, path)
+        except Exception:  # the session is gone: nothing is left to ask for the removal
+            return
+
+
+def materialize(df: DataFrame, tag: str) -> DataFrame:
+    """Write df as Parquet into the shared folder and read it back: cuts lineage and survives lost executors."""
+    spark = df.sparkSession
+    path = scratch_path(spark, tag)
+    df.write.parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._scratch_path = path
+    return back
+
+
+def release(df: DataFrame | None) -> None:
+    """Remove what materialize() wrote for df."""
+    path = getattr(df, "_scratch_path", None)
+    if path:
+        drop_path(df.sparkSession, path)
+
+
 def ship(spark: SparkSession) -> None:
     """Give every executor this package's sources, once per application, so that Arrow functions can import it there."""
     app = spark.sparkContext.applicationId
