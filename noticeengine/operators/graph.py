@@ -68,6 +68,23 @@ def nodes(cards: DataFrame, posts: DataFrame, products: DataFrame, roles: DataFr
     return named.unionByName(more).groupBy("id", "type").agg(F.min("label").alias("label"))
 
 
+def merged_props(nodes_: DataFrame) -> DataFrame:
+    """(id, type, label, props) of node mentions (id, type, label, props: map, ord): the first mention's label, of each property the last mention's value."""
+    first = nodes_.groupBy("id").agg(F.min_by(F.struct("type", "label"), "ord").alias("n"))
+    each = nodes_.select("id", "ord", F.explode("props").alias("k", "v")).groupBy("id", "k").agg(F.max_by("v", "ord").alias("v"))
+    props = each.groupBy("id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("props"))
+    return first.join(props, "id", "left").select("id", "n.type", "n.label", F.coalesce("props", F.create_map().cast("map<string,string>")).alias("props"))
+
+
+def role_subgraphs(nodes_: DataFrame, edges_: DataFrame, cards: DataFrame) -> DataFrame:
+    """(role, id): for every role at once, its cards and all that they touch."""
+    own = cards.filter(F.col("role") != "").select("role", _id("card", F.col("id")).alias("card"))
+    ahead = edges_.select(F.col("source").alias("card"), F.col("target").alias("id"))
+    back = edges_.select(F.col("target").alias("card"), F.col("source").alias("id"))
+    touched = own.join(ahead.unionByName(back), "card").select("role", "id").unionByName(own.select("role", F.col("card").alias("id"))).distinct()
+    return touched.join(nodes_.select("id"), "id", "left_semi").select("role", "id")
+
+
 def _pairs(codes: Column) -> Column:
     """(a, b) of all codes a before b."""
     n = F.size(codes)

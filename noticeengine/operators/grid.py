@@ -17,6 +17,8 @@ EMPTY_FILL, MAX_HEADER_ROWS, REGION_GAP, MAX_TABLE_ROWS = 0.05, 8, 2, 200
 TITLE_MARK = "[▣●◆■]"
 NARRATIVE = r"^\s*\d+[\).]\s"
 SUMMARY_WORDS = ["합계", "소계", "총계"]
+#: Rows of a sheet that a profile reads.
+MAX_RECORDS = 250
 
 
 def cell_text(value: Column) -> Column:
@@ -248,6 +250,24 @@ def match_profiles(files: DataFrame, profiles: DataFrame) -> DataFrame:
     return hits.groupBy("filename").agg(F.max_by("profile", F.struct("priority", "n", "profile")).alias("profile"))
 
 
+def profile_records(grid: DataFrame, files: DataFrame, profiles: DataFrame, limit: int = MAX_RECORDS) -> DataFrame:
+    """(filename, sheet, row_no, body) of files whose name fits a profile: the header's rows name the columns, data starts where the profile says.
+
+    grid: filename, sheet, row_no, cells; profiles: profile, pattern, priority, header_rows, data_start.
+    Empty and summary rows are left out, and of the rest the first limit of a sheet are kept.
+    """
+    chosen = match_profiles(files, profiles).join(profiles.select("profile", "header_rows", "data_start"), "profile")
+    rows = grid.join(chosen, "filename")
+    named = rows.filter(F.array_contains("header_rows", F.col("row_no"))).select("filename", "sheet", "row_no", F.posexplode("cells").alias("c", "v")).filter(F.trim("v") != "")
+    heads = named.groupBy("filename", "sheet", "c").agg(F.array_join(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("row_no", "v"))), lambda x: F.trim(x["v"]))), " ").alias("name"))
+    heads = heads.groupBy("filename", "sheet").agg(F.map_from_entries(F.collect_list(F.struct("c", "name"))).alias("names"))
+    data = rows.filter((F.col("row_no") >= F.col("data_start")) & F.exists("cells", lambda c: F.trim(c) != "") & ~is_summary(F.col("cells")))
+    data = data.withColumn("__n", F.row_number().over(W.partitionBy("filename", "sheet").orderBy("row_no"))).filter(F.col("__n") <= limit)
+    joined = data.join(heads, ["filename", "sheet"], "left")
+    columns = F.transform("cells", lambda c, i: F.coalesce(F.try_element_at("names", i), F.concat(F.lit("col_"), i.cast("string"))))
+    return joined.select("filename", "sheet", "row_no", record_body(columns, F.col("cells")).alias("body"))
+
+
 def best_tier(rows: DataFrame, by: str = "attachment_id") -> DataFrame:
     """Rows of the lowest tier that each attachment has."""
     return rows.withColumn("__t", F.min("tier").over(W.partitionBy(by))).filter("tier = __t").drop("__t")

@@ -47,7 +47,7 @@ def _record_cards(spark, d):
     return op.record_cards(records, _lookup(spark, d)).groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("product_codes")).alias("n_codes"))
 
 
-_LK = "lk AS (SELECT 'PLX-' || lpad(CAST(p_partkey AS VARCHAR), 8, '0') AS code, CASE WHEN p_partkey % 4 = 0 THEN '대형가전1' ELSE p_brand END AS role FROM part UNION ALL SELECT 'PLX-' || lpad(CAST(p_partkey AS VARCHAR), 8, '0'), '대형가전2' FROM part WHERE p_partkey % 3 = 0), co AS (SELECT DISTINCT l_orderkey AS id, 'PLX-' || lpad(CAST(l_partkey AS VARCHAR), 8, '0') AS code FROM lineitem WHERE l_linenumber <= 3)"
+_LK = "lk AS (SELECT 'PLX-' || lpad(CAST(p_partkey AS VARCHAR), 8, '0') AS code, CASE WHEN p_partkey % 4 = 0 THEN '대형가전1' ELSE p_brand END AS role FROM part UNION ALL SELECT 'PLX-' || lpad(CAST(p_partkey AS VARCHAR), 8, '0'), '대형가전2' FROM part WHERE p_partkey % 3 = 0), co AS (SELECT DISTINCT l_orderkey AS id, 'PLX-' || lpad(CAST(l_partkey AS VARCHAR), 8, '0') AS code FROM lineitem)"
 _add(
     "record_cards",
     _record_cards,

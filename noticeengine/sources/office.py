@@ -6,6 +6,7 @@ the range's value. PDFs and images need an extractor that the caller passes in.
 
 from __future__ import annotations
 
+import csv
 import io
 import re
 import zipfile
@@ -16,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.ids import attachment_kind
 from ..session import ship
 
 # Limits of what is read of a file.
@@ -109,6 +111,26 @@ def read_slides(content: bytes) -> Iterator[tuple[int, int, str, int, int, str]]
                 yield number, shape_no, "notes", 1 << 40, 0, text
 
 
+def read_csv(content: bytes) -> Iterator[tuple[str, int, int, list[str]]]:
+    """A comma-separated file as one sheet; UTF-8, else the older Korean code page."""
+    try:
+        text = content.decode("utf-8-sig")
+    except UnicodeDecodeError:
+        text = content.decode("cp949")
+    rows = [[c.strip() for c in r] for _, r in zip(range(MAX_ROWS), csv.reader(io.StringIO(text)))]
+    width = max(map(len, rows), default=0)
+    for n, r in enumerate(rows):
+        yield "Sheet1", 0, n, r + [""] * (width - len(r))
+
+
+def _unreadable(content: bytes) -> Iterator[tuple]:
+    raise ValueError("no reader for this format")
+
+
+#: Readers of grids by extension; formats without a reader give an error row.
+GRID_READERS = {"xlsx": read_workbook, "csv": read_csv, "xls": _unreadable, "xlsb": _unreadable}
+
+
 def _each_file(reader: Callable, columns: list[str]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -151,6 +173,36 @@ def slide_texts(shapes: DataFrame) -> DataFrame:
     return told.filter((F.col("text") != "") | F.col("image")).select("path", "slide", "text", F.when(F.col("text") == "", "image_only").alias("review_flag"))
 
 
+def file_grids(files: DataFrame) -> DataFrame:
+    """Cell grids of files (path, content) by extension; other files give nothing."""
+
+    def by_extension(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            kinds = batch["path"].str.lower().str.extract(r"\.([^.]+)$")[0]
+            for kind, reader in GRID_READERS.items():
+                own = batch[kinds == kind]
+                if len(own):
+                    yield from _each_file(reader, _names(GRID_SCHEMA))(iter([own]))
+
+    return files.select("path", "content").mapInPandas(by_extension, GRID_SCHEMA)
+
+
+def parse_files(files: DataFrame) -> DataFrame:
+    """(path, kind, ref, text, error) of files (path, content): a sheet's rows as lines, a slide's texts; files of other kinds have an empty text."""
+    grids = file_grids(files)
+    line = F.array_join(F.filter("cells", lambda c: c != ""), " | ")
+    sheets = grids.filter("error IS NULL").groupBy("path", "sheet_no", "sheet").agg(F.array_join(F.filter(F.transform(F.array_sort(F.collect_list(F.struct("row_no", line.alias("line")))), lambda x: x["line"]), lambda t: t != ""), "\n").alias("text"))
+    slides = files.filter(F.lower("path").endswith(".pptx")).select("path", "content").mapInPandas(_each_file(read_slides, _names(SHAPE_SCHEMA)), SHAPE_SCHEMA)
+    none = F.lit(None).cast("string")
+    kind = attachment_kind(F.col("path"))
+    rest = files.select("path").filter(~F.lower(F.regexp_extract("path", r"\.([^.]+)$", 1)).isin(*GRID_READERS, "pptx"))
+    broken = grids.filter("error IS NOT NULL").select("path", "error").unionByName(slides.filter("error IS NOT NULL").select("path", "error"))
+    out = sheets.select("path", F.concat(F.lit("시트: "), "sheet").alias("ref"), "text", none.alias("error"))
+    out = out.unionByName(slide_texts(slides).select("path", F.concat(F.lit("슬라이드 "), F.col("slide").cast("string")).alias("ref"), "text", none.alias("error")))
+    out = out.unionByName(rest.select("path", none.alias("ref"), F.lit("").alias("text"), none.alias("error"))).unionByName(broken.select("path", none.alias("ref"), none.alias("text"), "error"))
+    return out.select("path", kind.alias("kind"), "ref", "text", "error")
+
+
 def fingerprints(spark: SparkSession, path: str) -> DataFrame:
     """(path, fingerprint) by size and modification time, without reading any content."""
     meta = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length", "modificationTime")

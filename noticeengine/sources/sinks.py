@@ -18,10 +18,12 @@ def write_partitions(df: DataFrame, path: str, *by: str) -> None:
 
 
 def save_index(cards: DataFrame, path: str) -> None:
-    """Postings and statistics of the cards' search texts, with a version."""
-    posted = retrieval.postings(cards, retrieval.search_text())
+    """Postings and statistics of the cards' index texts, blank ones left out, with a version; texts are tokenised once."""
+    text = retrieval.index_text()
+    posted = retrieval.postings(cards.filter(F.trim(text) != ""), text)
     posted.write.mode("overwrite").parquet(f"{path}/postings")
-    stats = retrieval.corpus_stats(cards, retrieval.search_text()).withColumn("version", F.lit(INDEX_VERSION))
+    lengths = cards.sparkSession.read.parquet(f"{path}/postings").select("id", "dl").distinct()
+    stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).withColumn("version", F.lit(INDEX_VERSION))
     stats.write.mode("overwrite").parquet(f"{path}/stats")
 
 
@@ -57,6 +59,22 @@ def event_wiki(events: DataFrame) -> DataFrame:
     return events.groupBy("section", "theme").agg(F.count(F.lit(1)).alias("n"), F.to_json(F.array_sort(F.collect_list(F.struct("id", "title")))).alias("events"))
 
 
+def wiki_markdown(events: DataFrame) -> DataFrame:
+    """(section, markdown): a section's events by theme, with counts. events: section, theme, id, title, ord."""
+    theme = F.coalesce(F.nullif(F.trim("theme"), F.lit("")), F.lit("미분류"))
+    lines = events.groupBy("section", theme.alias("theme")).agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "title"))), lambda e: F.concat(F.lit("- "), e["title"])), "\n").alias("items"))
+    part = F.concat(F.lit("## "), "theme", F.lit(" ("), F.col("n").cast("string"), F.lit(")\n"), "items")
+    parts = lines.groupBy("section").agg(F.sum("n").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("theme", part.alias("part")))), lambda p: p["part"]), "\n\n").alias("body"))
+    return parts.select("section", F.concat(F.lit("# "), "section", F.lit(" ("), F.col("n").cast("string"), F.lit(")\n\n"), "body").alias("markdown"))
+
+
+def cards_markdown(cards: DataFrame) -> DataFrame:
+    """(role, markdown): a role's cards under their posts' titles. cards: role, post_title, headline, ord."""
+    posts = cards.groupBy("role", "post_title").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "headline"))), lambda c: F.concat(F.lit("- "), c["headline"])), "\n").alias("items"))
+    part = F.concat(F.lit("## "), "post_title", F.lit("\n"), "items")
+    return posts.groupBy("role").agg(F.concat(F.lit("# "), F.first("role"), F.lit("\n\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("post_title", part.alias("part")))), lambda p: p["part"]), "\n\n")).alias("markdown"))
+
+
 def unseen(vocabulary: DataFrame, names: DataFrame) -> DataFrame:
     """Names that a vocabulary lacks: what is appended to it."""
     return names.select("category").distinct().join(vocabulary.select("category"), "category", "left_anti")
