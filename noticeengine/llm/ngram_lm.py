@@ -15,7 +15,7 @@ memory-mapped by the scoring tasks; a token costs one search for its pair, whose
 context of the next token's triple, and one context-relative successor search for its triple. Words
 are told apart by 64-bit hashes.
 
-Counting shuffles each block's distinct triples once, to their shard, where equal ones are summed.
+Counting shuffles each block's distinct triples once, packed by shard, where equal ones are summed.
 
 Defined cases: a null or blank text is one end token; an empty table gives an empty result; with no
 training text all counts are 0 and every word is unknown; repeated rows each train and are scored.
@@ -212,11 +212,35 @@ class Level:
         return out
 
 
-def _reduced(pair: np.ndarray, word: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sums of equal triples that follow each other."""
+_CODEC = pa.Codec("zstd", compression_level=1)
+
+
+def pack(pair: np.ndarray, word: np.ndarray, n: np.ndarray) -> bytes:
+    """Triples in order as compressed bytes: steps between contexts, words, successors and counts, byte planes apart."""
+    context = (pair >> np.uint64(32)).astype(np.uint32)
+    columns = (np.diff(context, prepend=np.uint32(0)).astype(np.uint32), pair.astype(np.uint32), word.astype(np.uint32), np.minimum(n, 0xFFFFFFFF).astype(np.uint32))
+    planes = np.concatenate([np.ascontiguousarray(x.view(np.uint8).reshape(-1, 4).T).ravel() for x in columns])
+    return len(pair).to_bytes(8, "little") + _CODEC.compress(planes.tobytes(), asbytes=True)
+
+
+def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    size = int.from_bytes(blob[:8], "little")
+    planes = np.frombuffer(_CODEC.decompress(blob[8:], decompressed_size=16 * size, asbytes=True), np.uint8).reshape(4, 4, size)
+    step, low, word, n = (np.ascontiguousarray(x.T).view(np.uint32).ravel() for x in planes)
+    return (np.cumsum(step, dtype=np.uint64) << np.uint64(32)) | low, word.astype(np.uint64), n.astype(np.int64)
+
+
+def summed(pair: np.ndarray, word: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct triples in order with their sums, of sorted runs one after the other."""
     if not len(pair):
         return pair, word, n
-    at = np.flatnonzero(np.concatenate([[True], (pair[1:] != pair[:-1]) | (word[1:] != word[:-1])]))
+    order = np.argsort(pair, kind="stable")
+    pair, word, n = pair[order], word[order], n[order]
+    rank = np.cumsum(np.concatenate([[False], pair[1:] != pair[:-1]])).astype(np.uint64)
+    key = (rank << np.uint64(32)) | word
+    order = np.argsort(key, kind="stable")
+    key, pair, word, n = key[order], pair[order], word[order], n[order]
+    at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     return pair[at], word[at], np.add.reduceat(n, at)
 
 
@@ -260,27 +284,32 @@ def fit(docs: DataFrame, bits: int = BITS) -> Model:
                 own, back = np.unique(pair, return_inverse=True)
                 triple, n = np.unique((back.astype(np.uint64) << np.uint64(32)) | after.astype(np.uint64), return_counts=True)
                 pair, after = own[triple >> np.uint64(32)], triple & np.uint64(0xFFFFFFFF)
-                for i in range(0, len(pair), 1 << 16):
-                    part = slice(i, i + (1 << 16))
-                    both = (after[part] << np.uint64(32)) | np.minimum(n[part], 0xFFFFFFFF).astype(np.uint64)
-                    yield pa.RecordBatch.from_arrays([pa.array(shard_of(pair[part], shards).astype(np.int32)), pa.array(pair[part].view(np.int64)), pa.array(both.view(np.int64))], ["shard", "pair", "after"])
+                shard = shard_of(pair, shards)
+                order = np.argsort(shard, kind="stable")
+                pair, after, n = pair[order], after[order], n[order]
+                some, first = np.unique(shard[order], return_index=True)
+                ends = np.append(first[1:], len(pair))
+                for i in range(0, len(some), 256):
+                    blobs = [pack(pair[a:b], after[a:b], n[a:b]) for a, b in zip(first[i : i + 256].tolist(), ends[i : i + 256].tolist())]
+                    yield pa.RecordBatch.from_arrays([pa.array(some[i : i + 256].astype(np.int32)), pa.array(blobs, pa.binary())], ["shard", "triples"])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got, held = [], []
-        for shard, pair, after in tv.rows(batches, ["shard", "pair", "after"]):
-            number, x = shard[0].as_py(), after.to_numpy().view(np.uint64)
-            got.append(_reduced(pair.to_numpy().view(np.uint64), x >> np.uint64(32), (x & np.uint64(0xFFFFFFFF)).astype(np.int64)))
-        if not got:
-            return
-        pair, word, n = _ordered(*(np.concatenate(x) for x in zip(*got)))
-        got.clear()
-        path, layout = write_arrays(folder, _shard_arrays(model, pair, word, n))
-        held.append({"shard": number, "path": path, "layout": [{"name": a, "dtype": b, "at": c, "n": d} for a, b, c, d in layout]})
-        yield pa.RecordBatch.from_pylist(held, _REPORT)
-
-    dealt = docs.select("text").mapInArrow(count, "shard int, pair long, after long").repartitionById(shards, "shard")
+        got, held, number = [], 0, None
+        for shard, blobs in tv.rows(batches, ["shard", "triples"]):
+            number = shard[0].as_py()
+            for blob in blobs.to_pylist():
+                got.append(unpack(blob))
+                held += len(got[-1][0])
+            if held > 2 * HELD and len(got) > 1:  # keep the sum, not all runs
+                got = [summed(*(np.concatenate(x) for x in zip(*got)))]
+                held = 0
+        if got:
+            path, layout = write_arrays(folder, _shard_arrays(model, *summed(*(np.concatenate(x) for x in zip(*got)))))
+            yield pa.RecordBatch.from_pylist([{"shard": number, "path": path, "layout": [{"name": a, "dtype": b, "at": c, "n": d} for a, b, c, d in layout]}], _REPORT)
+
+    dealt = docs.select("text").mapInArrow(count, "shard int, triples binary").repartitionById(shards, "shard")
     schema = "shard int, path string, layout array<struct<name:string,dtype:string,at:long,n:long>>"
-    found = {r["shard"]: (r["path"], [tuple(x) for x in r["layout"]]) for r in dealt.sortWithinPartitions("pair", "after").mapInArrow(build, schema).collect()}
+    found = {r["shard"]: (r["path"], [tuple(x) for x in r["layout"]]) for r in dealt.mapInArrow(build, schema).collect()}
     model.trie = [found.get(n, ("", [])) for n in range(shards)]
 
     def successors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,17 +327,6 @@ def fit(docs: DataFrame, bits: int = BITS) -> Model:
 _REPORT = pa.schema([("shard", pa.int32()), ("path", pa.string()), ("layout", pa.list_(pa.struct([("name", pa.string()), ("dtype", pa.string()), ("at", pa.int64()), ("n", pa.int64())])))])
 
 
-def _ordered(pair: np.ndarray, word: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Triples in unsigned order (they come in signed order, where keys from BEGIN are first), summed."""
-    cut = int(np.searchsorted(pair.view(np.int64), 0))
-    pair, word, n = (np.concatenate([x[cut:], x[:cut]]) for x in (pair, word, n))
-    order = np.flatnonzero((pair[1:] == pair[:-1]) & (word[1:] < word[:-1]))
-    if len(order):  # words of the upper half of ids are signed too
-        at = np.lexsort((word, pair))
-        pair, word, n = pair[at], word[at], n[at]
-    return _reduced(pair, word, n)
-
-
 def probabilities(model: Model, ids: np.ndarray, n: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Probability of each token after the two before it in its row."""
     own = 10.0 ** model.log_word(n)

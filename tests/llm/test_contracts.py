@@ -368,6 +368,26 @@ def test_language_model(spark, docs):
     assert all(abs(r["score"] - want[r["doc_id"]][4]) / want[r["doc_id"]][0] < 2e-4 for r in fine)
 
 
+def test_triples_pack_and_sum():
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    runs = []
+    for n in (0, 1, 500):
+        rows = np.unique(rng.integers(0, 4, (n, 3)).astype(np.uint64), axis=0)
+        pair = (rows[:, 0] << np.uint64(32)) * np.uint64(0x55555555 % 7) | rows[:, 1]
+        order = np.lexsort((rows[:, 2], pair))
+        run = (pair[order], rows[order, 2], rng.integers(1, 9, len(rows)))
+        back = ngram_lm.unpack(ngram_lm.pack(*run))
+        assert all((x == y).all() for x, y in zip(run, back))
+        runs.append(run)
+    pair, word, n = ngram_lm.summed(*(np.concatenate(x) for x in zip(*runs)))
+    want = {}
+    for p, w, k in ((p, w, k) for r in runs for p, w, k in zip(*(x.tolist() for x in r))):
+        want[p, w] = want.get((p, w), 0) + k
+    assert list(zip(pair.tolist(), word.tolist(), n.tolist())) == [(*k, v) for k, v in sorted(want.items())]
+
+
 def test_language_model_of_awkward_rows(spark, awkward):
     got = {r["doc_id"]: r for r in ngram_lm.score(awkward, ngram_lm.fit(awkward)).collect()}
     assert got[1]["n_tokens"] == 1 and got[1]["n_known"] == 1 and got[5]["n_tokens"] == 120_001
