@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import cards, graph, search, store, streams, tables, temporal, text
+from .plans import build, cards, graph, search, store, streams, tables, temporal, text
 
-_PARTS = (temporal, store, text, search, graph, tables, cards, streams)
+_PARTS = (temporal, store, text, search, graph, tables, cards, streams, build)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -52,7 +52,7 @@ QUERY = retrieval.Query(WORDS, ["PLX-0007"], ["src1", "src2"], query_date="2024-
 _CARD_TK = f"tk AS (SELECT id, {_tok(_SEARCH)} AS t FROM {{pool}}), st AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM tk), po AS (SELECT id, len(t) AS dl, unnest(t) AS term FROM tk), tf AS (SELECT id, dl, term, count(*) AS tf FROM po WHERE list_contains([{', '.join(repr(w) for w in WORDS)}], term) GROUP BY 1, 2, 3), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), bm AS (SELECT id, sum({_PART}) AS bm25 FROM tf JOIN df USING (term), st GROUP BY 1)"
 _HIT = [f"CASE WHEN contains(lower(post_title), '{w}') THEN 5.0 WHEN contains(lower(headline), '{w}') THEN 3.0 WHEN contains(lower(body), '{w}') THEN 2.0 ELSE 0.0 END" for w in WORDS]
 _MATCHED = "(" + " + ".join(f"CAST({h} > 0 AS INTEGER)" for h in _HIT) + ")"
-_SCORE = f"""round(coalesce(bm25, 0.0) * 1.5 + {' + '.join(_HIT)} + CASE WHEN {_MATCHED} >= 2 THEN 3.0 * ({_MATCHED} - 1) ELSE 0.0 END + 3.0
+_SCORE = f"""round(coalesce(bm25, 0.0) * 1.5 + {' + '.join(_HIT)} + CASE WHEN {_MATCHED} >= 2 THEN 3.0 * ({_MATCHED} - 1) ELSE 0.0 END + 3.0 + CASE WHEN list_contains(keywords, 'guide') THEN 2.0 ELSE 0.0 END
  + CASE WHEN list_contains(product_codes, 'PLX-0007') THEN 5.0 ELSE 0.0 END + CASE WHEN role IN ('src1', 'src2') THEN 12.0 ELSE -2.0 END
  + CASE WHEN DATE '2024-04-15' - posted_date BETWEEN 0 AND 90 THEN greatest(0.0, 8.0 - (DATE '2024-04-15' - posted_date) / 12.0) ELSE 0.0 END
  + len(list_filter(regexp_extract_all(upper(concat_ws(' ', post_title, headline, body)), '\\b[A-Z]{{2,4}}-[A-Z0-9]{{4,}}\\b'), lambda c: list_contains(product_codes, c))), 6)"""
@@ -113,3 +113,31 @@ _add(
     """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), p AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(e.v, q.v), 6) AS cosine FROM e JOIN e q ON q.vec_id % 50 = 0 AND e.vec_id <> q.vec_id),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS INTEGER) AS rank FROM p) SELECT * FROM r WHERE rank <= 5""",
 )
+
+
+# Every term of the score: anchors, inventory and assembly words, over cards that have them.
+FULL_WORDS = ["guide", "조립", "선풍기", "재고확인"]
+FULL = retrieval.Query(FULL_WORDS, ["PLX-0007"], ["src1"], query_date="2024-04-15", anchor_post_id=45, anchor_source_ref="3_guide_3_v0.xlsx#row3", limit=10)
+
+
+def _all_terms(spark, d):
+    i = F.col("id")
+    cards = T.cards(spark, d)
+    cards = cards.withColumn("attachment_name", F.when(i % 5 == 0, F.concat(F.lit("진열소진현황_"), "attachment_name")).otherwise(F.col("attachment_name")))
+    cards = cards.withColumn("body", F.concat("body", F.when(i % 4 == 0, " 지사지점재고확인").when(i % 4 == 1, " 조립PC 안내").when(i % 4 == 2, " 선풍기 조립 PLX-0007").otherwise("")))
+    return retrieval.scored(cards, FULL).select("id", "score")
+
+
+_LOW = "lower(post_title || ' ' || headline || ' ' || body)"
+_FULL_HIT = [f"CASE WHEN contains(lower(post_title), '{w}') THEN 5.0 WHEN contains(lower(headline), '{w}') THEN 3.0 WHEN contains(lower(body), '{w}') THEN 2.0 ELSE 0.0 END" for w in FULL_WORDS]
+_FULL_MATCHED = "(" + " + ".join(f"CAST({h} > 0 AS INTEGER)" for h in _FULL_HIT) + ")"
+_FULL_SCORE = f"""round(coalesce(bm25, 0.0) * 1.5 + CASE WHEN post_id = 45 THEN 35.0 ELSE 0.0 END + CASE WHEN source_ref = '3_guide_3_v0.xlsx#row3' THEN 45.0 WHEN contains(source_ref, '3_guide_3_v0.xlsx#row3') THEN 12.0 ELSE 0.0 END
+ + {' + '.join(_FULL_HIT)} + CASE WHEN {_FULL_MATCHED} >= 2 THEN 3.0 * ({_FULL_MATCHED} - 1) ELSE 0.0 END + CASE WHEN list_contains(keywords, 'guide') THEN 2.0 ELSE 0.0 END + CASE WHEN contains(lower(attachment_name), 'guide') THEN 3.0 ELSE 0.0 END
+ + CASE WHEN regexp_matches(attachment_name, '진열소진|소진현황') THEN 10.0 ELSE 0.0 END + CASE WHEN contains(body, '지사지점재고확인') THEN 8.0 ELSE 0.0 END + CASE WHEN contains(attachment_name, '진열소진현황') THEN 6.0 ELSE 0.0 END
+ + CASE WHEN regexp_matches({_LOW}, '조립\\s*pc') AND NOT contains({_LOW}, '선풍기') THEN -4.0 ELSE 0.0 END + CASE WHEN contains({_LOW}, '선풍기') AND contains({_LOW}, '조립') THEN 4.0 ELSE 0.0 END
+ + CASE WHEN list_contains(product_codes, 'PLX-0007') THEN 5.0 ELSE 0.0 END + CASE WHEN role = 'src1' THEN 12.0 ELSE -2.0 END
+ + CASE WHEN DATE '2024-04-15' - posted_date BETWEEN 0 AND 90 THEN greatest(0.0, 8.0 - (DATE '2024-04-15' - posted_date) / 12.0) ELSE 0.0 END
+ + len(list_filter(regexp_extract_all(upper(concat_ws(' ', post_title, headline, body)), '\\b[A-Z]{{2,4}}-[A-Z0-9]{{4,}}\\b'), lambda c: list_contains(product_codes, c))), 6)"""
+_ALL = """al AS (SELECT * REPLACE (CASE WHEN id % 5 = 0 THEN '진열소진현황_' || attachment_name ELSE attachment_name END AS attachment_name, body || CASE id % 4 WHEN 0 THEN ' 지사지점재고확인' WHEN 1 THEN ' 조립PC 안내' WHEN 2 THEN ' 선풍기 조립 PLX-0007' ELSE '' END AS body) FROM ca)"""
+_FULL_TK = _CARD_TK.replace(", ".join(repr(w) for w in WORDS), ", ".join(repr(w) for w in FULL_WORDS)).replace("{pool}", "al")
+_add("hybrid_score_full", _all_terms, f"WITH {CA}, {_ALL}, {_FULL_TK}, sc AS (SELECT p.*, {_FULL_SCORE} AS score FROM al p LEFT JOIN bm USING (id)) SELECT id, score FROM sc")

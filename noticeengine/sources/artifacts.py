@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import loose
 from ..functions import text as tx
+from ..session import exists, folders
 
 CARD = "id STRING, role STRING, post_id STRING, post_title STRING, posted_date DATE, source_ref STRING, attachment_name STRING, product_codes ARRAY<STRING>, keywords ARRAY<STRING>, headline STRING, body STRING, temporal STRING"
 EVENT = "id STRING, type STRING, title STRING, summary STRING, theme STRING, categories ARRAY<STRING>, branches ARRAY<STRING>, valid_from STRING, valid_to STRING, effective_date STRING, first_seen STRING, last_updated STRING, post_id STRING"
@@ -96,24 +97,6 @@ def load_corpus(spark: SparkSession, data_dir: str, as_of: str) -> DataFrame:
     return with_graph_provenance(cards, read_graph(spark, graph)[0])
 
 
-def _path(spark: SparkSession, path: str):
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    system, target = _path(spark, path)
-    return system.exists(target)
-
-
-def folders(spark: SparkSession, path: str) -> list[str]:
-    """Names of the folders in a folder, in order; none where it is missing."""
-    system, target = _path(spark, path)
-    if not system.exists(target):
-        return []
-    return sorted(s.getPath().getName() for s in system.listStatus(target) if s.isDirectory())
-
-
 def newest(spark: SparkSession, root: str, name: str, as_of: str | None = None) -> str | None:
     """Path of a file of that name: in as_of's folder if it is there, else in the last folder that has it."""
     for day in ([as_of] if as_of else []) + folders(spark, root)[::-1]:

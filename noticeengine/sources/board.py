@@ -2,30 +2,43 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.ids import attachment_kind
+from ..session import folders
 
+# Lines that end a printed post's body, and the mark of its attachments.
+PAGE_FOOTER = r"^\d+/\d+$|^26\.\s*\d|^\d{2}\.\s*\d{1,2}\.\s*\d{1,2}\.|^(인쇄|닫기|게시물 출력|주요공지)$"
+ATTACHMENT_HINT = r"※\s*첨부파일\s*[:：]\s*(.+)"
 POST_SCHEMA = "id STRING, title STRING, body STRING, posted_date DATE, attachments ARRAY<STRUCT<id: STRING, filename: STRING, path: STRING>>"
 
 
 def read_day(spark: SparkSession, raw_dir: str, as_of: str) -> DataFrame:
-    """Posts of one day's folder; an absent folder gives no rows."""
-    return read_backfill(spark, raw_dir, as_of).filter(F.col("day") == F.lit(as_of).cast("date"))
+    """Posts of one day's folder, which alone is read; an absent folder gives no rows."""
+    return _first_and_last(_read_days(spark, raw_dir, [as_of] if as_of in folders(spark, raw_dir) else []))
 
 
 def read_backfill(spark: SparkSession, raw_dir: str, as_of: str) -> DataFrame:
     """Posts of all day folders up to as_of. A post in several folders has the text of the last and the place of the first.
 
-    Folders that are not dates are skipped: the day comes from the path of each file, and only its rows
-    are parsed further.
+    Only folders whose name is a date up to as_of are listed and read.
     """
-    path = F.col("_metadata.file_path")
-    rows = spark.read.schema(POST_SCHEMA).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "posts.json").json(raw_dir)
-    rows = rows.withColumn("day", F.try_to_date(F.regexp_extract(path, r"/(\d{4}-\d{2}-\d{2})/[^/]*$", 1), "yyyy-MM-dd")).withColumn("ord", F.monotonically_increasing_id())
-    rows = rows.filter(F.col("day").isNotNull() & (F.col("day") <= F.lit(as_of).cast("date")))
+    days = [d for d in folders(spark, raw_dir) if re.fullmatch(r"\d{4}-\d{2}-\d{2}", d) and d <= as_of]
+    return _first_and_last(_read_days(spark, raw_dir, days))
+
+
+def _read_days(spark: SparkSession, raw_dir: str, days: list[str]) -> DataFrame:
+    if not days:
+        return spark.createDataFrame([], POST_SCHEMA).withColumns({"day": F.lit(None).cast("date"), "ord": F.lit(None).cast("long")})
+    rows = spark.read.schema(POST_SCHEMA).option("multiLine", True).option("pathGlobFilter", "posts.json").json([f"{raw_dir}/{d}" for d in days])
+    return rows.withColumn("day", F.try_to_date(F.regexp_extract(F.col("_metadata.file_path"), r"/(\d{4}-\d{2}-\d{2})/[^/]*$", 1), "yyyy-MM-dd")).withColumn("ord", F.monotonically_increasing_id()).filter("day IS NOT NULL")
+
+
+def _first_and_last(rows: DataFrame) -> DataFrame:
     same = W.partitionBy("id")
     first = F.min(F.struct("day", "ord")).over(same)
     last = F.row_number().over(same.orderBy(F.col("day").desc(), F.col("ord").desc()))
@@ -96,17 +109,25 @@ def resolve_files(wanted: DataFrame, *sources: DataFrame) -> DataFrame:
     return out.withColumn("path", F.coalesce(*found)).drop(*(f"__p{i}" for i in range(len(sources))))
 
 
+def attachment_hints(text: Column) -> Column:
+    """Distinct names after the mark of attachments."""
+    found = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(ATTACHMENT_HINT), F.lit(1)), lambda x: F.trim(x))
+    return F.array_distinct(F.filter(found, lambda x: x != ""))
+
+
 def parse_board_page(lines: Column, fallback: Column) -> Column:
     """struct(title, author, posted_date, body) of a printed post's lines.
 
     The first line that is an ISO date is the anchor: the title stands four lines above it, the author
-    two; the body starts two lines below, without a short first line.
+    two; the body starts two lines below, without a short first line, and ends at the print's footer.
     """
     at = F.array_position(F.transform(lines, lambda x: F.trim(x).rlike(r"^20\d{2}-\d{2}-\d{2}$")), F.lit(True)).cast("int") - 1
     line = lambda i: F.when(i >= 0, F.trim(F.get(lines, i)))
     start = at + 2
     start = start + F.when(F.length(F.trim(F.coalesce(F.get(lines, start), F.lit("")))) < 20, 1).otherwise(0)
-    body = F.array_join(F.slice(lines, start + 1, F.size(lines)), "\n")
+    rest = F.slice(lines, start + 1, F.size(lines))
+    stop = F.array_position(F.transform(rest, lambda x: F.trim(x).rlike(PAGE_FOOTER)), F.lit(True)).cast("int")
+    body = F.array_join(F.when(stop > 0, F.slice(rest, F.lit(1), F.greatest(stop - 1, F.lit(0)))).otherwise(rest), "\n")
     any_day = F.regexp_extract(F.array_join(lines, "\n"), r"(20\d{2}-\d{2}-\d{2})", 1)
     return F.when(at >= 0, F.struct(line(at - 4).alias("title"), line(at - 2).alias("author"), F.try_to_date(F.trim(F.get(lines, at)), "yyyy-MM-dd").alias("posted_date"), F.trim(body).alias("body"))).otherwise(
         F.struct(F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("author"), F.coalesce(F.try_to_date(any_day, "yyyy-MM-dd"), fallback).alias("posted_date"), F.trim(F.array_join(lines, "\n")).alias("body"))

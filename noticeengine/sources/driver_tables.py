@@ -77,6 +77,7 @@ def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(d.cast("string"), F.lit("_"), attachment, F.lit("#row"), (d % 13).cast("string")).alias("source_ref"),
         attachment.alias("attachment_name"),
         F.array(F.concat(F.lit("PLX-"), F.lpad((d % 97).cast("string"), 4, "0")), F.concat(F.lit("BD-N"), F.lpad((d % 31).cast("string"), 4, "0"))).alias("product_codes"),
+        F.array(F.when(d % 3 == 0, "guide").otherwise("notice"), F.col("lang")).alias("keywords"),
         headline.alias("headline"),
         F.col("text").alias("body"),
         kind.alias("notice_kind"),
@@ -118,7 +119,7 @@ CARDS_SQL = r"""ca0 AS (
   SELECT doc_id AS id, source AS role, doc_id AS post_id, 'notice ' || doc_id || ' ' || lang AS post_title, DATE '2024-01-01' + CAST(doc_id % 120 AS INTEGER) AS posted_date,
          'guide_' || (doc_id % 40) || '_v' || (doc_id % 3) || '.xlsx' AS attachment_name,
          ['PLX-' || lpad(CAST(doc_id % 97 AS VARCHAR), 4, '0'), 'BD-N' || lpad(CAST(doc_id % 31 AS VARCHAR), 4, '0')] AS product_codes,
-         split_part(text, chr(10), 1) AS headline, text AS body, ['정책','판촉','공지','이벤트','기타'][doc_id % 5 + 1] AS notice_kind
+         [CASE WHEN doc_id % 3 = 0 THEN 'guide' ELSE 'notice' END, lang] AS keywords, split_part(text, chr(10), 1) AS headline, text AS body, ['정책','판촉','공지','이벤트','기타'][doc_id % 5 + 1] AS notice_kind
   FROM documents
 ), ca AS (
   SELECT *, id || '_' || attachment_name || '#row' || (id % 13) AS source_ref, CASE WHEN id % 7 <> 0 THEN posted_date + CAST(id % 10 AS INTEGER) END AS valid_from,

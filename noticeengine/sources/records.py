@@ -67,11 +67,11 @@ def post_meta(posts: DataFrame, records: DataFrame) -> DataFrame:
 
 def review_markdown(posts: DataFrame, records: DataFrame, limit: int = 2000) -> DataFrame:
     """(post_id, markdown): each post's records with kind, flags and the head of their text."""
-    flag = F.when(F.col("error").isNotNull(), F.concat(F.lit(" — error: "), "error")).when("needs_review", " — needs review").otherwise("")
+    flag = F.when(F.col("error").isNotNull(), F.concat(F.lit(" — error: "), "error")).when(F.col("needs_review"), " — needs review").otherwise("")
     head = F.substring(F.coalesce("text", F.lit("")), 1, limit)
     part = F.concat(F.lit("## "), "filename", F.lit(" ("), "kind", F.lit(")"), flag, F.when(head != "", F.concat(F.lit("\n\n"), head)).otherwise(""))
     parts = records.select("post_id", F.struct("filename", "attachment_id", part.alias("part")).alias("p")).groupBy("post_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["part"]), "\n\n").alias("body"))
-    return posts.join(parts, "post_id").select("post_id", F.concat(F.lit("# "), "title", F.lit("\n\n"), "body").alias("markdown"))
+    return posts.select("post_id", "title").join(parts, "post_id").select("post_id", F.concat(F.lit("# "), "title", F.lit("\n\n"), "body").alias("markdown"))
 
 
 def sections_of(records: DataFrame, by_marker) -> DataFrame:

@@ -19,7 +19,9 @@ def write_partitions(df: DataFrame, path: str, *by: str) -> None:
 
 def save_index(cards: DataFrame, path: str) -> None:
     """Postings and statistics of the cards' index texts, blank ones left out, with a version; texts are tokenised once."""
-    text = retrieval.index_text()
+    text, none = retrieval.index_text(), F.array().cast("array<string>")
+    absent = {"attachment_name": F.lit(""), "keywords": none, "product_codes": none}
+    cards = cards.withColumns({c: v for c, v in absent.items() if c not in cards.columns})
     posted = retrieval.postings(cards.filter(F.trim(text) != ""), text)
     posted.write.mode("overwrite").parquet(f"{path}/postings")
     lengths = cards.sparkSession.read.parquet(f"{path}/postings").select("id", "dl").distinct()
