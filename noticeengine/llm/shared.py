@@ -1,71 +1,20 @@
-"""Tables in the folder that driver and executors share, and small helpers that the operators have in common."""
+"""Small helpers that the operators have in common."""
 
 from __future__ import annotations
 
-import atexit
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import drop_path, materialize, release, scratch_path, shared_dir, ship
 
-#: Used only where the session names no shared folder (local tests).
-FALLBACK_DIR = "/tmp/checkpoints/noticeengine"
+__all__ = ["SPACES", "WORD", "drop_path", "let", "materialize", "release", "scratch_path", "set_aside", "shared_dir", "ship", "table", "word_count", "words_of"]
 
 #: A word of the contracts: anything between these six white-space bytes.
 SPACES = "\x20\x09-\x0d"
 WORD = r"[^\x20\x09-\x0D]+"
 
-_made: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, or FALLBACK_DIR where that is unset."""
-    return (spark.sparkContext.getConf().get("spark.checkpoint.dir") or FALLBACK_DIR).rstrip("/")
-
-
-def scratch_path(spark: SparkSession, tag: str) -> str:
-    """A new path under the shared folder, removed when this process ends."""
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    if not _made:
-        atexit.register(_clean)
-    _made.append((spark, path))
-    return path
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Remove a scratch table that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def _clean() -> None:
-    for spark, path in _made:
-        try:
-            drop_path(spark, path)
-        except Exception:  # the session is gone: nothing is left to ask for the removal
-            return
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = scratch_path(spark, tag)
-    df.write.parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    back._scratch_path = path
-    return back
-
-
-def release(df: DataFrame | None) -> None:
-    """Remove what materialize() wrote for df."""
-    path = getattr(df, "_scratch_path", None)
-    if path:
-        drop_path(df.sparkSession, path)
-
 
 def set_aside(docs: DataFrame) -> tuple[DataFrame, tuple[str, ...], Callable[[DataFrame], DataFrame]]:
     """docs under names that no operator uses, with a copy of text; these names; and the way back to the old ones.
