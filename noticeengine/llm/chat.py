@@ -22,8 +22,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import let
-
 CHAT, TURN, SAY, END = "<|chat|>", "<|turn|>", "<|say|>", "<|end|>"
 KINDS = ("image", "audio", "document")
 PART = "struct<kind:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>"
@@ -93,21 +91,23 @@ def format_chats(turns: DataFrame) -> DataFrame:
 def read_chats(chats: DataFrame) -> DataFrame:
     """Parse formatted conversations: conv_id, turns (role, text, in_loss) with texts unescaped, formatted_chars.
 
-    A segment is in the loss when its content's span is one of the mask's.
+    A segment is in the loss when its content's span is one of the mask's: segments and spans are rows
+    that meet by their place, all within the conversation's partition, so the work grows with the turns.
     """
-    segments = F.slice(F.split("formatted", r"<\|turn\|>"), F.lit(2), F.greatest(F.size(F.split("formatted", r"<\|turn\|>")) - 1, F.lit(0)))
+    parts = F.split("formatted", r"<\|turn\|>")
+    item = "struct<pos:int,role:string,content:string,size:bigint,start:bigint>"
 
-    def parsed(s: Column) -> Column:
+    def parsed(s: Column, i: Column) -> Column:
         rest = F.substring_index(s, SAY, -1)
-        return F.struct(F.substring_index(s, SAY, 1).alias("role"), F.substring_index(rest, END, 1).alias("content"), (F.length(s) + len(TURN)).alias("size"))
-
-    base = chats.select("conv_id", F.length("formatted").cast("long").alias("formatted_chars"), F.transform("loss_spans", lambda x: x["start"]).alias("starts"), F.transform(segments, parsed).alias("s"))
-    zero = F.struct(F.lit(len(CHAT)).cast("long").alias("at"), F.array().cast("array<bigint>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + len(TURN) + F.length(x["role"]) + len(SAY)
-        return F.struct((acc["at"] + x["size"]).alias("at"), F.concat(acc["out"], F.array(start.cast("long"))).alias("out"))
-
-    base = base.withColumn("at", F.aggregate("s", zero, step)["out"])
-    turns = F.zip_with("s", "at", lambda x, a: F.struct(unescape(x["role"]).alias("role"), unescape(x["content"]).alias("text"), F.array_contains("starts", a).alias("in_loss")))
-    return base.select("conv_id", "formatted_chars", turns.alias("turns"))
+        return F.struct(i.alias("pos"), F.substring_index(s, SAY, 1).alias("role"), F.substring_index(rest, END, 1).alias("content"), (F.length(s) + len(TURN)).cast("bigint").alias("size"), F.lit(None).cast("bigint").alias("start"))
+
+    segments = F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), parsed).cast(f"array<{item}>")
+    spans = F.transform("loss_spans", lambda x: F.struct(F.lit(None).cast("int").alias("pos"), F.lit(None).cast("string").alias("role"), F.lit(None).cast("string").alias("content"), F.lit(None).cast("bigint").alias("size"), x["start"].cast("bigint").alias("start"))).cast(f"array<{item}>")
+    rows = chats.select("conv_id", F.length("formatted").cast("long").alias("formatted_chars"), F.explode(F.concat(segments, spans)).alias("x")).select("conv_id", "formatted_chars", "x.*")
+    before = W.partitionBy("conv_id").orderBy(F.col("pos").asc_nulls_last()).rowsBetween(W.unboundedPreceding, -1)
+    begin = F.coalesce(F.sum("size").over(before), F.lit(0)) + len(CHAT) + len(TURN) + F.length("role") + len(SAY)
+    placed = rows.withColumn("at", F.when(F.col("pos").isNull(), F.col("start")).otherwise(begin))
+    met = placed.groupBy("conv_id", "formatted_chars", "at").agg(F.max(F.struct("pos", "role", "content")).alias("t"), F.max(F.col("pos").isNull()).alias("in_loss")).filter("t.pos IS NOT NULL")
+    turns = F.sort_array(F.collect_list(F.struct(F.col("t.pos").alias("pos"), F.col("t.role").alias("role"), F.col("t.content").alias("content"), "in_loss")))
+    each = lambda x: F.struct(unescape(x["role"]).alias("role"), unescape(x["content"]).alias("text"), x["in_loss"].alias("in_loss"))
+    return met.groupBy("conv_id", "formatted_chars").agg(turns.alias("t")).select("conv_id", "formatted_chars", F.transform("t", each).alias("turns"))

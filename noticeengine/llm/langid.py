@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,14 +57,18 @@ def counts(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     x = _CLEAN[data].astype(np.uint32)
     codes = _code(x[:-2], x[1:-1], x[2:]) if len(x) > 2 else np.zeros(0, np.uint32)
     out = np.zeros((len(offs) - 1, DIMS), np.float32)
-    space = np.uint32(32)
     for i, (s, e) in enumerate(zip(offs[:-1].tolist(), offs[1:].tolist())):
         if e - s > 2:
             out[i] = np.bincount(codes[s : e - 2], minlength=DIMS)
-        if e > s:
-            out[i, _code(space, x[s], x[s + 1] if e - s > 1 else space)] += 1
-        if e - s > 1:
-            out[i, _code(x[e - 2], x[e - 1], space)] += 1
+    # The first and the last trigram of each text, with the space around it.
+    some = np.flatnonzero(np.diff(offs))
+    first, size = offs[:-1][some], np.diff(offs)[some]
+    space = np.full(len(some), 32, np.uint32)
+    if len(some):
+        np.add.at(out, (some, _code(space, x[first], np.where(size > 1, x[np.minimum(first + 1, len(x) - 1)], space))), 1)
+        more = size > 1
+        last = first[more] + size[more]
+        np.add.at(out, (some[more], _code(x[last - 2], x[last - 1], space[more])), 1)
     return out
 
 
@@ -76,7 +81,7 @@ def vectors(tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 
 def _sample_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for lang, text in tv.rows(batches, ["lang", "text"]):
+    for ids, lang, text in tv.rows(batches, ["id", "lang", "text"]):
         for i, j, data, offs in tv.blocks(tv.as_string_array(text)):
             for k in range(i, j, 256):
                 e = min(k + 256, j)
@@ -84,7 +89,7 @@ def _sample_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 r, c = np.nonzero(tf)
                 at = np.searchsorted(r, np.arange(e - k + 1)).astype(np.int32)
                 lists = lambda v, t: pa.ListArray.from_arrays(pa.array(at), pa.array(v, t))
-                yield pa.RecordBatch.from_arrays([lang[k:e], lists(c.astype(np.int32), pa.int32()), lists(tf[r, c], pa.float32())], ["lang", "dims", "tf"])
+                yield pa.RecordBatch.from_arrays([ids[k:e], lang[k:e], lists(c.astype(np.int32), pa.int32()), lists(tf[r, c], pa.float32())], ["id", "lang", "dims", "tf"])
 
 
 def cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -106,14 +111,17 @@ def fit(docs: DataFrame, each: int = EACH, total: int = TOTAL, k: int = CENTROID
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     ids = sample_ids(labelled, "lang", each).select("doc_id", F.col("lang").alias("own"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(total)
-    rows = labelled.join(F.broadcast(ids), "doc_id").filter(F.col("own") == F.col("lang")).select("lang", "text")
-    got = rows.mapInArrow(_sample_counts, "lang string, dims array<int>, tf array<float>").toArrow().sort_by("lang").to_pydict()
+    rows = labelled.join(F.broadcast(ids), "doc_id").filter(F.col("own") == F.col("lang")).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), "lang", "text")
+    got = rows.mapInArrow(_sample_counts, "id string, lang string, dims array<int>, tf array<float>").toArrow().sort_by([("lang", "ascending"), ("id", "ascending")]).to_pydict()
     if not got["lang"]:
         return None
     tf = np.zeros((len(got["lang"]), DIMS), np.float32)
     for i, (d, v) in enumerate(zip(got["dims"], got["tf"])):
         tf[i, d] = v
-    order = np.lexsort(tf[:, :64].T)  # rows of a language in an order that the shuffle doesn't decide
+    # Rows of a language in an order that the shuffle doesn't decide: by id, and equal ids by their counts.
+    hashes = np.array([xxhash.xxh3_64_intdigest(row.tobytes()) for row in tf], np.uint64)
+    rank = np.unique(np.array(got["id"]), return_inverse=True)[1]
+    order = np.lexsort((hashes, rank))
     tf, names = tf[order], np.array(got["lang"])[order]
     idf = (np.log((1 + len(tf)) / (1 + (tf > 0).sum(0))) + 1).astype(np.float32)
     x, langs = vectors(tf, idf), sorted(set(got["lang"]))

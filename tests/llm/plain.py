@@ -178,6 +178,17 @@ def language_model(docs, discount=0.75):
     return {d: (len(t), sum(count[w] > 0 for w in t), total, sum(math.log10(own(w)) for w in t), log_of(t)) for d, t in tokens}
 
 
+def nearest_language(text, model):
+    """(language, cosine) by the nearest centroid, from trigrams of letters one by one."""
+    clean = [32] + [b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in (text or "").encode()] + [32]
+    tf = Counter(((a | b << 8 | c << 16) * 2654435761 & 0xFFFFFFFF) >> 20 for a, b, c in zip(clean, clean[1:], clean[2:]))
+    v = {d: math.log1p(n) * float(model.idf[d]) for d, n in tf.items()}
+    norm = math.sqrt(sum(x * x for x in v.values())) or 1.0
+    cos = [sum(x * float(c[d]) for d, x in v.items()) / norm for c in model.centroids]
+    best = max(range(len(cos)), key=lambda i: cos[i])
+    return (model.langs[model.owner[best]], min(1.0, max(0.0, cos[best]))) if any(ch.isalpha() for ch in text or "") else ("und", 0.0)
+
+
 def near_groups(docs, k=5, least=0.8):
     sets = {}
     for d, t in docs:

@@ -129,6 +129,16 @@ def test_language(spark):
     assert got.filter("score < 0 OR score > 1").count() == 0
 
 
+def test_language_against_a_plain_version(spark, docs):
+    model = langid.fit(docs.filter("lang IS NOT NULL"))
+    got = {r["doc_id"]: r for r in langid.predict(docs, model).collect()}
+    for r in docs.limit(60).collect():
+        lang, score = plain.nearest_language(r["text"], model)
+        assert got[r["doc_id"]]["lang_pred"] == lang and got[r["doc_id"]]["score"] == pytest.approx(score, abs=1e-5)
+    again = langid.fit(docs.filter("lang IS NOT NULL").repartition(7))
+    assert (again.centroids == model.centroids).all()
+
+
 def test_language_of_awkward_rows(spark, docs, awkward):
     model = langid.fit(docs.filter("lang IS NOT NULL"))
     got = {r["doc_id"]: r for r in langid.predict(awkward, model).collect()}
@@ -212,6 +222,13 @@ def test_chat_round_trip(spark):
     assert [t["role"] for t in read[None]["turns"]] == [""]
 
 
+def test_long_conversations_and_texts(spark):
+    turns = spark.range(20_000).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.when(F.col("id") == 7, F.lit(LONG)).otherwise(F.concat(F.lit("<s> "), F.col("id").cast("string"))).alias("text"))
+    read = chat.read_chats(chat.format_chats(turns.withColumn("parts", chat.text_parts(F.col("text"))))).first()
+    assert [t["in_loss"] for t in read["turns"]] == [False, True] * 10_000
+    assert read["turns"][7]["text"] == LONG and read["turns"][19_999]["text"] == "<s> 19999"
+
+
 def test_chat_parts(spark):
     schema = f"conv_id long, turn long, role string, parts array<{chat.PART}>"
     parts = [("text", "see <|image|>", None, None, None, None, None), ("image", None, "i.png", 28, 14, None, None), ("audio", None, "a.wav", None, None, 2.0, None), ("document", None, "d.pdf", None, None, None, 3), ("video", "kept", None, None, None, None, None), None]
