@@ -99,6 +99,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontaminate": op10_decontaminate,
 }
 
+#: The parts of three contracts that SQL can say; each runs its whole operator.
+QUERIES |= {
+    "quality_rules_base": lambda spark, sf_dir: op1_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"),
+    "secret_scan_base": lambda spark, sf_dir: op7_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex"),
+    "lm_score_base": lambda spark, sf_dir: op9_lm_score(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score")),
+}
+
 _OP2 = r"""
 WITH d AS (
   SELECT doc_id, source, CASE WHEN source IS NULL THEN 'n' ELSE 'k' || source END AS src,
@@ -165,4 +172,50 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hi
 FROM d LEFT JOIN covered USING (rid) LEFT JOIN items USING (rid)
 """
 
-ORACLES: dict[str, str] = {"op2_mix_sources": _OP2, "op6_format_chats": _OP6, "op10_decontaminate": _OP10}
+_OP8 = r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, encode(coalesce(text, '')) AS b FROM documents),
+s AS MATERIALIZED (SELECT rid, octet_length(b) AS n, upper(hex(b)) AS x FROM d),
+g AS MATERIALIZED (SELECT rid, p, hash(substr(x, 2 * p + 1, 480)) AS h FROM (SELECT rid, x, unnest(range(0, n - 239)) AS p FROM s WHERE n >= 240)),
+q AS MATERIALIZED (SELECT rid, p FROM g WHERE h IN (SELECT h FROM g GROUP BY h HAVING count(*) > 1)),
+l AS MATERIALIZED (SELECT a.rid, a.p, hash(substr(x, 2 * a.p + 1, 800)) AS h FROM q a JOIN q b ON a.rid = b.rid AND b.p = a.p + 160 JOIN s ON s.rid = a.rid),
+r AS MATERIALIZED (SELECT rid, 240 AS w, p FROM q UNION ALL SELECT rid, 400, p FROM l WHERE h IN (SELECT h FROM l GROUP BY h HAVING count(*) > 1)),
+e AS (SELECT rid, w, p, CASE WHEN p <= lag(p) OVER o + w THEN 0 ELSE 1 END AS first FROM r WINDOW o AS (PARTITION BY rid, w ORDER BY p)),
+f AS (SELECT rid, w, p, sum(first) OVER (PARTITION BY rid, w ORDER BY p) AS k FROM e),
+runs AS MATERIALIZED (SELECT rid, w, min(p) AS a, max(p) + w AS z FROM f GROUP BY rid, w, k),
+cut AS (SELECT rid, sum(z - a) AS n_removed, count(*) AS n_spans, list(a ORDER BY a) AS aa, list(z ORDER BY a) AS zz FROM runs WHERE w = 400 GROUP BY rid),
+kept AS (SELECT s.rid, CASE WHEN aa IS NULL THEN x ELSE array_to_string(list_transform(range(1, len(aa) + 2), lambda i: substr(x, 2 * CASE WHEN i = 1 THEN 0 ELSE zz[i - 1] END + 1, 2 * (CASE WHEN i > len(aa) THEN n ELSE aa[i] END - CASE WHEN i = 1 THEN 0 ELSE zz[i - 1] END))), '') END AS x FROM s LEFT JOIN cut USING (rid)),
+pieces AS (SELECT rid, unnest(string_split_regex(t, '[\x20\x09-\x0D]')) AS piece, generate_subscripts(string_split_regex(t, '[\x20\x09-\x0D]'), 1) AS i FROM d WHERE rid IN (SELECT rid FROM runs WHERE w = 240)),
+words AS (SELECT rid, piece, strlen(piece) AS n, coalesce(sum(strlen(piece) + 1) OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM pieces),
+inside AS (SELECT runs.rid, runs.a, count(*) AS n FROM runs JOIN words ON words.rid = runs.rid AND words.n > 0 AND words.a >= runs.a AND words.a + words.n <= runs.z WHERE runs.w = 240 GROUP BY 1, 2),
+passages AS (SELECT rid, count(*) AS n_passages FROM inside WHERE n > 50 GROUP BY rid)
+SELECT d.doc_id, s.n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(kept.x)) AS kept_sha256, CAST(coalesce(n_passages, 0) AS BIGINT) AS n_passages
+FROM d JOIN s USING (rid) JOIN kept USING (rid) LEFT JOIN cut USING (rid) LEFT JOIN passages USING (rid)
+"""
+
+_BASE1 = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT rid, p, array_to_string(list_slice(w, p, p + 7), ' ') AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 6)) AS p FROM d WHERE len(w) >= 8)),
+r AS (SELECT rid, p FROM (SELECT rid, p, count(*) OVER (PARTITION BY rid, g) AS c FROM g) WHERE c > 1),
+q AS (SELECT rid, count(DISTINCT i) AS n FROM (SELECT rid, unnest(range(p, p + 8)) AS i FROM r) GROUP BY rid),
+l AS (SELECT rid, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS x FROM d)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+       CAST(len(x) - len(list_distinct(x)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, len(w) < 20 OR 100 * coalesce(n, 0) > 30 * len(w) AS base_failed
+FROM d JOIN l USING (rid) LEFT JOIN q USING (rid)
+"""
+
+_BASE7 = r"""
+SELECT doc_id, CAST(len(list_filter(regexp_extract_all(t, '(?i:(password|passwd|secret|token|api_?key))["\x27]?\x20*[:=]\x20*["\x27]?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 6)) AS BIGINT) AS n_assign,
+       CAST(len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 20)) AS BIGINT) AS n_access, CAST(len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda x: length(x) >= 24)) AS BIGINT) AS n_hex
+FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+"""
+
+_BASE9 = r"""
+WITH tab AS (SELECT list(list_reduce(list_value(n, 0, 0, 0, 0, 0, 0, 0, 0), lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a // 2, CAST(3988292384 AS BIGINT)) ELSE a // 2 END) ORDER BY n) AS t FROM (SELECT CAST(range AS BIGINT) AS n FROM range(256))),
+d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), chr(10)) AS w,
+  xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), ''), ''), lambda c: CAST(unicode(c) AS BIGINT))), lambda a, b: xor(t[xor(a, b) % 256 + 1], a // 256)), CAST(4294967295 AS BIGINT)) % 5 = 1 AS held_out FROM documents, tab),
+tk AS MATERIALIZED (SELECT rid, held_out, unnest(w) AS x FROM d), c AS (SELECT x, count(*) AS c FROM tk WHERE NOT held_out GROUP BY x), n AS (SELECT CAST(sum(c) AS BIGINT) AS n, count(*) AS v FROM c)
+SELECT any_value(d.doc_id) AS doc_id, any_value(d.held_out) AS held_out, count(*) AS n_tokens, count(c) AS n_known, any_value(n) AS train_tokens, round(sum(log10((coalesce(c, 0) + 0.5) / (n + 0.5 * (v + 1)))), 4) AS base_score
+FROM tk JOIN d USING (rid) LEFT JOIN c USING (x), n GROUP BY rid
+"""
+
+ORACLES: dict[str, str] = {"op2_mix_sources": _OP2, "op6_format_chats": _OP6, "op8_substrings": _OP8, "op10_decontaminate": _OP10, "quality_rules_base": _BASE1, "secret_scan_base": _BASE7, "lm_score_base": _BASE9}
