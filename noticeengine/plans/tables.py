@@ -242,7 +242,17 @@ def dedupe_events_greedy(spark, d):
     return provenance.dedupe(events.withColumnRenamed("source", "post_id"), groups).select("id")
 
 
-_add("dedupe_events_greedy", dedupe_events_greedy, None)
+_add(
+    "dedupe_events_greedy",
+    dedupe_events_greedy,
+    f"""WITH RECURSIVE {_KW}, k AS MATERIALIZED (SELECT id, source, length(text) AS quality, keywords, row_number() OVER (ORDER BY id) AS n FROM kw),
+x AS MATERIALIZED (SELECT id, len(keywords) AS m, unnest(keywords) AS w FROM k), sm AS MATERIALIZED (SELECT b.id, list(a.id) AS l FROM (SELECT a.id AS a, b.id AS b FROM x a JOIN x b ON a.w = b.w AND a.id < b.id GROUP BY 1, 2, a.m, b.m HAVING count(*) / least(a.m, b.m) >= 0.55) p JOIN k a ON a.id = p.a JOIN k b ON b.id = p.b GROUP BY b.id),
+st AS MATERIALIZED (SELECT k.n, k.id, coalesce(sm.l, []) AS l FROM k LEFT JOIN sm USING (id)),
+ld AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS leaders UNION ALL SELECT st.n, CASE WHEN list_has_any(leaders, st.l) THEN leaders ELSE list_append(leaders, st.id) END FROM ld JOIN st ON st.n = ld.i + 1),
+fin AS (SELECT leaders FROM ld ORDER BY i DESC LIMIT 1), gr AS (SELECT st.id, CASE WHEN list_contains(leaders, st.id) THEN st.id ELSE list_min(list_intersect(leaders, st.l)) END AS leader FROM st, fin),
+rk AS (SELECT k.id, min(source) OVER (PARTITION BY leader) = max(source) OVER (PARTITION BY leader) AS one, row_number() OVER (PARTITION BY leader ORDER BY quality DESC, k.id) AS r FROM gr JOIN k USING (id))
+SELECT id FROM rk WHERE one OR r = 1""",
+)
 
 
 def _results(spark, d):
