@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: A class's sample is drawn from so many hash parts, so that no class is ranked in one task.
-PARTS = 32
+PARTS = 128
 
 
 def remainder(doc_id: Column, of: int = 5) -> Column:
