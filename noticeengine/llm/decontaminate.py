@@ -33,7 +33,7 @@ from .shared import materialize
 
 WINDOW = 10
 #: Bytes of document text of a shard.
-SHARD = 4 << 20
+SHARD = 2 << 20
 #: Windows that are looked for at once.
 AT_ONCE = 1 << 17
 
