@@ -175,18 +175,19 @@ def _names(table: Sorted, numbers: np.ndarray) -> list[str]:
     return out
 
 
-def find_matches(docs: DataFrame, benchmark: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def find_matches(docs: DataFrame, benchmark: DataFrame, carry: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """The carried columns, n_words, longest, spans (hit words), items and places (item, place in the item, word, words) of every row of docs, by windows of benchmark (item_id, text).
 
-    Places are the maximal verbatim matches.
+    Places are the maximal verbatim matches. The text of docs may be among the carried columns.
     """
     table, names = windows_of(benchmark)
+    column = carry.index(text) if text in carry else len(carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = tv.as_string_array(batch.column(batch.num_columns - 1))
+            texts = tv.as_string_array(batch.column(column))
             n_words, longest, spans, ids, matches = [], [], [], [], []
-            for i, j, data, offs in tv.blocks(text, SHARD):
+            for i, j, data, offs in tv.blocks(texts, SHARD):
                 h, at = words(data, offs)
                 got = list(Shard(h, at).places(table))
                 item, inner, size, place = (np.concatenate(x) for x in zip(*got)) if got else [np.zeros(0, np.int64)] * 4
@@ -215,11 +216,11 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, carry: tuple[str, ...] =
             pair = pa.StructArray.from_arrays([pa.array([int(x[k]) for x in flat], pa.int64()) for k in (0, 1)], ["start", "end"])
             kind = pa.list_(pa.struct([("item", pa.string()), ("from", pa.int64()), ("at", pa.int64()), ("words", pa.int64())]))
             out = [pa.array(np.concatenate(n_words)), pa.array(np.concatenate(longest)), pa.ListArray.from_arrays(pa.array(lists), pair), pa.array(ids, pa.list_(pa.string())), pa.array(matches, kind)]
-            yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(batch.num_columns - 1)] + out, [*carry, "n_words", "longest", "spans", "items", "places"])
+            yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(len(carry))] + out, [*carry, "n_words", "longest", "spans", "items", "places"])
 
     found = T.StructType.fromDDL("n_words long, longest long, spans array<struct<start:long,end:long>>, items array<string>, places array<struct<item:string,`from`:long,at:long,words:long>>")
     schema = T.StructType(docs.select(*carry).schema.fields + found.fields)
-    return docs.select(*carry, F.col("text").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*carry, *([] if text in carry else [F.col(text).alias("__text")])).mapInArrow(run, schema)
 
 
 def digest(matches: DataFrame) -> DataFrame:

@@ -187,19 +187,21 @@ def _unlike(f: np.ndarray, at: np.ndarray, order: np.ndarray) -> np.ndarray:
     return np.array(out, np.int64)
 
 
-def score(docs: DataFrame, model: Model | None, keep_share: float = KEEP_SHARE, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The carried columns with expected_grade, tail_prob and kept, for every row of docs."""
+def score(docs: DataFrame, model: Model | None, keep_share: float = KEEP_SHARE, carry: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
+    """The carried columns with expected_grade, tail_prob and kept, for every row of docs; its text may be among the carried columns."""
     extra = (("expected_grade", pa.float64()), ("tail_prob", pa.float64()), ("kept", pa.bool_()))
 
     quick = model.quick() if model else None
     clean = 1 / (1 + np.exp(np.clip(model.thresholds[-1], -40, 40))) if model else 1.0
 
+    at = carry.index(text) if text in carry else len(carry)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = tv.as_string_array(batch.column(batch.schema.get_field_index("__text")))
-            n = len(text)
+            texts = tv.as_string_array(batch.column(at))
+            n = len(texts)
             expected, tail, some = np.zeros(n), np.zeros(n), np.zeros(n, bool)
-            for i, j, data, offs in tv.blocks(text):
+            for i, j, data, offs in tv.blocks(texts):
                 h, row, tokens = features(data, offs)
                 some[i:j] = tokens > 0
                 if model:
@@ -210,7 +212,7 @@ def score(docs: DataFrame, model: Model | None, keep_share: float = KEEP_SHARE,
                     expected[i:j], tail[i:j] = GRADES - 1, 1.0
             kept = some & (tail >= keep_share * clean)
             out = [pa.array(expected, mask=~some), pa.array(tail, mask=~some), pa.array(kept)]
-            yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(batch.num_columns - 1)] + out, [*carry, *(x for x, _ in extra)])
+            yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(len(carry))] + out, [*carry, *(x for x, _ in extra)])
 
     schema = docs.select(*carry).schema.add("expected_grade", "double").add("tail_prob", "double").add("kept", "boolean")
-    return docs.select(*carry, F.col("text").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*carry, *([] if text in carry else [F.col(text).alias("__text")])).mapInArrow(run, schema)

@@ -16,18 +16,18 @@ SPACES = "\x20\x09-\x0d"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def set_aside(docs: DataFrame) -> tuple[DataFrame, tuple[str, ...], Callable[[DataFrame], DataFrame]]:
-    """docs under names that no operator uses, with a copy of text; these names; and the way back to the old ones.
+def set_aside(docs: DataFrame) -> tuple[DataFrame, tuple[str, ...], str, Callable[[DataFrame], DataFrame]]:
+    """docs under names that no operator uses; these names; the one of text; and the way back to the old ones.
 
     An operator that carries columns then can't meet one of its own names among them.
     """
     own = tuple(f"__c{i}" for i in range(len(docs.columns)))
-    renamed = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, own)), F.col("text"))
+    renamed = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, own)))
 
     def back(df: DataFrame) -> DataFrame:
         return df.select(*(F.col(n).alias(c) for c, n in zip(docs.columns, own)))
 
-    return renamed, own, back
+    return renamed, own, own[docs.columns.index("text")], back
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

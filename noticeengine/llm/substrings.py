@@ -62,7 +62,7 @@ PASSAGE_WORDS = 50
 GRAM = 8
 STEP = 16
 #: Distinct contexts of a bucket that one task sorts; larger ones are counted by digest.
-BUCKET = 4096
+BUCKET = 1024
 PIECE = 1 << 20
 #: A place in a piece has at most so many bits (a piece has under 2 * PIECE + 2 * LENGTH bytes).
 _PLACE = np.uint64((1 << 22) - 1)
