@@ -92,6 +92,12 @@ def name_hints(filename: Column) -> Column:
     return F.array_distinct(F.concat(found, F.when(F.contains(filename, F.lit("생활가전팀")), F.array(F.lit("생활리빙"), F.lit("생활주방"))).otherwise(F.array().cast("array<string>"))))
 
 
+def in_roster(roles: Column, roster: Column, hints: Column) -> Column:
+    """Distinct roles that the roster has, without the manager; where a file name hints at roles, only these and the fallback."""
+    known = F.filter(F.array_distinct(roles), lambda r: F.array_contains(roster, r) & (r != MANAGER))
+    return F.when(F.size(hints) > 0, F.filter(known, lambda r: F.array_contains(hints, r) | (r == FALLBACK))).otherwise(known)
+
+
 def is_promo_sheet(kind: Column, filename: Column, text: Column) -> Column:
     long = F.length(F.trim(F.coalesce(text, F.lit("")))) >= 60
     return (kind == "excel") & long & (F.concat_ws("\n", filename, text).rlike(PROMO_SHEET) | filename.rlike("(?i)구강용품|오클린|소진현황"))
@@ -110,7 +116,7 @@ def record_roles(category: Column, given: Column, filename: Column, title: Colum
     first = F.when(F.size(known(given)) > 0, known(given)).when(notebook, F.array(F.lit("PC솔루션"))).when(common, fallback).when(F.size(known(by_code)) > 0, known(by_code)).otherwise(known(by_text))
     hints = known(name_hints(filename))
     hinted = F.when((F.size(hints) == 0) | F.array_contains(first, FALLBACK), first).when(F.size(first) == 0, hints).otherwise(F.array_union(first, hints))
-    narrowed = F.when(F.size(hints) > 0, F.filter(known(by_code), lambda r: F.array_contains(hints, r) | (r == FALLBACK))).otherwise(known(by_code))
+    narrowed = in_roster(F.coalesce(by_code, F.array().cast("array<string>")), roster, hints)
     return F.when((n_codes > 0) & (n_codes <= MAX_CODES) & (F.size(narrowed) > 0), narrowed).otherwise(hinted)
 
 

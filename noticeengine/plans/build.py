@@ -374,3 +374,22 @@ _add(
     lambda s, d: T.cards(s, d).select("id", retrieval.keyword_overlap(["guide", "the", "notice는"]).alias("n")),
     f"WITH {CA} SELECT id, 1 AS n FROM ca",
 )
+
+
+def _batch(spark, d):
+    parts = T.read(spark, d, "part").select(F.concat(F.lit("C"), F.col("p_partkey").cast("string")).alias("code"), F.col("p_name").alias("name"), F.col("p_brand").alias("role"), "p_size", F.col("p_partkey").alias("ord"))
+    cached, rest = parts.filter("p_size > 25"), parts.filter("p_size <= 25 AND ord % 3 <> 0")
+    asked = T.read(spark, d, "lineitem").select(F.concat(F.lit(" c"), F.col("l_partkey").cast("string")).alias("code"))
+    return board.batch_lookup(asked, cached, lambda missing: rest.join(missing, "code", "left_semi").select("code", "name", "role", "ord"))
+
+
+_add(
+    "batch_lookup",
+    _batch,
+    "SELECT 'C' || k AS code, CASE WHEN m THEN p_name END AS name, CASE WHEN m THEN p_brand END AS role, m AS matched FROM (SELECT l_partkey AS k, p_name, p_brand, coalesce(p_size > 25 OR p_partkey % 3 <> 0, false) AS m FROM (SELECT DISTINCT l_partkey FROM lineitem) LEFT JOIN part ON p_partkey = l_partkey)",
+)
+_add(
+    "roster_filter",
+    lambda s, d: T.read(s, d, "part").select("p_partkey", F.array_join(routing.in_roster(F.array(F.lit("IT"), F.lit("점장"), F.lit("공통"), F.lit("IT"), F.lit("KBB"), F.lit("없음")), F.array(F.lit("IT"), F.lit("KBB"), F.lit("공통"), F.lit("점장")), routing.name_hints(_pick(_FILES, F.col("p_partkey")))), ",").alias("roles")),
+    "SELECT p_partkey, ['IT,공통', '공통', '공통', 'IT,공통,KBB', '공통,KBB'][p_partkey % 5 + 1] AS roles FROM part",
+)

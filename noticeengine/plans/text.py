@@ -218,7 +218,6 @@ _add(
     rf"""WITH {_DATED}, pt AS (SELECT k, unnest(regexp_split_to_array(t, '[,;]\s*')) AS p FROM dt), w AS (SELECT DISTINCT o.o_custkey AS c, {_WF} AS f, {_WT} AS e FROM pt JOIN orders o ON o.o_orderkey = pt.k)
 SELECT c, coalesce(string_agg(CAST(f AS VARCHAR) || '..' || coalesce(CAST(e AS VARCHAR), ''), ',' ORDER BY CAST(f AS VARCHAR) || '..' || coalesce(CAST(e AS VARCHAR), '')) FILTER (f IS NOT NULL), '') AS windows FROM w GROUP BY c""",
 )
-_BRANDED = "concat([{}][p_partkey % 6 + 1], ' ', p_name)"
 _BRANDS = ["삼성전자 냉장고", "LG/삼성 가전", "플럭스 에어컨", "plx-100 다이슨", "note", "Apple tcl"]
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -91,6 +92,14 @@ def missing_codes(asked: DataFrame, cached: DataFrame) -> DataFrame:
     return asked.select(F.upper(F.trim("code")).alias("code")).filter("code <> ''").distinct().join(cached.select("code"), "code", "left_anti")
 
 
+def batch_lookup(asked: DataFrame, cached: DataFrame, fetch: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(code, name, role, matched) of all distinct asked codes: from the cache, else from fetch, a function of the missing codes (code) that gives code, name, role, ord; the first row of a code counts."""
+    codes = asked.select(F.upper(F.trim("code")).alias("code")).filter("code <> ''").distinct()
+    found = fetch(missing_codes(asked, cached)).groupBy("code").agg(F.min_by(F.struct("name", "role"), "ord").alias("x")).select("code", "x.*")
+    known = cached.select("code", "name", "role").unionByName(found).withColumn("matched", F.lit(True))
+    return codes.join(known, "code", "left").withColumn("matched", F.coalesce("matched", F.lit(False)))
+
+
 def sniff(content: Column, filename: Column) -> Column:
     """drm, zip, ole, pdf, invalid or other: what a payload is by its first bytes, and whether that fits its extension."""
     head = F.hex(F.substring(content, 1, 8))
