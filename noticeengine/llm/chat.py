@@ -103,7 +103,9 @@ def read_chats(chats: DataFrame) -> DataFrame:
 
     segments = F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), parsed).cast(f"array<{item}>")
     spans = F.transform("loss_spans", lambda x: F.struct(F.lit(None).cast("int").alias("pos"), F.lit(None).cast("string").alias("role"), F.lit(None).cast("string").alias("content"), F.lit(None).cast("bigint").alias("size"), x["start"].cast("bigint").alias("start"))).cast(f"array<{item}>")
-    rows = chats.select("conv_id", F.length("formatted").cast("long").alias("formatted_chars"), F.explode(F.concat(segments, spans)).alias("x")).select("conv_id", "formatted_chars", "x.*")
+    # Lengths and items first: what stands beside explode() is computed again for each of its rows.
+    rows = chats.select("conv_id", F.length("formatted").cast("long").alias("formatted_chars"), F.concat(segments, spans).alias("items"))
+    rows = rows.select("conv_id", "formatted_chars", F.explode("items").alias("x")).select("conv_id", "formatted_chars", "x.*")
     before = W.partitionBy("conv_id").orderBy(F.col("pos").asc_nulls_last()).rowsBetween(W.unboundedPreceding, -1)
     begin = F.coalesce(F.sum("size").over(before), F.lit(0)) + len(CHAT) + len(TURN) + F.length("role") + len(SAY)
     placed = rows.withColumn("at", F.when(F.col("pos").isNull(), F.col("start")).otherwise(begin))
