@@ -485,3 +485,19 @@ def test_suffix_array_is_whole_and_in_order():
     assert sorted(shard.array.tolist()) == list(range(900))
     heads = [tuple(x) for x in shard.heads(shard.array, np.full(900, decontaminate.WINDOW)).tolist()]
     assert heads == sorted(heads)
+
+
+def test_substrings_of_a_frequent_passage(spark):
+    """Contexts of one large bucket: runs instead of a row for each string, and neither a join nor a generated row."""
+    common = (PASSAGE * 3)[:450].encode()
+    bodies = [bytes([97 + i]) * 30 + common + bytes([110 + i]) * 20 for i in range(8)]
+    rows = [(bytearray(b), 150, False, i, -i, 1000 * i, 400) for i, b in enumerate(bodies)]
+    hot = spark.createDataFrame(rows, "body binary, anchor int, whole boolean, k long, k2 long, lo long, length int")
+    found = substrings._hot_spans(hot)
+    assert sorted(map(tuple, found.collect())) == [(i, -i, 1000 * i + 30, 1000 * i + 480, 400) for i in range(8)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan
+    pieces = [d for b in bodies for d in substrings._piece_digests(b, 150, 400)]
+    strings = [d for b in bodies for d in substrings._string_digests(b, 0, 100, 150, 400)]
+    assert len(pieces) < len(strings) / 10
+    assert sum(b.num_rows for b in substrings._added([d] for d in strings)) == len(set(strings))
