@@ -252,3 +252,35 @@ def test_history_keeps_the_newest(spark):
     new = spark.createDataFrame([("r5", 99, 1)], "run_id string, at int, n int")
     got = evaluate.history(old, new).collect()
     assert len(got) == 30 and {r["n"] for r in got if r["run_id"] == "r5"} == {1}
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_of_employees_and_events_are_not_shuffled(spark):
+    """Lists of employees are opened last: nothing is exchanged or counted after it."""
+    roster = spark.createDataFrame([(1, "a", "3", False, ["x"]), (2, "b", "3", True, ["y"]), (3, "c", "4", False, ["x", "y"]), (3, "c", "3", False, ["z"])], "id long, name string, branch string, is_store_manager boolean, categories array<string>")
+    events = spark.createDataFrame([(10, ["3"], ["x"]), (11, ["전점"], ["y"]), (12, ["4", "3"], ["z"])], "id long, branches array<string>, categories array<string>")
+    found = relevance.relevant_events(roster, events)
+    assert sorted(map(tuple, found.collect())) == [(1, 10), (2, 10), (2, 11), (2, 12), (3, 11), (3, 12)]
+    plan = _plan(found)
+    assert 0 < plan.index("Generate explode(ids") < plan.index("Exchange")
+    why = {(r["employee_id"], r["event_id"]): r["reason"] for r in relevance.explained_events(roster.limit(2), events).collect()}
+    assert why == {(1, 10): "3 · 담당 카테고리(x)", (2, 10): "3 점장 — 지점 전체 사안", (2, 11): "3 점장 — 지점 전체 사안", (2, 12): "3 점장 — 지점 전체 사안"}
+
+
+def test_briefs_are_gathered_once_a_kind_of_employee(spark):
+    roster = spark.createDataFrame([(i, f"n{i}", "3", False, ["x"]) for i in range(5)], "id long, name string, branch string, is_store_manager boolean, categories array<string>")
+    events = spark.createDataFrame([(10, 1, None), (11, 2, 10)], "id long, ord long, version_of long").selectExpr("*", "array('3') branches", "array('x') categories", "date'2024-01-02' valid_to", "date'2024-01-01' first_seen", "date'2024-01-01' last_updated")
+    brief = relevance.brief_sections(roster, events, "2024-01-02")
+    assert {tuple(map(tuple, r[2:])) for r in brief.collect()} == {((10, 11), (10, 11), (11,), (11,))} and brief.count() == 5
+    assert "collect_list(CASE WHEN" in _plan(brief) and "employee_kind" in _plan(brief)
+
+
+def test_sections_are_matched_without_shuffling_their_text(spark):
+    events = spark.createDataFrame([(1, 7, ["apple", "pear", "fig", "kiwi", "plum"])], "id long, post_id long, keywords array<string>")
+    sections = spark.createDataFrame([(7, "a", "apples", ["apple"]), (7, "b", "-", ["pear"]), (7, "c", "-", ["pear", "kiwi"]), (8, "d", "fig", ["fig"]), (7, "e", "x", None)], "post_id long, source_ref string, text string, keywords array<string>")
+    found = provenance.match_sections(events, sections)
+    assert sorted(map(tuple, found.collect())) == [(1, "a"), (1, "c")]
+    assert "Generate" not in _plan(found)
