@@ -7,7 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from noticeengine.operators import evaluate, graph, grid, provenance, questions, relevance, retrieval, review, routing, store, temporal
+from noticeengine.operators import evaluate, graph, grid, provenance, questions, relevance, retrieval, review, routing, store, temporal, vectors
 
 EVENT = "id string, type string, title string, categories array<string>, branches array<string>, valid_from date, valid_to date, effective_date date, version_of string, first_seen date, last_updated date, ord long"
 
@@ -284,3 +284,14 @@ def test_sections_are_matched_without_shuffling_their_text(spark):
     found = provenance.match_sections(events, sections)
     assert sorted(map(tuple, found.collect())) == [(1, "a"), (1, "c")]
     assert "Generate" not in _plan(found)
+
+
+def test_nearest_vectors_with_ties_and_gaps(spark):
+    rows = [(i, [1.0, 0.0]) for i in range(1, 8)] + [(8, [0.0, 1.0]), (9, [0.0, 0.0]), (10, None), (11, [1.0, 1.0, 1.0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    got = [(r.query_id, r.vec_id, r["rank"], r.cosine) for r in vectors.cosine_top_k(v, v.filter("vec_id in (3, 8, 9)"), 3).orderBy("query_id", "rank").collect()]
+    assert got == [(3, 1, 1, 1.0), (3, 2, 2, 1.0), (3, 4, 3, 1.0), (8, 1, 1, 0.0), (8, 2, 2, 0.0), (8, 3, 3, 0.0), (9, 1, 1, None), (9, 2, 2, None), (9, 3, 3, None)]
+    blocked = vectors.cosine_top_k(v, v.filter("vec_id in (3, 8, 9)"), 3, block=1)
+    assert sorted(map(str, blocked.select("query_id", "vec_id", "rank", "cosine").collect())) == sorted(map(str, vectors.cosine_top_k(v, v.filter("vec_id in (3, 8, 9)"), 3).select("query_id", "vec_id", "rank", "cosine").collect()))
+    assert [r.cosine for r in vectors.cosine_top_k(v, v.filter("vec_id = 10"), 2).collect()] == [None, None]
+    assert "MapInArrow" in _plan(blocked) and "NestedLoop" not in _plan(blocked)
