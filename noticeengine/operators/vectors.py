@@ -28,9 +28,11 @@ def _ids(column: pa.Array) -> np.ndarray:
 
 def _units(column: pa.Array, size: int) -> np.ndarray:
     """Rows of norm 1; NaN where a vector has none or not this size."""
-    out = np.full((len(column), size), np.nan)
+    out = np.full((len(column), max(size, 1)), np.nan)
+    if not size:
+        return out
     ok = pc.fill_null(pc.equal(pc.list_value_length(column), size), False)
-    own = column.filter(ok).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(pc.sum(ok).as_py() or 0, size)
+    own = column.filter(ok).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
     norm = np.sqrt((own * own).sum(axis=1, keepdims=True))
     out[ok.to_numpy(zero_copy_only=False)] = own / np.where(norm > 0, norm, np.nan)
     return out
