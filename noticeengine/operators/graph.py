@@ -13,12 +13,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import ids
-from ..session import materialize
+from ..session import in_passes, materialize, release
 
 POST, ATTACHMENT, SLICE, CARD, PRODUCT, ROLE, KEYWORD = "Post", "Attachment", "ContentSlice", "WikiCard", "Product", "Damdang", "Keyword"
 SPINE_TYPES = (POST, ATTACHMENT, SLICE, CARD, ROLE)
 SPINE_EDGES = ("has_attachment", "has_slice", "summarized_as", "from_post", "relevant_to")
 CATALOG_EDGES = ("mentions", "routed_to")
+#: Parts, by hash, in which joins of all edges are made.
+PASSES = 8
 
 
 def _id(prefix: str, value: Column) -> Column:
@@ -96,34 +98,62 @@ def co_occurrence(cards: DataFrame) -> DataFrame:
     return cards.select(F.explode(_pairs(F.col("product_codes"))).alias("p")).select("p.source", "p.target")
 
 
-def edges(cards: DataFrame, posts: DataFrame, products: DataFrame) -> DataFrame:
-    """All edges; those of one type and ends are one. As for nodes, each card names all its edges at once."""
+def _distinct_pairs(pairs: DataFrame) -> DataFrame:
+    """Distinct (source, target). Only pairs whose 64-bit hash occurs again can be equal, so hashes are shuffled for all pairs and the pairs themselves for those alone."""
+    hashed = pairs.withColumn("h", F.xxhash64("source", "target"))
+    again = materialize(hashed.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"), "repeated-pairs", compact=True)
+    return hashed.join(again, "h", "left_anti").drop("h").unionByName(hashed.join(again, "h", "left_semi").drop("h").distinct())
+
+
+def _named(kind: str, source: Column, target: Column) -> tuple[Column, Column, Column]:
+    return F.lit(kind).alias("type"), source.alias("source"), target.alias("target")
+
+
+def links(cards: DataFrame, posts: DataFrame, products: DataFrame) -> DataFrame:
+    """(type, source, target) of all edges; those of one type and ends are one. cards are read several times.
+
+    An edge that ends in a card is named by that card alone and needs no shuffle, unless its id occurs
+    again. Edges between what cards share fall together by the bytes of their digests.
+    """
     own = cards.join(posts.select("post_id"), "post_id", "left_semi")
-    card, post, att, piece, role = _id("card", F.col("id")), post_id(), attachment_id(), slice_id(), _id("damdang", F.col("role"))
+    card, post, role = _id("card", F.col("id")), post_id(), _id("damdang", F.col("role"))
 
     def edge(kind: str, source: Column, target: Column) -> Column:
-        return F.struct(F.lit(kind).alias("type"), source.alias("source"), target.alias("target"))
+        return F.struct(*_named(kind, source, target))
 
-    single = F.array(
-        edge("has_attachment", post, att),
-        edge("has_slice", att, piece),
-        edge("summarized_as", piece, card),
-        edge("from_post", card, post),
-        edge("cites_attachment", card, att),
-    )
-    roles = F.filter(F.array(edge("relevant_to", card, role)), lambda e: F.col("role") != "")
     words = F.filter("keywords", lambda k: F.trim(k) != "")
-    named = F.concat(
-        single,
-        roles,
-        F.transform(words, lambda k: edge("tagged_with", card, ids.keyword_node(k))),
-        F.transform(words, lambda k: edge("keyword_in_post", post, ids.keyword_node(k))),
-        F.transform("product_codes", lambda c: edge("mentions", card, _id("product", c))),
-        F.transform(_pairs(F.col("product_codes")), lambda p: edge("co_occurs", p["source"], p["target"])),
+    ends = F.array_distinct(
+        F.concat(
+            F.array(edge("summarized_as", slice_id(), card), edge("from_post", card, post), edge("cites_attachment", card, attachment_id())),
+            F.filter(F.array(edge("relevant_to", card, role)), lambda e: F.col("role") != ""),
+            F.transform(words, lambda k: edge("tagged_with", card, ids.keyword_node(k))),
+            F.transform("product_codes", lambda c: edge("mentions", card, _id("product", c))),
+        )
     )
-    every = own.select(F.explode(named).alias("e")).select("e.*")
-    routed = _routed(own, products).select(edge("routed_to", _id("product", F.col("code")), role).alias("e")).select("e.*")
-    return every.unionByName(routed).distinct().select(ids.edge_id(F.col("type"), F.col("source"), F.col("target")).alias("id"), "type", "source", "target")
+    again = materialize(own.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 OR id IS NULL").select("id"), "repeated-cards", compact=True)
+    each = lambda rows: rows.select(F.explode(ends).alias("e")).select("e.*")
+    single = each(own.join(again, "id", "left_anti").filter("id IS NOT NULL"))
+    repeated = each(own.join(again, own["id"].eqNullSafe(again["id"]), "left_semi")).distinct()
+
+    raw = lambda x: F.unhex(F.substring_index(x, ":", -1))
+    text = lambda prefix, c: F.concat(F.lit(f"{prefix}:"), F.lower(F.hex(c)))
+    att, piece = raw(attachment_id()).alias("att"), raw(slice_id()).alias("slice")
+    has_attachment = own.select(post.alias("post"), att).distinct().select(*_named("has_attachment", F.col("post"), text("att", F.col("att"))))
+    has_slice = own.select(att, piece).distinct().select(*_named("has_slice", text("att", F.col("att")), text("slice", F.col("slice"))))
+    said = own.select(post.alias("post"), F.explode(F.transform(words, lambda k: raw(ids.keyword_node(k)))).alias("k")).distinct()
+    in_post = said.select(*_named("keyword_in_post", F.col("post"), text("kw", F.col("k"))))
+    routed = _routed(own, products).select(*_named("routed_to", _id("product", F.col("code")), role)).distinct()
+    together = _distinct_pairs(co_occurrence(own)).select(*_named("co_occurs", F.col("source"), F.col("target")))
+    return reduce(DataFrame.unionByName, [single, repeated, has_attachment, has_slice, in_post, routed, together])
+
+
+def with_ids(links_: DataFrame) -> DataFrame:
+    return links_.select(ids.edge_id(F.col("type"), F.col("source"), F.col("target")).alias("id"), "type", "source", "target")
+
+
+def edges(cards: DataFrame, posts: DataFrame, products: DataFrame) -> DataFrame:
+    """All edges: links() with their ids."""
+    return with_ids(links(cards, posts, products))
 
 
 def stats(nodes_: DataFrame, edges_: DataFrame) -> DataFrame:
@@ -131,10 +161,18 @@ def stats(nodes_: DataFrame, edges_: DataFrame) -> DataFrame:
     return both.groupBy("what", "type").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _ends(edges_: DataFrame) -> DataFrame:
+    """(id, other) of every edge from both of its ends."""
+    return edges_.select(F.explode(F.array(F.struct(F.col("source").alias("id"), F.col("target").alias("other")), F.struct(F.col("target").alias("id"), F.col("source").alias("other")))).alias("e")).select("e.*")
+
+
 def neighbours(edges_: DataFrame, frontier: DataFrame) -> DataFrame:
     """Ids one undirected step from the frontier (id)."""
-    ends = edges_.select(F.col("source").alias("id"), F.col("target").alias("other")).unionByName(edges_.select(F.col("target").alias("id"), F.col("source").alias("other")))
-    return ends.join(frontier.select("id"), "id", "left_semi").select(F.col("other").alias("id"))
+    return _ends(edges_).join(frontier.select("id"), "id", "left_semi").select(F.col("other").alias("id"))
+
+
+def _slice(df: DataFrame, column: str, i: int) -> DataFrame:
+    return df.filter(F.pmod(F.xxhash64(column), F.lit(PASSES)) == i)
 
 
 def within_hops(edges_: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:

@@ -33,17 +33,25 @@ def _cards(spark, d):
     )
 
 
-def _written(spark, d):
-    """Cards, nodes and edges as tables that are read more than once."""
-    return tuple(materialize(x, "kg") for x in _tables(spark, d, materialize(_cards(spark, d), "kg-cards")))
+def _sources(spark, d):
+    posts = T.read(spark, d, "customer").select(F.col("c_custkey").alias("post_id"), F.col("c_name").alias("title"))
+    return materialize(_cards(spark, d), "kg-cards", compact=True), posts, T.products(spark, d).select("code", "role")
 
 
-def _tables(spark, d, cards=None):
-    cards = _cards(spark, d) if cards is None else cards
-    posts = T.read(spark, d, "customer").select(F.col("c_custkey").alias("post_id"), F.col("c_name").alias("title"))
-    products = T.products(spark, d).select("code", "role")
-    roles = cards.select("role").distinct()
-    return cards, graph.nodes(cards, posts, products, roles), graph.edges(cards, posts, products)
+def _nodes(cards, posts, products):
+    return graph.nodes(cards, posts, products, cards.select("role").distinct())
+
+
+def _tables(spark, d):
+    cards, posts, products = _sources(spark, d)
+    return cards, _nodes(cards, posts, products), graph.edges(cards, posts, products)
+
+
+def _written(spark, d):
+    """Cards, nodes and edges as tables that are read more than once; an edge's id is not written, its type and ends give it."""
+    cards, posts, products = _sources(spark, d)
+    nodes = materialize(_nodes(cards, posts, products), "kg", compact=True)
+    return cards, nodes, graph.with_ids(materialize(graph.links(cards, posts, products), "kg", compact=True))
 
 
 _CODE = "'PLX-' || lpad(CAST({} AS VARCHAR), 8, '0')"
@@ -90,7 +98,7 @@ def _node_label():
     return ("id", "type", "label")
 
 
-_add("kg_nodes", lambda s, d: _tables(s, d)[1].select(*_node_label()), f"WITH {KG} SELECT id, type, label FROM nd")
+_add("kg_nodes", lambda s, d: _nodes(*_sources(s, d)).select(*_node_label()), f"WITH {KG} SELECT id, type, label FROM nd")
 _add("kg_edges", lambda s, d: _tables(s, d)[2], f"WITH {KG} SELECT id, type, source, target FROM ed")
 _add("kg_co_occurs", lambda s, d: graph.co_occurrence(_cards(s, d)).groupBy("source", "target").agg(F.count(F.lit(1)).alias("n")), f"WITH {KG} SELECT 'product:' || a.code AS source, 'product:' || b.code AS target, count(*) AS n FROM mn a JOIN mn b ON a.id = b.id AND a.pos < b.pos GROUP BY 1, 2")
 _add("kg_stats", lambda s, d: graph.stats(*_tables(s, d)[1:]), f"WITH {KG} SELECT 'node' AS what, type, count(*) AS n FROM nd GROUP BY 2 UNION ALL SELECT 'edge', type, count(*) FROM ed GROUP BY 2")

@@ -7,7 +7,9 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from noticeengine import session
 from noticeengine.operators import evaluate, graph, grid, provenance, questions, relevance, retrieval, review, routing, store, temporal, vectors
+from noticeengine.session import materialize
 
 EVENT = "id string, type string, title string, categories array<string>, branches array<string>, valid_from date, valid_to date, effective_date date, version_of string, first_seen date, last_updated date, ord long"
 
@@ -166,6 +168,22 @@ def test_graph_checks(spark):
     assert got["cards_no_text"] == 2 and got["card_nodes_missing_index"] == 1 and got["dangling_edges"] == 4
 
 
+def _graph(spark):
+    c = cards(spark, {"role": "a", "source_ref": "s#1", "attachment_name": "f", "headline": "h", "keywords": ["k", "K "], "product_codes": ["P1", "P2", "P3"]}, {"role": "b", "source_ref": "s#2", "attachment_name": "f", "headline": "h", "keywords": ["k"], "product_codes": ["P1", "P2"]})
+    posts = spark.createDataFrame([(0, "t0"), (1, "t1")], "post_id long, title string")
+    products = spark.createDataFrame([("P1", "a"), ("P1", "a")], "code string, role string")
+    return c, posts, products
+
+
+def test_edges_are_one_without_a_shuffle_of_all(spark):
+    c, posts, products = _graph(spark)
+    own, twice = graph.edges(c, posts, products), graph.edges(c.unionByName(c).unionByName(c.withColumn("role", F.lit("z"))), posts, products)
+    one, two = own.collect(), twice.collect()
+    assert len(one) == len({r["id"] for r in one}) and len(two) == len({r["id"] for r in two}) == len(one) + 2
+    assert sum(r["type"] == "co_occurs" for r in one) == 3 and sum(r["type"] == "tagged_with" for r in one) == 2
+    assert graph.links(c, posts, products).columns == ["type", "source", "target"]
+
+
 def test_header_of_two_rows(spark):
     rows = F.array(F.array(F.lit("기초"), F.lit("")), F.array(F.lit("3월말"), F.lit("3월말")))
     assert spark.range(1).select(grid.merge_headers(rows)).first()[0] == ["기초 / 3월말", "기초 / 3월말_2"]
