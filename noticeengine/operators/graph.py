@@ -179,14 +179,17 @@ def within_hops(edges_: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     """Ids at most hops undirected steps from the seeds (id).
 
     A hop only keeps the edges that touch an id reached so far (semi joins, which a hub's many edges pass
-    without being multiplied) and is written, so that each hop reads the one before it.
+    without being multiplied). It goes in passes over the ids' hashes and is written, so that each hop
+    reads the one before it and only a pass's share of the edges is shuffled at a time.
     """
-    reached = seeds.select("id").distinct()
+    reached = materialize(seeds.select("id").distinct(), "reached", compact=True)
+    ends = _ends(edges_)
     for _ in range(hops):
-        reached = materialize(reached, "reached")
-        ahead = edges_.join(reached.select(F.col("id").alias("source")), "source", "left_semi").select(F.col("target").alias("id"))
-        back = edges_.join(reached.select(F.col("id").alias("target")), "target", "left_semi").select(F.col("source").alias("id"))
-        reached = reached.unionByName(ahead).unionByName(back).distinct()
+        parts = [materialize(_slice(ends, "id", i).join(_slice(reached, "id", i), "id", "left_semi").select(F.col("other").alias("id")).distinct(), "step", compact=True) for i in range(PASSES)]
+        found = materialize(reduce(DataFrame.unionByName, [reached, *parts]).distinct(), "reached", compact=True)
+        for old in (reached, *parts):
+            release(old)
+        reached = found
     return reached
 
 

@@ -184,6 +184,15 @@ def test_edges_are_one_without_a_shuffle_of_all(spark):
     assert graph.links(c, posts, products).columns == ["type", "source", "target"]
 
 
+def test_hops_leave_only_the_last_frontier(spark, monkeypatch):
+    e = spark.createDataFrame([("a", "b"), ("c", "b"), ("c", "d"), ("d", "e")], "source string, target string")
+    made = []
+    monkeypatch.setattr(graph, "materialize", lambda *a, **k: made.append(materialize(*a, **k)) or made[-1])
+    got = {n: {r["id"] for r in graph.within_hops(e, spark.createDataFrame([("a",)], "id string"), n).collect()} for n in (1, 3)}
+    assert got == {1: {"a", "b"}, 3: {"a", "b", "c", "d"}}
+    assert sum(session.exists(spark, x._scratch_path) for x in made) == 2 and len(made) > 8
+
+
 def test_header_of_two_rows(spark):
     rows = F.array(F.array(F.lit("기초"), F.lit("")), F.array(F.lit("3월말"), F.lit("3월말")))
     assert spark.range(1).select(grid.merge_headers(rows)).first()[0] == ["기초 / 3월말", "기초 / 3월말_2"]
