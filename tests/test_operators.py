@@ -193,6 +193,16 @@ def test_hops_leave_only_the_last_frontier(spark, monkeypatch):
     assert sum(session.exists(spark, x._scratch_path) for x in made) == 2 and len(made) > 8
 
 
+def test_induced_ids_need_no_shuffle_at_the_end(spark, monkeypatch):
+    monkeypatch.setattr(graph, "PASSES", 2)
+    c, posts, products = _graph(spark)
+    e = graph.edges(c, posts, products)
+    n = graph.nodes(c, posts, products, c.select("role")).filter("type <> 'Keyword'")
+    got = graph.induced_ids(n, e)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, graph.induced(n, e).select("id", "type").collect())) != []
+    assert "Exchange" not in _plan(got)
+
+
 def test_header_of_two_rows(spark):
     rows = F.array(F.array(F.lit("기초"), F.lit("")), F.array(F.lit("3월말"), F.lit("3월말")))
     assert spark.range(1).select(grid.merge_headers(rows)).first()[0] == ["기초 / 3월말", "기초 / 3월말_2"]
