@@ -203,6 +203,18 @@ def test_induced_ids_need_no_shuffle_at_the_end(spark, monkeypatch):
     assert "Exchange" not in _plan(got)
 
 
+def test_finds_are_written_check_by_check(spark, monkeypatch):
+    monkeypatch.setattr(graph, "PASSES", 2)
+    c, posts, products = _graph(spark)
+    e = graph.edges(c, posts, products)
+    n = graph.nodes(c, posts, products, c.select("role")).filter("type <> 'Product'")
+    found = graph.validate(n, e, c, c.select("id"))
+    want = e.filter("source LIKE 'product:%' OR target LIKE 'product:%'")
+    row = found.filter("check = 'dangling_edges'").first()
+    assert row["n"] == want.count() and row["samples"] == sorted(r["id"] for r in want.collect())[:20]
+    assert "Anti" not in _plan(found)
+
+
 def test_header_of_two_rows(spark):
     rows = F.array(F.array(F.lit("기초"), F.lit("")), F.array(F.lit("3월말"), F.lit("3월말")))
     assert spark.range(1).select(grid.merge_headers(rows)).first()[0] == ["기초 / 3월말", "기초 / 3월말_2"]
