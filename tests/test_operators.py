@@ -215,6 +215,16 @@ def test_finds_are_written_check_by_check(spark, monkeypatch):
     assert "Anti" not in _plan(found)
 
 
+def test_roles_touch_without_a_shuffle_at_the_end(spark, monkeypatch):
+    monkeypatch.setattr(graph, "PASSES", 2)
+    c, posts, products = _graph(spark)
+    e, n = graph.edges(c, posts, products), graph.nodes(c, posts, products, c.select("role"))
+    found = graph.role_subgraphs(n, e, c)
+    got = {(r["role"], r["id"]) for r in found.collect()}
+    assert found.count() == len(got) and {("a", "product:P3"), ("a", "product:P1"), ("b", "product:P1"), ("b", "damdang:b")} <= got and ("b", "product:P3") not in got
+    assert "Exchange" not in _plan(found)
+
+
 def test_header_of_two_rows(spark):
     rows = F.array(F.array(F.lit("기초"), F.lit("")), F.array(F.lit("3월말"), F.lit("3월말")))
     assert spark.range(1).select(grid.merge_headers(rows)).first()[0] == ["기초 / 3월말", "기초 / 3월말_2"]
