@@ -280,6 +280,16 @@ def test_leader_groups(spark):
     assert ids(provenance.dedupe(e, provenance.leader_groups(rows, "block"))) == [2, 3]
 
 
+def test_copies_of_a_title_are_not_paired(spark, monkeypatch):
+    said = [["a", "b", "c"]] * 40 + [["c", "b", "a"]] * 20 + [["a", "b", "x"]] + [[]] * 2
+    rows = spark.createDataFrame([(i, i, k) for i, k in enumerate(said)], "id long, ord long, keywords array<string>")
+    monkeypatch.setattr(provenance, "PASSES", 2)
+    seen, real = [], provenance.similar_titles
+    monkeypatch.setattr(provenance, "similar_titles", lambda e: seen.append(e.count()) or real(e))
+    got = {r["id"]: r["leader"] for r in provenance.leader_groups(rows).collect()}
+    assert got == {i: 0 if i < 61 else i for i in range(63)} and seen == [4]
+
+
 def test_leader_groups_of_any_first_keyword(spark):
     from conftest import DATA
 
