@@ -436,6 +436,22 @@ def test_language_model_of_awkward_rows(spark, awkward):
     assert {r["n_known"] for r in ngram_lm.score(awkward, empty).collect()} == {0}
 
 
+def test_all_trusted_documents_count(spark):
+    labels = spark.range(20_500).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    assert quality_rules.trusted_ids(labels).count() == 20_500
+
+
+def test_shards_keep_their_levels_open(monkeypatch):
+    g = np.random.default_rng(5)
+    pair, word = ngram_lm.pair_keys(g.integers(0, 9, 50), g.integers(0, 9, 50)), g.integers(0, 9, 50).astype(np.uint64)
+    p, w, n = ngram_lm.summed(pair, word, np.ones(50, np.int64))
+    model = ngram_lm.Model(None, None, [("x", [])], 50, 1)
+    monkeypatch.setattr(ngram_lm.Model, "times", lambda self, c: np.full(len(c), 50, np.int64))
+    arrays = ngram_lm._shard_arrays(model, p, w, n)
+    monkeypatch.setattr(ngram_lm, "map_arrays", lambda *a: dict(arrays))
+    assert model.shard(0)["two"] is model.shard(0)["two"] and model.shard(0)["three"].successors.n == len(p)
+
+
 def test_elias_fano():
     import numpy as np
 
