@@ -321,6 +321,38 @@ def test_runs_around_base_spans_are_scored(spark):
     assert secret_scan.redact(bare, secret_scan.fit(docs)).first()["text"] == "see [secret] here"
 
 
+def test_every_example_is_learned(spark):
+    """The automata and the threshold are those of all distinct examples, whole and wherever they stand in a text."""
+    import random
+    import re
+    import zlib
+
+    from noticeengine.llm.automata import infer
+
+    ship(spark)
+    rng, lower = random.Random(6), "abcdefghijklmnopqrstuvwxyz"
+    word = lambda: "".join(rng.choices(lower, k=rng.randint(3, 14)))
+    key = lambda: "".join(rng.choices("GHIJKLMNOPQRSTUV", k=20))
+    texts = [f"{word()} token={key()} {word()} {word()}, {word()}{i % 977} ==={word()}-- ----- {word()}" for i in range(4000)]
+    texts += [f"{word()} secret: {key() * 15} {word()}", *(f"a copy token={'K' * 12}" for _ in range(50)), None]
+    like = next(k for k in iter(key, "") if zlib.crc32(k.encode()) % 5 == 0)
+    texts.append(f"{word()} {word()} 1st2nd3rd {like}")
+    model = secret_scan.fit(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7))
+    found = [set(), set(), set()]
+    for text in filter(None, texts):
+        base = re.search(r"(?:token|secret)[=:] ?(\S+)", text)
+        if base:
+            found[0].add(base[1])
+            text = text[: base.start()] + " " + text[base.end() :]
+        for run in (x.strip("+/_.=-") for x in re.findall(r"[A-Za-z0-9+/_.=-]+", text)):
+            if len(run) >= 5:
+                found[2 if re.search("[0-9]", run) else 1].add(run)
+    held = [x for x in found[1] | found[2] if zlib.crc32(x.encode()) % 5 == 0 and len(x) >= secret_scan.MIN_RUN]
+    assert len(found[0]) > 4000 and like in held
+    assert model.kinds + model.plain == [infer([x for x in own if zlib.crc32(x.encode()) % 5]) for own in found]
+    assert model.least == max(map(model.score, held)) + secret_scan.MARGIN > secret_scan.MIN_BITS
+
+
 CUT = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
