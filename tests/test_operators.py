@@ -364,3 +364,17 @@ def test_nearest_vectors_with_ties_and_gaps(spark):
     assert sorted(map(str, blocked.select("query_id", "vec_id", "rank", "cosine").collect())) == sorted(map(str, vectors.cosine_top_k(v, v.filter("vec_id in (3, 8, 9)"), 3).select("query_id", "vec_id", "rank", "cosine").collect()))
     assert [r.cosine for r in vectors.cosine_top_k(v, v.filter("vec_id = 10"), 2).collect()] == [None, None]
     assert "MapInArrow" in _plan(blocked) and "NestedLoop" not in _plan(blocked)
+
+
+_ROSTER = "id long, name string, branch string, is_store_manager boolean, categories array<string>"
+
+
+def test_pairs_of_one_kind_are_opened_by_many_tasks(spark, monkeypatch):
+    """Lists of both sides are dealt out: a frequent kind's pairs are not one task's, and a row opens to few."""
+    monkeypatch.setattr(relevance, "TOLD", 10)
+    monkeypatch.setattr(relevance, "LISTENERS", 4)
+    roster = spark.createDataFrame([(i, "a", "3", False, ["x"]) for i in range(9)] + [(9, "b", "4", True, ["y"])], _ROSTER)
+    events = spark.range(203).selectExpr("id", "array('3') branches", "array('x') categories")
+    found = relevance.relevant_events(roster, events).withColumn("task", F.spark_partition_id()).collect()
+    assert sorted((r[0], r[1]) for r in found) == [(i, j) for i in range(9) for j in range(203)]
+    assert len({r["task"] for r in found}) > 1
