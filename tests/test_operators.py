@@ -378,3 +378,13 @@ def test_pairs_of_one_kind_are_opened_by_many_tasks(spark, monkeypatch):
     found = relevance.relevant_events(roster, events).withColumn("task", F.spark_partition_id()).collect()
     assert sorted((r[0], r[1]) for r in found) == [(i, j) for i in range(9) for j in range(203)]
     assert len({r["task"] for r in found}) > 1
+
+
+def test_reasons_of_one_kind_are_opened_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(relevance, "TOLD", 10)
+    roster = spark.createDataFrame([(1, "a", "3", False, ["x", "y"]), (2, "b", "3", True, ["z"]), (1, "a", "3", False, ["z"])], _ROSTER)
+    events = spark.range(150).selectExpr("id", "array('3') branches", "array('y', 'z', 'x') categories")
+    found = relevance.explained_events(roster, events).withColumn("task", F.spark_partition_id()).collect()
+    said = ["3 · 담당 카테고리(x, y)", "3 · 담당 카테고리(z)", "3 점장 — 지점 전체 사안"]
+    assert sorted((r["event_id"], r["reason"]) for r in found) == [(i, s) for i in range(150) for s in said]
+    assert len({r["task"] for r in found}) > 1
