@@ -388,3 +388,18 @@ def test_reasons_of_one_kind_are_opened_by_many_tasks(spark, monkeypatch):
     said = ["3 · 담당 카테고리(x, y)", "3 · 담당 카테고리(z)", "3 점장 — 지점 전체 사안"]
     assert sorted((r["event_id"], r["reason"]) for r in found) == [(i, s) for i in range(150) for s in said]
     assert len({r["task"] for r in found}) > 1
+
+
+def test_briefs_shuffle_lists_of_events_that_are_alike(spark, monkeypatch):
+    """An event stays current for those who don't see what supersedes it; 90 events that are alike are a few rows."""
+    written, real = {}, relevance.materialize
+    monkeypatch.setattr(relevance, "materialize", lambda df, tag, **how: written.setdefault(tag, real(df, tag, **how)))
+    roster = spark.createDataFrame([(1, "a", "3", False, ["x"]), (2, "b", "3", True, []), (3, "c", "3", False, ["y"]), (4, "d", "9", False, ["x"])], _ROSTER)
+    rows = [(i, -i, None, ["x"]) for i in range(90)] + [(100, 1, 7, ["x"]), (101, 2, 8, ["y"]), (102, 3, 8, ["y", "z"]), (103, 4, 555, ["y"])]
+    events = spark.createDataFrame(rows, "id long, ord long, version_of long, categories array<string>").selectExpr("*", "array('3') branches", "date'2024-03-02' valid_to", "date'2024-01-01' first_seen", "date'2024-03-01' last_updated")
+    got = {r["employee_id"]: r for r in relevance.brief_sections(roster, events, "2024-03-02").collect()}
+    plain = list(range(89, -1, -1))
+    assert got[1]["current_relevant"] == [i for i in plain if i != 7] + [100] and got[1]["policy_changes"] == [100]
+    assert got[2]["current_relevant"] == [i for i in plain if i not in (7, 8)] + [100, 101, 102, 103] and got[2]["expiring_today"] == [*plain, 100, 101, 102, 103]
+    assert got[3]["current_relevant"] == [101, 102, 103] and got[4]["current_relevant"] is None and got[3]["new_this_week"] == []
+    assert written["alike"].count() <= relevance.PIECES + 6 and "items" in written["alike"].columns
