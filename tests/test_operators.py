@@ -1,5 +1,6 @@
 """Operators on literal rows: temporal, store, review, relevance, retrieval, graph, grids, provenance."""
 
+import random
 from datetime import date
 
 import pytest
@@ -311,6 +312,24 @@ def test_leader_groups_of_any_first_keyword(spark):
     assert set(ids(tables.dedupe_events_greedy(spark, str(DATA)))) == stays
 
 
+def test_titles_are_compared_with_blocks_of_leaders(spark, monkeypatch):
+    """As a plain greedy pass, with many blocks; later titles never meet each other but in their block."""
+    rng = random.Random(3)
+    said = [rng.sample("abcdefghijklmnopqrstuvwxyz", rng.randint(1, 9)) for _ in range(300)] + [[], None, ["a", None], ["b", "b", "zz"]]
+    rows = spark.createDataFrame([(i * 7 % 304, i, k, i % 2) for i, k in enumerate(said)], "id long, ord long, keywords array<string>, at int")
+    monkeypatch.setattr(provenance, "BLOCK", 64)
+    blocks, real = [], provenance.materialize
+    monkeypatch.setattr(provenance, "materialize", lambda df, tag, **how: blocks.append(tag) or real(df, tag, **how))
+    for block in (None, "at"):
+        leaders, want = [], {}
+        for i, k in enumerate(said):
+            near = [j for j, own in leaders if k and own and (not block or i % 2 == j % 2) and len(set(k) & set(own)) / min(len(k), len(own)) >= 0.55]
+            want[i * 7 % 304] = (near[0] if near else i) * 7 % 304
+            leaders += [] if near else [(i, k)]
+        assert {r["id"]: r["leader"] for r in provenance.leader_groups(rows, block).collect()} == want
+    assert blocks.count("block") > 2
+
+
 @pytest.mark.parametrize("a,b,same", [("p_a.xlsx#row:S:1", "p_a.xlsx#row:S:9", True), ("p_a.xlsx#row:S:1", "p_a.xlsx#row:T:9", False), ("p_a.xlsx", "p_a.xlsx#p1", True), ("x", "y", False), ("", "y", False)])
 def test_refs(spark, a, b, same):
     assert spark.range(1).select(evaluate.refs_match(F.lit(a), F.lit(b))).first()[0] is same
