@@ -422,3 +422,16 @@ def test_briefs_shuffle_lists_of_events_that_are_alike(spark, monkeypatch):
     assert got[2]["current_relevant"] == [i for i in plain if i not in (7, 8)] + [100, 101, 102, 103] and got[2]["expiring_today"] == [*plain, 100, 101, 102, 103]
     assert got[3]["current_relevant"] == [101, 102, 103] and got[4]["current_relevant"] is None and got[3]["new_this_week"] == []
     assert written["alike"].count() <= relevance.PIECES + 6 and "items" in written["alike"].columns
+
+
+def test_passes_over_written_edges_read_their_part(spark):
+    """A pass over sources reads one folder; edges of types that no seed's kind ends in are left out, and none else."""
+    links = spark.createDataFrame([("co", f"p:{i}", f"p:{i + 1}") for i in range(40)] + [("in", f"c:{i}", f"p:{i}") for i in range(40)] + [("of", "s:1", "c:3"), ("of", "plain", "c:4")], "type string, source string, target string")
+    edges = graph.written(links)
+    assert sorted(r["source"] for i in range(graph.PASSES) for r in graph._slice(edges, "source", i).collect()) == sorted(r["source"] for r in links.collect())
+    assert "PartitionFilters: [isnotnull(__part" in _plan(graph._slice(edges, "source", 1)) and "xxhash64" not in _plan(graph._slice(edges, "source", 1))
+    seeds = spark.createDataFrame([("c:3",), ("c:4",)], "id string")
+    assert "(co" not in _plan(graph._ends_of(edges, seeds)(1)) and "in" in _plan(graph._ends_of(edges, seeds)(1))
+    near = {"c:3", "c:4", "p:3", "p:4", "s:1", "plain"}
+    assert set(ids(graph.within_hops(edges, seeds, 1))) == near == set(ids(graph.within_hops(graph.with_ids(links), seeds, 1)))
+    assert set(ids(graph.within_hops(edges.withColumn("type", F.lit(None).cast("string")), seeds, 1))) == near
