@@ -435,3 +435,12 @@ def test_passes_over_written_edges_read_their_part(spark):
     near = {"c:3", "c:4", "p:3", "p:4", "s:1", "plain"}
     assert set(ids(graph.within_hops(edges, seeds, 1))) == near == set(ids(graph.within_hops(graph.with_ids(links), seeds, 1)))
     assert set(ids(graph.within_hops(edges.withColumn("type", F.lit(None).cast("string")), seeds, 1))) == near
+
+
+def test_dangling_edges_of_either_end(spark):
+    nodes = spark.createDataFrame([("a", "Post", "x"), ("b", "Post", "y")], "id string, type string, label string")
+    links = [("t", "a", "b"), ("t", "a", "no"), ("t", "no", "b"), ("t", "no", "none"), ("t", "b", "a")]
+    edges = graph.written(spark.createDataFrame(links, "type string, source string, target string"))
+    cards = spark.createDataFrame([], "id long, role string, headline string, body string, keywords array<string>")
+    got = {r["check"]: r["n"] for r in graph.validate(nodes, edges, cards, cards.select("id")).collect()}
+    assert got["dangling_edges"] == 3
