@@ -81,8 +81,8 @@ def merged_props(nodes_: DataFrame) -> DataFrame:
 def role_subgraphs(nodes_: DataFrame, edges_: DataFrame, cards: DataFrame) -> DataFrame:
     """(role, id): for every role at once, its cards and all that they touch. Found by the cards' hashes, made distinct by the nodes'."""
     own = materialize(cards.filter(F.col("role") != "").select("role", _id("card", F.col("id")).alias("id")), "role-cards", compact=True)
-    ends, spark = _ends(edges_), own.sparkSession
-    parts = [materialize(_slice(ends, "id", i).join(_slice(own, "id", i), "id").select("role", F.col("other").alias("id")).distinct(), "touched", compact=True) for i in range(PASSES)]
+    ends, spark = _ends_of(edges_, own), own.sparkSession
+    parts = [materialize(ends(i).join(_slice(own, "id", i), "id").select("role", F.col("other").alias("id")).distinct(), "touched", compact=True) for i in range(PASSES)]
     touched = reduce(DataFrame.unionByName, [own, *parts])
     found = in_passes(spark, lambda i: _slice(touched, "id", i).distinct().join(_slice(nodes_.select("id"), "id", i), "id", "left_semi").select("role", "id"), PASSES, "role-subgraphs")
     for old in (own, *parts):
